@@ -215,20 +215,20 @@ def fill(
     )
 
 
-def join_back(df: DataFrame, lookup: DataFrame, keys: Sequence[str], weight: str) -> DataFrame:
-    """Inner join of ``df`` with one row per key, safe against hot keys.
+def join_back(df: DataFrame, lookup: DataFrame, keys: Sequence[str], weight: str, how: str = "inner") -> DataFrame:
+    """Join ``df`` (inner or left) with one row per key, safe against hot keys.
 
     ``weight`` is the number of rows of ``df`` behind each key.  A small lookup is broadcast after its size
     is checked.  Otherwise the few keys heavier than ``HOT_ROWS`` are broadcast and the rest is shuffled.
     """
     size = lookup.count()
     if size <= BROADCAST_ROWS:
-        return df.join(F.broadcast(lookup.drop(weight)), list(keys))
+        return df.join(F.broadcast(lookup.drop(weight)), list(keys), how)
     hot = lookup.where(F.col(weight) > HOT_ROWS)
     cold = lookup.where(F.col(weight) <= HOT_ROWS)
     few = F.broadcast(hot.drop(weight))  # at most rows / HOT_ROWS keys can be this heavy
     return df.join(few, list(keys)).unionByName(
-        df.join(few, list(keys), "left_anti").join(cold.drop(weight), list(keys))
+        df.join(few, list(keys), "left_anti").join(cold.drop(weight), list(keys), how)
     )
 
 

@@ -1,0 +1 @@
+"""Reading, registering, describing, exporting and versioning datasets."""

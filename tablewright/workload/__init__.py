@@ -4,7 +4,7 @@ from importlib import import_module
 
 from tablewright.workload.registry import ORACLES, QUERIES
 
-GROUPS = ["scanning", "scalars", "profiling", "detecting", "cleaning"]
+GROUPS = ["scanning", "relational", "windows", "scalars", "profiling", "detecting", "cleaning"]
 for _group in GROUPS:
     import_module(f"tablewright.workload.{_group}")
 

@@ -6,7 +6,7 @@ from tablewright.operators import clean
 from tablewright.plans.durable import scratch_path
 from tablewright.sources import files as f
 from tablewright.sources import versions as v
-from tablewright.workload.fragments import union
+from tablewright.workload.fragments import fences, union
 from tablewright.workload.registry import query
 
 CUSTOMER = "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer"
@@ -69,7 +69,17 @@ def _(t):
     )
 
 
-@query("describe_table")
+_LINEITEM = {
+    "l_orderkey": "bigint", "l_partkey": "bigint", "l_suppkey": "bigint", "l_linenumber": "int", "l_quantity": "double",
+    "l_extendedprice": "double", "l_discount": "double", "l_tax": "double", "l_returnflag": "string", "l_linestatus": "string",
+    "l_shipdate": "timestamp_ntz",
+}
+
+
+@query(
+    "describe_table",
+    union(f"SELECT {i} AS position, '{c}' AS column_name, '{k}' AS dtype, TRUE AS nullable, count({c}) AS known FROM lineitem" for i, (c, k) in enumerate(_LINEITEM.items())),
+)
 def _(t):
     # the schema next to what the column really holds, so that the work follows the table
     from tablewright.plans.wide import unpivot_stats
@@ -163,7 +173,11 @@ def _(t):
     return v.lineage(t.sql(NAMES, "part"))
 
 
-@query("cleaning_history")
+@query(
+    "cleaning_history",
+    f"""SELECT 'events' AS base, 2 AS version, 'missing' AS stage, 'mode' AS method, count(*) AS rows_affected FROM events WHERE event_type = 'error'
+    UNION ALL SELECT 'events', 3, 'outliers', 'iqr', count(*) FROM events, {fences('events', 'value')} f WHERE value < f.lower OR value > f.upper""",
+)
 def _(t):
     folder = scratch_path(t.spark, "versions")
     before = t.sql("SELECT event_id, user_id, NULLIF(event_type, 'error') AS kind, value FROM events", "events")
@@ -171,4 +185,4 @@ def _(t):
     v.log_step(t.spark, folder, "events", 2, "missing", "mode", ["kind"], s1)
     capped, s2 = clean.outliers(filled, "cap", ["value"])
     v.log_step(t.spark, folder, "events", 3, "outliers", "iqr", ["value"], s2)
-    return v.history(t.spark, folder, "events")
+    return v.history(t.spark, folder, "events").drop("columns", "details")

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tablewright.plans.ordered import fill, join_back, ranks, row_numbers, running_sums, windowed
+from tablewright.plans.ordered import fill, join_back, ranks, row_numbers, windowed
 from tablewright.plans.types import quoted
 
 LAGS = (1, 2, 3, 5, 7)
@@ -86,17 +86,6 @@ def ntiles(df: DataFrame, order_by: Sequence[str], n: int = 10, name: str = "nti
     return numbered.withColumn(name, (tile + 1).cast("int")).drop("_row")
 
 
-def partition_row_numbers(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[str], name: str = "row_number") -> DataFrame:
-    """Position of a row in its partition, however large: place in the table minus the place of the partition."""
-    keys = [*partition_by, *order_by]
-    numbered = row_numbers(df, keys, "_row")
-    counts = df.groupBy(*[quoted(c) for c in partition_by]).agg(F.count("*").alias("_n"))
-    starts = running_sums(counts, list(partition_by), {"_upto": F.col("_n")})
-    starts = starts.select(*partition_by, "_n", (F.col("_upto") - F.col("_n")).alias("_start"))
-    joined = join_back(numbered, starts, partition_by, "_n")
-    return joined.select(*[quoted(c) for c in df.columns], (F.col("_row") - F.col("_start")).alias(name))
-
-
 def week_over_week(df: DataFrame, ts: str, anchor: str) -> DataFrame:
     """Rows of the seven days up to the anchor date against the seven before, with the change in percent."""
     day = quoted(ts).cast("date")
@@ -110,6 +99,6 @@ def week_over_week(df: DataFrame, ts: str, anchor: str) -> DataFrame:
 
 
 __all__ = [
-    "LAGS", "fill", "lag_features", "neighbours", "ntiles", "partition_row_numbers", "ranks", "rolling_features",
+    "LAGS", "fill", "lag_features", "neighbours", "ntiles", "ranks", "rolling_features",
     "row_numbers", "series_features", "week_over_week",
 ]

@@ -103,38 +103,56 @@ def _over_borders(chunks: Chunks) -> DataFrame:
     return chunks.data.alias("l").join(F.broadcast(chunks.borders).alias("r"), match, "left_semi")
 
 
+def _add_carry(out: DataFrame, ends: DataFrame, chunks: Chunks, carried: Mapping[str, Column], descending: bool) -> DataFrame:
+    """Join to every row what the earlier chunks of its partition hand over.
+
+    ``ends`` has one row per partition and chunk near a border, so it is bounded by the number of chunks.
+    """
+    across = Window.partitionBy(*chunks.partition).orderBy(F.col("_chunk").desc() if descending else F.col("_chunk"))
+    earlier = across.rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select(*chunks.partition, "_chunk", *[c.over(earlier).alias(n) for n, c in carried.items()])
+    match = F.col("l._chunk") == F.col("r._chunk")
+    for p in chunks.partition:
+        match = match & F.col(f"l.{p}").eqNullSafe(F.col(f"r.{p}"))
+    joined = out.alias("l").join(F.broadcast(carry).alias("r"), match, "left")
+    return joined.select("l.*", *[F.col(f"r.{n}").alias(n) for n in carried])
+
+
 def running_sums(
     df: DataFrame,
     order_by: Sequence[str],
     sums: Mapping[str, Column],
     descending: bool = False,
+    partition_by: Sequence[str] = (),
     rows: int | None = None,
 ) -> DataFrame:
-    """Running totals over the whole table in the given order, the current row included."""
-    chunks = chunked(df, order_by, rows=rows)
-    data = chunks.data.withColumns({f"_s{i}": c for i, c in enumerate(sums.values())})
+    """Running totals in the given order, over the whole table or per partition, the current row included."""
+    chunks = chunked(df, order_by, partition_by, rows)
+    parts = {f"_s{i}": c for i, c in enumerate(sums.values())}
+    data = chunks.data.withColumns(parts)
     window = chunks.window(descending).rowsBetween(Window.unboundedPreceding, 0)
-    out = data.withColumns({name: F.sum(f"_s{i}").over(window) for i, name in enumerate(sums)})
+    out = data.withColumns({name: F.sum(s).over(window) for name, s in zip(sums, parts)})
     if chunks.count > 1:
-        totals = {
-            r["_chunk"]: r
-            for r in data.groupBy("_chunk").agg(*[F.sum(f"_s{i}").alias(f"_s{i}") for i in range(len(sums))]).collect()
-        }
-        turn = range(chunks.count - 1, -1, -1) if descending else range(chunks.count)
-        for i, name in enumerate(sums):
-            before, running = [0] * chunks.count, 0
-            for c in turn:
-                before[c] = running
-                running += (totals[c][f"_s{i}"] or 0) if c in totals else 0
-            kind = out.schema[name].dataType
-            offset = F.element_at(F.array(*[F.lit(v).cast(kind) for v in before]), F.col("_chunk") + 1)
-            out = out.withColumn(name, F.coalesce(F.col(name), F.lit(0)) + offset)
-    return chunks.clean(out).drop(*[f"_s{i}" for i in range(len(sums))])
-
-
-def row_numbers(df: DataFrame, order_by: Sequence[str], name: str = "row_number", descending: bool = False, rows: int | None = None) -> DataFrame:
-    """Position of every row in the order of the whole table, from 1."""
-    return running_sums(df, order_by, {name: F.lit(1).cast("bigint")}, descending, rows)
+        near = _over_borders(Chunks(data, chunks.partition, chunks.order, chunks.count, chunks.borders))
+        ends = near.groupBy(*chunks.partition, "_chunk").agg(*[F.sum(s).alias(s) for s in parts])
+        out = _add_carry(out, ends, chunks, {f"{s}_before": F.sum(s) for s in parts}, descending)
+        zero = F.lit(0)
+        out = out.withColumns(
+            {n: F.coalesce(F.col(n), zero) + F.coalesce(F.col(f"{s}_before"), zero) for n, s in zip(sums, parts)}
+        ).drop(*[f"{s}_before" for s in parts])
+    return chunks.clean(out).drop(*parts)
+
+
+def row_numbers(
+    df: DataFrame,
+    order_by: Sequence[str],
+    name: str = "row_number",
+    descending: bool = False,
+    partition_by: Sequence[str] = (),
+    rows: int | None = None,
+) -> DataFrame:
+    """Position of every row in the order of the table or of its partition, from 1."""
+    return running_sums(df, order_by, {name: F.lit(1).cast("bigint")}, descending, partition_by, rows)
 
 
 def _neighbours(chunks: Chunks, reach: int, forward: bool) -> DataFrame:
@@ -189,30 +207,15 @@ def fill(
         return chunks.clean(out)
     key = F.struct(*chunks.order)
     pick = F.max_by if forward else F.min_by
+    held = {f"_f{i}": c for i, c in enumerate(columns)}
     ends = (
         _over_borders(chunks)
         .groupBy(*chunks.partition, "_chunk")
-        .agg(*[pick(quoted(c), F.when(quoted(c).isNotNull(), key)).alias(f"_f{i}") for i, c in enumerate(columns)])
-    )
-    across = Window.partitionBy(*chunks.partition).orderBy(F.col("_chunk") if forward else F.col("_chunk").desc())
-    earlier = across.rowsBetween(Window.unboundedPreceding, -1)
-    carry = ends.select(
-        *chunks.partition,
-        "_chunk",
-        *[F.last(f"_f{i}", ignorenulls=True).over(earlier).alias(f"_f{i}") for i in range(len(columns))],
-    )
-    match = F.col("l._chunk") == F.col("r._chunk")
-    for p in chunks.partition:
-        match = match & F.col(f"l.{p}").eqNullSafe(F.col(f"r.{p}"))
-    right = carry.select("_chunk", *chunks.partition, *[f"_f{i}" for i in range(len(columns))])
-    joined = out.alias("l").join(F.broadcast(right).alias("r"), match, "left")
-    position = {c: i for i, c in enumerate(columns)}
-    return joined.select(
-        *[
-            F.coalesce(F.col(f"l.`{c}`"), F.col(f"r._f{position[c]}")).alias(c) if c in position else F.col(f"l.`{c}`")
-            for c in df.columns
-        ]
+        .agg(*[pick(quoted(c), F.when(quoted(c).isNotNull(), key)).alias(f) for f, c in held.items()])
     )
+    out = _add_carry(out, ends, chunks, {f"{f}_before": F.last(f, ignorenulls=True) for f in held}, not forward)
+    before = {c: F.col(f"{f}_before") for f, c in held.items()}
+    return out.select(*[F.coalesce(quoted(c), before[c]).alias(c) if c in before else quoted(c) for c in df.columns])
 
 
 def join_back(df: DataFrame, lookup: DataFrame, keys: Sequence[str], weight: str, how: str = "inner") -> DataFrame:

@@ -1,0 +1 @@
+"""Structured Streaming versions of append-only log aggregates."""

@@ -4,7 +4,10 @@ from importlib import import_module
 
 from tablewright.workload.registry import ORACLES, QUERIES
 
-GROUPS = ["scanning", "relational", "windows", "scalars", "profiling", "detecting", "cleaning"]
+GROUPS = [
+    "scanning", "relational", "windows", "scalars", "profiling", "detecting", "cleaning", "featurizing", "preparing",
+    "evaluating", "reporting", "explaining",
+]
 for _group in GROUPS:
     import_module(f"tablewright.workload.{_group}")
 

@@ -291,10 +291,10 @@ def _(t):
     return t("lineitem").agg(F.count("*").alias("n"), F.count_distinct("l_partkey").alias("parts"), F.count_distinct("l_suppkey").alias("suppliers"))
 
 
-@query("agg_avg_min_max", f"SELECT {r('avg(l_extendedprice)', 4)} AS mean, min(l_extendedprice) AS low, max(l_extendedprice) AS high FROM lineitem")
+@query("agg_avg_min_max", f"SELECT {r('avg(l_extendedprice)', 8)} AS mean, min(l_extendedprice) AS low, max(l_extendedprice) AS high FROM lineitem")
 def _(t):
     c = "l_extendedprice"
-    return t("lineitem").agg(rounded(F.avg(c), 4).alias("mean"), F.min(c).alias("low"), F.max(c).alias("high"))
+    return t("lineitem").agg(rounded(F.avg(c), 8).alias("mean"), F.min(c).alias("low"), F.max(c).alias("high"))
 
 
 @query("group_count", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
@@ -302,9 +302,9 @@ def _(t):
     return t("events").groupBy("event_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "event_type")
 
 
-@query("group_avg", f"SELECT p_brand, {r('avg(p_retailprice)', 4)} AS mean, count(*) AS n FROM part GROUP BY p_brand")
+@query("group_avg", f"SELECT p_brand, {r('avg(p_retailprice)', 8)} AS mean, count(*) AS n FROM part GROUP BY p_brand")
 def _(t):
-    return t("part").groupBy("p_brand").agg(rounded(F.avg("p_retailprice"), 4).alias("mean"), F.count("*").alias("n")).orderBy(F.desc("mean"))
+    return t("part").groupBy("p_brand").agg(rounded(F.avg("p_retailprice"), 8).alias("mean"), F.count("*").alias("n")).orderBy(F.desc("mean"))
 
 
 @query("group_sum", f"SELECT l_suppkey, {r('sum(l_extendedprice)', 2)} AS total FROM lineitem GROUP BY l_suppkey")
@@ -312,10 +312,10 @@ def _(t):
     return t("lineitem").groupBy("l_suppkey").agg(rounded(F.sum("l_extendedprice"), 2).alias("total"))
 
 
-@query("group_summary", f"SELECT c_mktsegment, count(*) AS n, {r('avg(c_acctbal)', 4)} AS mean, min(c_acctbal) AS low, max(c_acctbal) AS high FROM customer GROUP BY c_mktsegment")
+@query("group_summary", f"SELECT c_mktsegment, count(*) AS n, {r('avg(c_acctbal)', 8)} AS mean, min(c_acctbal) AS low, max(c_acctbal) AS high FROM customer GROUP BY c_mktsegment")
 def _(t):
     c = "c_acctbal"
-    return t("customer").groupBy("c_mktsegment").agg(F.count("*").alias("n"), rounded(F.avg(c), 4).alias("mean"), F.min(c).alias("low"), F.max(c).alias("high"))
+    return t("customer").groupBy("c_mktsegment").agg(F.count("*").alias("n"), rounded(F.avg(c), 8).alias("mean"), F.min(c).alias("low"), F.max(c).alias("high"))
 
 
 @query("group_having", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 10")
@@ -331,11 +331,11 @@ def _(t):
     return unpivot_stats(t("lineitem"), _FIVE, {"mean": lambda c: rounded(F.avg(c), 2), "total": lambda c: rounded(F.sum(c), 2)})
 
 
-@query("agg_stddev", per_column(_FIVE, lambda c: f"SELECT '{c}' AS column_name, {r(f'avg({c})', 4)} AS mean, {r(f'stddev({c})', 4)} AS std, CAST(min({c}) AS DOUBLE) AS low, CAST(max({c}) AS DOUBLE) AS high FROM lineitem"))
+@query("agg_stddev", per_column(_FIVE, lambda c: f"SELECT '{c}' AS column_name, {r(f'avg({c})', 8)} AS mean, {r(f'stddev({c})', 8)} AS std, CAST(min({c}) AS DOUBLE) AS low, CAST(max({c}) AS DOUBLE) AS high FROM lineitem"))
 def _(t):
     stats = {
-        "mean": lambda c: rounded(F.avg(c), 4),
-        "std": lambda c: rounded(F.stddev(c), 4),
+        "mean": lambda c: rounded(F.avg(c), 8),
+        "std": lambda c: rounded(F.stddev(c), 8),
         "low": lambda c: F.min(c).cast("double"),
         "high": lambda c: F.max(c).cast("double"),
     }

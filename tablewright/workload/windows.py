@@ -22,7 +22,7 @@ def _(t):
 @query("win_row_number", "SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS row_number FROM orders")
 def _(t):
     df = t("orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    return s.partition_row_numbers(df, ["o_custkey"], ["o_orderdate", "o_orderkey"]).drop("o_orderdate")
+    return s.row_numbers(df, ["o_orderdate", "o_orderkey"], partition_by=["o_custkey"]).drop("o_orderdate")
 
 
 @query("win_ntile", "SELECT o_orderkey, CAST(ntile(10) OVER (ORDER BY o_totalprice, o_orderkey) AS INTEGER) AS decile FROM orders")

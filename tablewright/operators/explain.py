@@ -8,6 +8,7 @@ from pyspark.ml import Transformer
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tablewright.operators.profile import correlations
 from tablewright.plans import wide
 from tablewright.plans.ordered import row_numbers
 from tablewright.plans.types import known, quoted
@@ -51,8 +52,6 @@ def confidence(df: DataFrame, probabilities: Sequence[str], low: float = 0.6) ->
 
 def feature_interactions(df: DataFrame, features: Sequence[str], first: int = 5, weak: float = 0.3, strong: float = 0.7) -> DataFrame:
     """Correlated pairs among the first features."""
-    from tablewright.operators.profile import correlations
-
     pairs = correlations(df, list(features)[:first]).where(F.abs("r") > weak)
     return pairs.withColumn("strength", F.when(F.abs("r") > strong, "strong").otherwise("moderate"))
 
@@ -107,15 +106,8 @@ def feature_importance(df: DataFrame, model: object, names: Sequence[str], top:
 
 
 def _predicted(model: Transformer, df: DataFrame, values: Column, output: str) -> DataFrame:
-    """The model applied to feature arrays; the output is the last class probability or the prediction."""
-    scored = model.transform(df.withColumn("features", array_to_vector(values)))
-    if "probability" in scored.columns:
-        from pyspark.ml.functions import vector_to_array
-
-        result = F.element_at(vector_to_array("probability"), -1)
-    else:
-        result = F.col("prediction")
-    return scored.withColumn(output, result)
+    """The model applied to feature arrays."""
+    return model.transform(df.withColumn("features", array_to_vector(values))).withColumnRenamed("prediction", output)
 
 
 def permutation_attribution(df: DataFrame, model: Transformer, features: Sequence[str], key: str, signs: Mapping[str, float] | None = None, seed: int = 42) -> DataFrame:
@@ -137,12 +129,13 @@ def permutation_attribution(df: DataFrame, model: Transformer, features: Sequenc
     each = before.withColumn("_i", F.explode(places))
     moved = F.transform("_x", lambda v, i: F.when(i == F.col("_i"), F.element_at("_other", F.col("_i") + 1)).otherwise(v))
     after = _predicted(model, each, moved, "_after")
-    means = after.groupBy("_i").agg(F.avg(F.abs(F.col("_before") - F.col("_after"))).alias("attribution"))
+    means = after.groupBy("_i").agg(F.avg(F.col("_before") - F.col("_after")).alias("attribution"))
     names = F.array(*[F.lit(c) for c in features])
     out = means.select(F.element_at(names, F.col("_i") + 1).alias("feature"), "attribution")
     if signs:
-        sign = F.coalesce(F.try_element_at(F.create_map(*[x for k, v in signs.items() for x in (F.lit(k), F.lit(1.0 if v >= 0 else -1.0))]), F.col("feature")), F.lit(1.0))
-        out = out.withColumn("attribution", F.col("attribution") * sign)
+        # a linear model tells the direction, the shuffle only the size
+        sign = F.create_map(*[x for k, v in signs.items() for x in (F.lit(k), F.lit(1.0 if v >= 0 else -1.0))])
+        out = out.withColumn("attribution", F.abs("attribution") * F.coalesce(F.try_element_at(sign, F.col("feature")), F.lit(1.0)))
     return out
 
 

@@ -6,7 +6,7 @@ from tablewright.workload.registry import ORACLES, QUERIES
 
 GROUPS = [
     "scanning", "relational", "windows", "scalars", "profiling", "detecting", "cleaning", "featurizing", "preparing",
-    "evaluating", "reporting", "explaining",
+    "evaluating", "reporting", "explaining", "learning", "clustering",
 ]
 for _group in GROUPS:
     import_module(f"tablewright.workload.{_group}")

@@ -203,6 +203,7 @@ def one_hot(
     """Replace each column by one boolean column per category, in alphabetical order, plus one for null.
 
     The categories are listed once (at most ``max_categories`` per column); beyond that it is an error.
+    Categories that differ in case only give names that need ``spark.sql.caseSensitive`` to be told apart.
     """
     holes = _missing(df, columns)
     added: dict[str, Column] = {}
@@ -214,7 +215,10 @@ def one_hot(
             raise ValueError(f"column {c!r} has more than {max_categories} categories")
         for v in values[1:] if drop_first else values:
             hit = known(df, c).isNull() if v is None else known(df, c).eqNullSafe(F.lit(v))
-            added[dummy_name(c, v)] = hit
+            name, n = dummy_name(c, v), 2
+            while name in added:  # categories that read alike once cleaned
+                name, n = f"{dummy_name(c, v)}_{n}", n + 1
+            added[name] = hit
     kept = [quoted(c) for c in df.columns if c not in columns]
     out = df.select(*kept, *[col.alias(name) for name, col in added.items()])
     return out, {"new_columns": list(added), "after_columns": out.columns}

@@ -163,10 +163,12 @@ def supervised_series(
     names = [c for c in made.columns if c not in order_by and c != target]
     train = split.where(~F.col("is_test"))
     prep = fit_preparation(train, names)
-    label = quoted(target).cast("double").alias("label")
-    fit_rows = prep.vectors(train.select("*", label), ["label"]).persist()
+    def side(frame: DataFrame) -> DataFrame:
+        coded = frame.withColumn("_label", quoted(target).cast("double"))
+        return prep.vectors(coded, ["_label"]).withColumnRenamed("_label", "label")
+
+    fit_rows = side(train).persist()
     n, std = fit_rows.agg(F.count("*"), F.stddev_pop("label")).first()
     fitted = estimator(model, "regression", n, params=params, label_std=std).fit(fit_rows)
     fit_rows.unpersist()
-    test = fitted.transform(prep.vectors(split.where("is_test").select("*", label), ["label"]))
-    return evaluate.regression_metrics(test, "label", "prediction")
+    return evaluate.regression_metrics(fitted.transform(side(split.where("is_test"))), "label", "prediction")

@@ -146,10 +146,11 @@ def prepare(
         split = split_random(rows, keys)
         dealt = assign_folds(split.where(~F.col("is_test")), keys, folds, seed=SEED + 1)
     fitted = fit_preparation(split.where(~F.col("is_test")), features)
-    label = label_column(rows, target, classes).alias("label")
+    label = label_column(rows, target, classes)
 
     def side(frame: DataFrame, *extra: str) -> DataFrame:
-        return fitted.vectors(frame.select("*", label), [*keys, "label", *extra])
+        coded = frame.withColumn("_label", label)  # the target itself may be called label
+        return fitted.vectors(coded, [*keys, "_label", *extra]).withColumnRenamed("_label", "label")
 
     train = side(dealt, "fold").persist()  # read by every fit and fold
     test = side(split.where("is_test"))

@@ -385,14 +385,16 @@ def drop_constants(df: DataFrame) -> DataFrame:
 
 def drop_high_cardinality(df: DataFrame, rule: str = "engine") -> DataFrame:
     """Drop text columns with too many values: >50 or more than half the rows (engine), or id-like names (prep)."""
-    texts = text_columns(df)
-    total, unique = df.count(), distinct_counts(df, texts)
     marks = ["id", "uuid", "guid", "token", "hash", "key", "url"]  # fixed values
+    texts = [c for c in text_columns(df) if rule == "engine" or any(m in c.lower() for m in marks)]
+    if not texts:
+        return df
+    total, unique = df.count(), distinct_counts(df, texts)
 
     def too_many(c: str) -> bool:
         share = unique[c] / max(total, 1)
         if rule == "engine":
             return unique[c] > 50 or share > 0.5
-        return share > 0.9 and unique[c] > 30 and any(m in c.lower() for m in marks)
+        return share > 0.9 and unique[c] > 30
 
     return df.drop(*[c for c in texts if too_many(c)])

@@ -180,6 +180,8 @@ def sql_flags(log: DataFrame, text: str) -> DataFrame:
     """Add ``disallowed`` and the list of destructive ``operations`` found in each logged query text."""
     plain = F.regexp_replace(quoted(text), r"(?s)/\*.*?\*/", " ")
     plain = F.lower(F.regexp_replace(plain, r"(--|#)[^\n]*", " "))
-    found = F.array(*[F.when(plain.rlike(p), F.lit(name)) for name, p in DESTRUCTIVE.items()])
-    return log.withColumns({"disallowed": plain.rlike("|".join(DISALLOWED)), "operations": F.array_compact(found)})
-
+    # a column of its own, so that the cleaned text is made once per row
+    read = log.withColumn("_plain", plain)
+    found = F.array(*[F.when(F.col("_plain").rlike(p), F.lit(name)) for name, p in DESTRUCTIVE.items()])
+    flags = {"disallowed": F.col("_plain").rlike("|".join(DISALLOWED)), "operations": F.array_compact(found)}
+    return read.withColumns(flags).drop("_plain")

@@ -24,10 +24,10 @@ from tablewright.operators import evaluate
 from tablewright.operators.blocks import nearest
 from tablewright.operators.detection import require_valid_target, suggest_target, task_type
 from tablewright.operators.prep import (
-    CATEGORY_LIMIT, Preparation, assign_folds, fit_preparation, hash_position, split_random, split_stratified,
+    CATEGORY_LIMIT, TEST_SHARE, Preparation, assign_folds, can_stratify, class_sizes, fit_preparation, hash_position, split_random,
+    split_stratified, test_sizes,
 )
 from tablewright.plans import wide
-from tablewright.plans.counts import categories
 from tablewright.plans.selection import first_rows_bound
 from tablewright.plans.types import known, quoted
 
@@ -133,19 +133,24 @@ def prepare(
     df: DataFrame, target: str, keys: Sequence[str], features: Sequence[str] | None = None, task: str | None = None, folds: int = 3
 ) -> TrainingData:
     """Split first, learn the preparation from the training rows only, then prepare both sides."""
-    task = task or task_type(df, target)
-    require_valid_target(df, target, task)
-    rows = df.where(known(df, target).isNotNull())
     features = list(features or [c for c in df.columns if c != target and c not in keys])
+    # the split, the preparation and both sides read these columns again and again
+    needed = spread(df.select(*[quoted(c) for c in dict.fromkeys([*keys, *features, target])])).persist()
+    task = task or task_type(needed, target)
+    require_valid_target(needed, target, task)
+    rows = needed.where(known(needed, target).isNotNull())
     if task == "classification":
-        classes = categories(rows, target, CATEGORY_LIMIT)
-        split = split_stratified(rows, keys, target)
-        dealt = assign_folds(split.where(~F.col("is_test")), keys, folds, target, seed=SEED + 1)
+        sizes = class_sizes(rows, target)
+        classes, total = list(sizes), sum(sizes.values())
+        split = split_stratified(rows, keys, target, sizes=sizes)
+        left = {v: n - t for (v, n), t in zip(sizes.items(), test_sizes(sizes, TEST_SHARE).values())}
+        left = left if can_stratify(sizes, TEST_SHARE) else None
+        dealt = assign_folds(split.where(~F.col("is_test")), keys, folds, target, SEED + 1, left)
     else:
-        classes = []
+        classes, total = [], rows.count()
         split = split_random(rows, keys)
         dealt = assign_folds(split.where(~F.col("is_test")), keys, folds, seed=SEED + 1)
-    fitted = fit_preparation(split.where(~F.col("is_test")), features)
+    fitted = fit_preparation(split.where(~F.col("is_test")), features, rows=total)
     label = label_column(rows, target, classes)
 
     def side(frame: DataFrame, *extra: str) -> DataFrame:
@@ -158,6 +163,12 @@ def prepare(
     return TrainingData(task, target, list(keys), train, test, fitted, classes, n, std if task == "regression" else 1.0)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows that every fit walks again and again, dealt over all cores where the source has too few pieces."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 # --- scores -----------------------------------------------------------------------------------------
 
 

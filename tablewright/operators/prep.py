@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from tablewright.operators.clean import clip, drop_constants, drop_high_cardinality, drop_ids, fences
 from tablewright.operators.profile import column_kinds
 from tablewright.plans import wide
-from tablewright.plans.counts import categories, modes
+from tablewright.plans.counts import categories, modes_and_categories
 from tablewright.plans.selection import first_rows_bound, order_statistics, quantiles
 from tablewright.plans.types import epoch_micros, is_date, is_numeric, known, quoted, text_columns
 
@@ -35,33 +35,47 @@ def split_random(df: DataFrame, keys: Sequence[str], share: float = TEST_SHARE,
     return df.withColumn("is_test", first_rows_bound(df, [place, *[quoted(c) for c in keys]], k))
 
 
-def _class_sizes(df: DataFrame, target: str) -> dict:
+def class_sizes(df: DataFrame, target: str) -> dict:
+    """Rows per known class, in class order; more than ``CATEGORY_LIMIT`` classes are an error."""
     rows = df.where(known(df, target).isNotNull()).groupBy(quoted(target).alias("v")).agg(F.count("*").alias("n")).limit(CATEGORY_LIMIT + 1).collect()
     if len(rows) > CATEGORY_LIMIT:
         raise ValueError(f"target {target!r} has more than {CATEGORY_LIMIT} classes")
     return {r["v"]: r["n"] for r in sorted(rows, key=lambda r: r["v"])}
 
 
-def _class_cuts(df: DataFrame, target: str, place: Column, ranks: Mapping[object, Sequence[int]]) -> dict:
+def _class_cuts(
+    df: DataFrame, target: str, place: Column, ranks: Mapping[object, Sequence[int]], sizes: Mapping[object, int]
+) -> dict:
     """Hash values at the given ranks inside each class; all classes are searched in the same scans."""
     labels = list(ranks)
     wanted = {str(i): (F.when(quoted(target) == F.lit(v), place), ranks[v]) for i, v in enumerate(labels)}
-    got = order_statistics(df, wanted)
+    got = order_statistics(df, wanted, {str(i): sizes[v] for i, v in enumerate(labels)})
     return {v: got[str(i)] for i, v in enumerate(labels)}
 
 
-def split_stratified(df: DataFrame, keys: Sequence[str], target: str, share: float = TEST_SHARE, seed: int = SEED) -> DataFrame:
+def test_sizes(sizes: Mapping[object, int], share: float) -> dict:
+    """Test rows of every class: the rounded share, at least one and never all."""
+    return {v: min(max(math.floor(share * n + 0.5), 1), n - 1) for v, n in sizes.items()}
+
+
+def can_stratify(sizes: Mapping[object, int], share: float) -> bool:
+    return len(sizes) > 1 and min(sizes.values()) > 1 and sum(sizes.values()) * (1 - share) >= len(sizes)
+
+
+def split_stratified(
+    df: DataFrame, keys: Sequence[str], target: str, share: float = TEST_SHARE, seed: int = SEED, sizes: Mapping[object, int] | None = None
+) -> DataFrame:
     """Add ``is_test`` with the share kept inside every class (at least one row of a class on each side).
 
     Falls back to :func:`split_random` when a class has a single row or the training side could not hold all
     classes.  Classes of any size are cut by hash value, not by a window over the class.
     """
-    sizes = _class_sizes(df, target)
-    if len(sizes) < 2 or min(sizes.values()) < 2 or sum(sizes.values()) * (1 - share) < len(sizes):
+    sizes = class_sizes(df, target) if sizes is None else sizes
+    if not can_stratify(sizes, share):
         return split_random(df, keys, share, seed)
     place = hash_position(keys, seed)
-    take = {v: min(max(math.floor(share * n + 0.5), 1), n - 1) for v, n in sizes.items()}
-    cuts = _class_cuts(df, target, place, {v: [k - 1] for v, k in take.items()})
+    take = test_sizes(sizes, share)
+    cuts = _class_cuts(df, target, place, {v: [k - 1] for v, k in take.items()}, sizes)
     reached = wide.fetch(
         df, {str(i): F.count_if((quoted(target) == F.lit(v)) & (place <= F.lit(cuts[v][0]))) for i, v in enumerate(take)}
     )
@@ -86,7 +100,9 @@ def safe_folds(sizes: Mapping[object, int], folds: int) -> int:
     return max(2, min(folds, 10, min(sizes.values(), default=folds)))
 
 
-def assign_folds(df: DataFrame, keys: Sequence[str], folds: int = 5, target: str | None = None, seed: int = SEED) -> DataFrame:
+def assign_folds(
+    df: DataFrame, keys: Sequence[str], folds: int = 5, target: str | None = None, seed: int = SEED, sizes: Mapping[object, int] | None = None
+) -> DataFrame:
     """Add ``fold`` (0..k-1), balanced over the table or, with a target, inside every class.
 
     The number of folds is clamped to 2..10 and to the smallest class.
@@ -99,12 +115,12 @@ def assign_folds(df: DataFrame, keys: Sequence[str], folds: int = 5, target: str
     if target is None:
         n = df.count()
         k = safe_folds({}, min(folds, n))
-        at = order_statistics(df, {"x": (place, [c - 1 for c in cuts(n, k)])})["x"]
+        at = order_statistics(df, {"x": (place, [c - 1 for c in cuts(n, k)])}, {"x": n})["x"]
         fold = F.size(F.filter(F.array(*[F.lit(v) for v in at]), lambda t: t < place))
         return df.withColumn("fold", fold.cast("int"))
-    sizes = _class_sizes(df, target)
+    sizes = class_sizes(df, target) if sizes is None else sizes
     k = safe_folds(sizes, folds)
-    at = _class_cuts(df, target, place, {v: [c - 1 for c in cuts(n, k)] for v, n in sizes.items()})
+    at = _class_cuts(df, target, place, {v: [c - 1 for c in cuts(n, k)] for v, n in sizes.items()}, sizes)
     fold = F.lit(None).cast("int")
     for v, values in at.items():
         inside = F.size(F.filter(F.array(*[F.lit(x) for x in values]), lambda t: t < place)).cast("int")
@@ -168,9 +184,17 @@ def _numeric_value(df: DataFrame, c: str, date: bool) -> Column:
 
 
 def fit_preparation(
-    train: DataFrame, features: Sequence[str], encoding: str = "one_hot", scale: bool = True, drop_id_text: bool = True
+    train: DataFrame,
+    features: Sequence[str],
+    encoding: str = "one_hot",
+    scale: bool = True,
+    drop_id_text: bool = True,
+    rows: int | None = None,
 ) -> Preparation:
-    """Learn medians, means, population deviations, modes and categories from ``train`` only."""
+    """Learn medians, means, population deviations, modes and categories from ``train`` only.
+
+    ``rows`` is a known bound of the training rows.
+    """
     chosen = train.select(*[quoted(c) for c in features])
     if drop_id_text:
         chosen = drop_high_cardinality(chosen, rule="prep")
@@ -182,7 +206,7 @@ def fit_preparation(
     numbers = [c for c in chosen.columns if c in plain or c in dates]
     texts = [c for c in text_columns(chosen) if c not in dates]
     values = {c: _numeric_value(chosen, c, c in dates) for c in numbers}
-    fills = {c: v[0] if v[0] is not None else 0.0 for c, v in quantiles(chosen, {c: (v, [0.5]) for c, v in values.items()}).items()}
+    fills = {c: v[0] if v[0] is not None else 0.0 for c, v in quantiles(chosen, {c: (v, [0.5]) for c, v in values.items()}, at_most=rows).items()} if numbers else {}
     numeric = {}
     if numbers and scale:
         filled = {c: F.coalesce(values[c], F.lit(fills[c])) for c in numbers}
@@ -190,8 +214,8 @@ def fit_preparation(
         numeric = {c: (fills[c], got[f"m|{c}"], got[f"s|{c}"] or 1.0) for c in numbers}
     elif numbers:
         numeric = {c: (fills[c], 0.0, 1.0) for c in numbers}
-    common = modes(chosen, texts)
-    categorical = {c: (common.get(c, "unknown"), categories(chosen, c, CATEGORY_LIMIT)) for c in texts}
+    found = modes_and_categories(chosen, texts, CATEGORY_LIMIT)
+    categorical = {c: ("unknown" if mode is None else mode, values) for c, (mode, values) in found.items()}
     return Preparation(numeric, categorical, dates, encoding)
 
 
@@ -250,7 +274,7 @@ def reconcile_labels(df: DataFrame, column: str, mapping: DataFrame) -> DataFram
 
 def class_weights(df: DataFrame, target: str) -> DataFrame:
     """Add ``weight`` = rows / (classes * rows of the class)."""
-    sizes = _class_sizes(df, target)
+    sizes = class_sizes(df, target)
     total = sum(sizes.values())
     weight = F.lit(None).cast("double")
     for v, n in sizes.items():

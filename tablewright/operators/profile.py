@@ -15,6 +15,9 @@ from tablewright.plans.types import is_date, is_numeric, known, numeric_columns,
 Z_LIMIT = 3.0
 NUMBER_SHARE = 0.8
 DATE_SHARE = 0.5
+# How text must begin to be tried as a number or as a date or time
+NUMBER_START = r"(?i)^\s*[+-]?(\d|\.\d|inf|nan)"
+DATE_START = r"^\s*([+-]?\d{4,7}(-|\s*$)|T?\d{1,2}:)"
 
 
 def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None, outliers: bool = True) -> dict[str, dict]:
@@ -66,8 +69,11 @@ def column_kinds(df: DataFrame) -> dict[str, str]:
         exprs = {}
         for c in texts:
             col = quoted(c)
-            exprs[f"{c}|n"] = F.avg(col.try_cast("double").isNotNull().cast("double"))
-            exprs[f"{c}|d"] = F.avg(F.try_to_timestamp(col).isNotNull().cast("double"))
+            # most text starts like neither, and a failed parse costs far more than the look at its start
+            number = F.when(col.rlike(NUMBER_START), col.try_cast("double"))
+            date = F.when(col.rlike(DATE_START), F.try_to_timestamp(col))
+            exprs[f"{c}|n"] = F.avg(number.isNotNull().cast("double"))
+            exprs[f"{c}|d"] = F.avg(date.isNotNull().cast("double"))
         shares = wide.fetch(df, exprs)
     kinds = {}
     for f in df.schema:

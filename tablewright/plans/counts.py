@@ -49,6 +49,22 @@ def modes(df: DataFrame, columns: Sequence[str]) -> dict:
     return out
 
 
+def modes_and_categories(df: DataFrame, columns: Sequence[str], limit: int) -> dict[str, tuple[object, list]]:
+    """Mode and sorted distinct values of text columns from one job; more than ``limit`` values are an error."""
+    if not columns:
+        return {}
+    rows = value_counts(df, columns).limit((limit + 1) * len(columns)).collect()
+    found: dict[str, dict] = {c: {} for c in columns}
+    for r in rows:
+        found[r["column_name"]][r["value"]] = r["cnt"]
+    for c, counts in found.items():
+        if len(counts) > limit:
+            raise ValueError(f"column {c!r} has more than {limit} distinct values")
+    if len(rows) > limit * len(columns):
+        raise ValueError(f"a column of {', '.join(columns)} has more than {limit} distinct values")
+    return {c: (min(n, key=lambda v: (-n[v], v)) if n else None, sorted(n)) for c, n in found.items()}
+
+
 def categories(df: DataFrame, column: str, limit: int) -> list:
     """Distinct non-null values in order; raises when there are more than ``limit`` of them."""
     rows = df.select(quoted(column).alias("v")).where(F.col("v").isNotNull()).distinct().limit(limit + 1).collect()

@@ -14,11 +14,12 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import IntegralType
 
 from tablewright.plans import wide
 
 EXACT_ROWS = 500_000
-SKETCH_ACCURACY = 10_000
+SKETCH_ACCURACY = 2_000
 _MAX_ROUNDS = 12
 
 
@@ -44,25 +45,43 @@ class _Search:
 
 
 def _small(data: DataFrame, searches: list[_Search]) -> None:
-    frame = data.select(*[s.inside().alias(f"c{i}") for i, s in enumerate(searches)])
-    got = wide.fetch(
-        frame,
-        {
-            str(i): F.expr(f"percentile_disc({(s.rank - s.below + 0.5) / s.size!r}D) WITHIN GROUP (ORDER BY c{i})")
-            for i, s in enumerate(searches)
-        },
-    )
-    for i, s in enumerate(searches):
-        s.value, s.done = got[str(i)], True
+    # searches in the same interval of a column share one buffer of its values
+    shared: dict[tuple, list[_Search]] = {}
+    for s in searches:
+        shared.setdefault((s.column, s.low, s.high), []).append(s)
+    groups = list(shared.values())
+    frame = data.select(*[g[0].inside().alias(f"c{i}") for i, g in enumerate(groups)])
+    exprs = {}
+    for i, group in enumerate(groups):
+        places = ", ".join(f"{(s.rank - s.below + 0.5) / s.size!r}D" for s in group)
+        exprs[str(i)] = F.expr(f"percentile_disc(array({places})) WITHIN GROUP (ORDER BY c{i})")
+    got = wide.fetch(frame, exprs)
+    for i, group in enumerate(groups):
+        whole = isinstance(frame.schema[f"c{i}"].dataType, IntegralType)
+        for s, value in zip(group, got[str(i)]):
+            s.value, s.done = int(value) if whole else value, True
 
 
 def _narrow(data: DataFrame, searches: list[_Search]) -> None:
-    exprs = {}
+    # searches that still look at the same interval share one sketch
+    shared: dict[tuple, list[int]] = {}
     for i, s in enumerate(searches):
-        p = (s.rank - s.below + 0.5) / s.size
-        ends = [max(0.0, p - 4 / SKETCH_ACCURACY), min(1.0, p + 4 / SKETCH_ACCURACY)]
-        exprs[str(i)] = F.percentile_approx(s.inside(), ends, SKETCH_ACCURACY)
-    brackets = wide.fetch(data, exprs)
+        shared.setdefault((s.column, s.low, s.high), []).append(i)
+    exprs, ends = {}, {}
+    for group, members in shared.items():
+        points = set()
+        for i in members:
+            s = searches[i]
+            p = (s.rank - s.below + 0.5) / s.size
+            ends[i] = (max(0.0, p - 4 / SKETCH_ACCURACY), min(1.0, p + 4 / SKETCH_ACCURACY))
+            points.update(ends[i])
+        exprs[str(members[0])] = F.percentile_approx(searches[members[0]].inside(), sorted(points), SKETCH_ACCURACY)
+        shared[group] = [*members, sorted(points)]
+    sketches = wide.fetch(data, exprs)
+    brackets = {}
+    for *members, points in shared.values():
+        at = dict(zip(points, sketches[str(members[0])]))
+        brackets.update({str(i): (at[ends[i][0]], at[ends[i][1]]) for i in members})
     counts = {}
     for i, s in enumerate(searches):
         x, (a, b) = s.inside(), brackets[str(i)]
@@ -112,9 +131,20 @@ def order_statistics(df: DataFrame, wanted: Mapping[str, tuple[Column, Sequence[
     return {n: [s.value for s in group] for n, group in plan.items()}
 
 
-def quantiles(df: DataFrame, wanted: Mapping[str, tuple[Column, Sequence[float]]], counts: Mapping[str, int] | None = None) -> dict[str, list]:
-    """Exact quantiles with linear interpolation; ``None`` for a column without values."""
+def quantiles(
+    df: DataFrame,
+    wanted: Mapping[str, tuple[Column, Sequence[float]]],
+    counts: Mapping[str, int] | None = None,
+    at_most: int | None = None,
+) -> dict[str, list]:
+    """Exact quantiles with linear interpolation; ``None`` for a column without values.
+
+    ``counts`` are the known numbers of values, ``at_most`` a known bound of the rows; either saves a scan.
+    """
     names = list(wanted)
+    if at_most is not None and at_most <= EXACT_ROWS:
+        got = wide.fetch(df, {n: F.percentile(wanted[n][0].cast("double"), list(wanted[n][1])) for n in names})
+        return {n: got[n] if got[n] is not None else [None] * len(wanted[n][1]) for n in names}
     if counts is None:
         data = df.select(*[wanted[n][0].alias(f"v{i}") for i, n in enumerate(names)])
         counts = wide.fetch(data, {n: F.count(F.col(f"v{i}")) for i, n in enumerate(names)})

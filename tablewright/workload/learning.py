@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tablewright.operators import explain as x
 from tablewright.operators import learn as ml
+from tablewright.plans.counts import categories
 from tablewright.plans.durable import scratch_path
 from tablewright.plans.types import rounded
 from tablewright.workload.fragments import r
@@ -65,7 +66,7 @@ def _(t):
     from pyspark.ml.feature import VectorAssembler
 
     df = t.sql(BAYES, "events")
-    classes = ml.categories(df, "event_type", 100)
+    classes = categories(df, "event_type", 100)
     rows = df.withColumn("label", ml.label_column(df, "event_type", classes))
     vectors = VectorAssembler(inputCols=["value", "k"], outputCol="features").transform(rows)
     model = ml.estimator("NaiveBayes", "classification", df.count(), len(classes)).fit(vectors)

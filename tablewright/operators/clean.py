@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tablewright.operators.profile import column_kinds, numeric_summary
 from tablewright.plans import wide
-from tablewright.plans.counts import categories, distinct_counts, modes
+from tablewright.plans.counts import categories, counted_categories, distinct_counts, modes
 from tablewright.plans.durable import durable
 from tablewright.plans.ordered import fill, join_back, row_numbers
 from tablewright.plans.selection import quantiles
@@ -94,12 +94,13 @@ def impute(
 
 
 def dedup(
-    df: DataFrame, order_by: Sequence[str] = (), keep: str = "first", subset: Sequence[str] = ()
+    df: DataFrame, order_by: Sequence[str] = (), keep: str = "first", subset: Sequence[str] = (), count: bool = True
 ) -> tuple[DataFrame, dict]:
     """One row per group of rows equal in ``subset`` (default: every column but the order columns).
 
     The survivor is the first or last in ``order_by``; without it any, for the rows are then identical.
     The choice is an aggregate, so copies are folded on the map side however hot a group is.
+    Without ``count`` nothing runs yet and the stats are empty.
     """
     keys = list(subset) or [c for c in df.columns if c not in order_by]
     group = [known(df, c).alias(c) for c in keys]
@@ -111,6 +112,8 @@ def dedup(
         pick = F.max_by if keep == "last" else F.min_by
         kept = df.groupBy(*group).agg(pick(F.struct(*[quoted(c) for c in rest]), order).alias("_kept"))
         out = kept.select(*[quoted(c) if c in keys else F.col("_kept")[c].alias(c) for c in df.columns])
+    if not count:
+        return out, {}
     before = df.count()
     after = out.count()
     return out, {"before": before - after, "after": 0, "removed": before - after}
@@ -207,8 +210,9 @@ def one_hot(
     """
     holes = _missing(df, columns)
     added: dict[str, Column] = {}
+    found = counted_categories(df, columns, max_categories)
     for c in columns:
-        values = categories(df.where(known(df, c).isNotNull()), c, max_categories)
+        values = list(found[c])
         if not drop_first and holes[c]:
             values = [*values, None]
         if len(values) > max_categories:
@@ -343,11 +347,13 @@ def auto(df: DataFrame) -> tuple[DataFrame, dict]:
     scan; the de-duplicated table is written once and those scans read it back.
     """
     out, imputed = impute(df, "median")
-    out, copies = dedup(out)
+    total = df.count()
+    out, _ = dedup(out, count=False)
+    out = durable(out)
+    copies = total - out.count()
     kinds = column_kinds(out)
     texts = [c for c in text_columns(out) if kinds[c] != "datetime"]
     out, encoded = one_hot(out, texts, drop_first=True)
-    out = durable(out)
     removed = 0
     for c in numeric_columns(out):
         limits = fences(out, [c])
@@ -360,7 +366,7 @@ def auto(df: DataFrame) -> tuple[DataFrame, dict]:
     out, scaled = scale(out, "minmax")
     return out, {
         "missing_imputed": imputed["filled"],
-        "duplicates_removed": copies["removed"],
+        "duplicates_removed": copies,
         "categorical_encoded": len(texts),
         "outliers_removed": removed,
         "features_scaled": scaled["scaled"],

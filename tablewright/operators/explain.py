@@ -6,11 +6,11 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Transformer
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tablewright.operators.profile import correlations
 from tablewright.plans import wide
-from tablewright.plans.ordered import row_numbers
+from tablewright.plans.ordered import row_numbers, running_sums
 from tablewright.plans.types import known, quoted
 
 TOP_FEATURES = 20
@@ -70,16 +70,13 @@ def agreement(first: DataFrame, second: DataFrame, n: int = 10) -> DataFrame:
 
 
 def cumulative_importance(importances: DataFrame) -> DataFrame:
-    """How many of the strongest features (feature, importance) reach 50 % and 90 % of the total.
-
-    The running sum goes over features, one row each.
-    """
-    w = Window.partitionBy(F.lit(0)).orderBy(F.desc("importance"), "feature")
-    everything = Window.partitionBy(F.lit(0))
-    share = F.sum("importance").over(w.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("importance").over(everything)
-    ranked = importances.select(F.row_number().over(w).alias("n"), share.alias("share"))
-    reach = lambda s: F.min(F.when(F.col("share") >= s - 1e-12, F.col("n"))).cast("bigint")
-    return ranked.agg(reach(0.5).alias("features_for_50pct"), reach(0.9).alias("features_for_90pct"), F.count("*").alias("total_features"))
+    """How many of the strongest features (feature, importance) reach 50 % and 90 % of the total."""
+    total = importances.agg(F.sum("importance")).first()[0] or 0.0
+    ranked = importances.select("feature", (-F.col("importance")).alias("weakness"), "importance")
+    reached = running_sums(ranked, ["weakness", "feature"], {"reached": F.col("importance")})
+    # the features that still lie below the mark, and the one that passes it
+    need = lambda s: F.count_if(F.col("reached") < F.lit(total) * (s - 1e-12)) + 1
+    return reached.agg(need(0.5).alias("features_for_50pct"), need(0.9).alias("features_for_90pct"), F.count("*").alias("total_features"))
 
 
 def _strengths(model: object) -> list[float] | None:

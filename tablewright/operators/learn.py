@@ -28,10 +28,13 @@ from tablewright.operators.prep import (
     split_stratified, test_sizes,
 )
 from tablewright.plans import wide
+from tablewright.plans.ordered import row_numbers
 from tablewright.plans.selection import first_rows_bound
 from tablewright.plans.types import known, quoted
 
 SEED = 42
+TOLERANCE = 1e-4  # the usual stopping rule of linear classifiers
+COLLINEAR = 1e-9  # enough to solve plain least squares when one-hot columns add up to one
 SPARK_DEPTH = 30  # the deepest tree Spark grows; stands for "no limit"
 
 # The parameter grids
@@ -72,9 +75,9 @@ def estimator(
     c_penalty = 1.0 / (float(p.get("C", 1.0)) * rows)
     classify = task == "classification"
     if name == "LogisticRegression":
-        return LogisticRegression(regParam=c_penalty, standardization=False, maxIter=100)
+        return LogisticRegression(regParam=c_penalty, standardization=False, maxIter=100, tol=TOLERANCE)
     if name == "LinearSVM":
-        svm = LinearSVC(regParam=c_penalty, standardization=False, maxIter=50)
+        svm = LinearSVC(regParam=c_penalty, standardization=False, maxIter=50, tol=TOLERANCE)
         return svm if classes == 2 else OneVsRest(classifier=svm)
     if name == "NaiveBayes":
         return NaiveBayes(modelType="gaussian", smoothing=float(p.get("var_smoothing", 1e-9)))
@@ -93,7 +96,7 @@ def estimator(
         return gbt if not classify or classes == 2 else OneVsRest(classifier=gbt)
     if name in ("Linear", "Ridge", "Lasso"):
         alpha = float(p.get("alpha", 1.0))
-        penalty = {"Linear": 0.0, "Ridge": alpha * label_std / rows, "Lasso": alpha}[name]
+        penalty = {"Linear": COLLINEAR, "Ridge": alpha * label_std / rows, "Lasso": alpha}[name]
         lasso = name == "Lasso"
         return LinearRegression(regParam=penalty, elasticNetParam=1.0 if lasso else 0.0, standardization=False, tol=1e-9 if lasso else 1e-6)
     raise ValueError(f"unknown model {name!r}")
@@ -115,6 +118,13 @@ class TrainingData:
     classes: list
     train_rows: int
     label_std: float = 1.0
+    source: DataFrame | None = None
+
+    def release(self) -> None:
+        """Give back the cached rows."""
+        self.train.unpersist()
+        if self.source is not None:
+            self.source.unpersist()
 
     @property
     def names(self) -> list[str]:
@@ -160,13 +170,19 @@ def prepare(
     train = side(dealt, "fold").persist()  # read by every fit and fold
     test = side(split.where("is_test"))
     n, std = train.agg(F.count("*"), F.stddev_pop("label")).first()
-    return TrainingData(task, target, list(keys), train, test, fitted, classes, n, std if task == "regression" else 1.0)
+    return TrainingData(task, target, list(keys), train, test, fitted, classes, n, std if task == "regression" else 1.0, needed)
+
+
+ROWS_PER_TASK = 20_000
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows that every fit walks again and again, dealt over all cores where the source has too few pieces."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Rows that every fit walks again and again, dealt over the cores where the source has too few pieces for its size."""
+    cores, pieces = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    if pieces >= cores:
+        return df
+    wanted = min(cores, math.ceil(df.count() / ROWS_PER_TASK))
+    return df.repartition(wanted) if wanted > pieces else df
 
 
 # --- scores -----------------------------------------------------------------------------------------
@@ -183,7 +199,10 @@ def main_metric(task: str) -> str:
 
 
 def _score(model: Transformer, df: DataFrame, task: str) -> float:
-    return metrics(model.transform(df), task)[main_metric(task)]
+    """Accuracy or R2 alone: one scan."""
+    y, p = F.col("label"), F.col("prediction")
+    score = F.avg((y == p).cast("double")) if task == "classification" else 1 - F.avg((y - p) * (y - p)) / F.var_pop(y)
+    return float(model.transform(df).agg(score).first()[0])
 
 
 def _new(data: TrainingData, name: str, params: Mapping | None) -> Estimator:
@@ -296,8 +315,9 @@ def automl(
 
 def leaderboard(results: DataFrame, metric: str, key: str) -> DataFrame:
     """Results (one row per model) ranked by a metric, models without it last."""
-    best = Window.partitionBy(F.lit(0)).orderBy(F.col(metric).desc_nulls_last(), quoted(key))
-    return results.withColumn("place", F.row_number().over(best)).orderBy("place")
+    keyed = results.withColumns({"_none": quoted(metric).isNull(), "_down": -quoted(metric)})
+    placed = row_numbers(keyed, ["_none", "_down", key], "place").drop("_none", "_down")
+    return placed.withColumn("place", F.col("place").cast("int")).orderBy("place")
 
 
 def baseline_and_optimized(data: TrainingData, name: str, baseline: Mapping, n: int = 8, grid: Mapping | None = None) -> DataFrame:

@@ -366,10 +366,9 @@ def feature_roles(df: DataFrame) -> DataFrame:
 
 def class_share(df: DataFrame, target: str) -> DataFrame:
     """Count and share per class of the rows with a known class."""
+    total = df.agg(F.count(known(df, target))).first()[0]
     counts = df.where(known(df, target).isNotNull()).groupBy(quoted(target).alias("label")).agg(F.count("*").alias("cnt"))
-    # after the aggregate only one row per class is left
-    share = F.col("cnt") / F.sum("cnt").over(Window.partitionBy(F.lit(0))) * 100
-    return counts.withColumn("pct", rounded(share, 2))
+    return counts.withColumn("pct", rounded(F.col("cnt") / F.lit(max(total, 1)) * 100, 2))
 
 
 def class_imbalance(df: DataFrame, target: str, max_classes: int = 20) -> DataFrame:

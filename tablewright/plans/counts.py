@@ -32,42 +32,47 @@ def distinct_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
     return {c: found.get(c, 0) for c in columns}
 
 
+def _by_type(df: DataFrame, columns: Sequence[str]) -> list[DataFrame]:
+    """Rows (column_name, v, n) of the non-null values, one frame and one job per data type among the columns."""
+    kinds: dict[str, list[str]] = {}
+    for c in columns:
+        kinds.setdefault(df.schema[c].dataType.simpleString(), []).append(c)
+    out = []
+    for names in kinds.values():
+        pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), known(df, c).alias("v")) for c in names])
+        rows = df.select(F.inline(pairs)).where(F.col("v").isNotNull())
+        out.append(rows.groupBy("column_name", "v").agg(F.count("*").alias("n")))
+    return out
+
+
 def modes(df: DataFrame, columns: Sequence[str]) -> dict:
     """Most frequent non-null value per column in its own type, ties to the smallest; columns without values are left out."""
     out = {}
-    for c in columns:
-        row = (
-            df.select(known(df, c).alias("v"))
-            .where(F.col("v").isNotNull())
-            .groupBy("v")
-            .agg(F.count("*").alias("n"))
-            .agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("v"))).alias("best"))
-            .first()
-        )
-        if row["best"] is not None:
-            out[c] = row["best"]["v"]
+    for counts in _by_type(df, columns):
+        best = counts.groupBy("column_name").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("v"))).alias("best"))
+        out.update({r["column_name"]: r["best"]["v"] for r in best.collect()})
     return out
 
 
-def modes_and_categories(df: DataFrame, columns: Sequence[str], limit: int) -> dict[str, tuple[object, list]]:
-    """Mode and sorted distinct values of text columns from one job; more than ``limit`` values are an error."""
-    if not columns:
-        return {}
-    rows = value_counts(df, columns).limit((limit + 1) * len(columns)).collect()
+def counted_categories(df: DataFrame, columns: Sequence[str], limit: int) -> dict[str, dict]:
+    """Distinct non-null values with their counts, in order; more than ``limit`` values in a column are an error."""
     found: dict[str, dict] = {c: {} for c in columns}
-    for r in rows:
-        found[r["column_name"]][r["value"]] = r["cnt"]
-    for c, counts in found.items():
-        if len(counts) > limit:
-            raise ValueError(f"column {c!r} has more than {limit} distinct values")
-    if len(rows) > limit * len(columns):
-        raise ValueError(f"a column of {', '.join(columns)} has more than {limit} distinct values")
-    return {c: (min(n, key=lambda v: (-n[v], v)) if n else None, sorted(n)) for c, n in found.items()}
+    for counts in _by_type(df, columns):
+        rows = counts.limit((limit + 1) * len(columns)).collect()
+        for r in rows:
+            found[r["column_name"]][r["v"]] = r["n"]
+        if len(rows) > limit * len(columns) or any(len(v) > limit for v in found.values()):
+            wide = [c for c, v in found.items() if len(v) > limit] or list(columns)
+            raise ValueError(f"more than {limit} distinct values in {', '.join(wide)}")
+    return {c: dict(sorted(v.items())) for c, v in found.items()}
+
+
+def modes_and_categories(df: DataFrame, columns: Sequence[str], limit: int) -> dict[str, tuple[object, list]]:
+    """Mode and sorted distinct values of each column."""
+    found = counted_categories(df, columns, limit)
+    return {c: (min(n, key=lambda v: (-n[v], v)) if n else None, list(n)) for c, n in found.items()}
 
 
 def categories(df: DataFrame, column: str, limit: int) -> list:
     """Distinct non-null values in order; raises when there are more than ``limit`` of them."""
-    rows = df.select(quoted(column).alias("v")).where(F.col("v").isNotNull()).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"column {column!r} has more than {limit} distinct values")
-    return sorted(r["v"] for r in rows)
+    return list(counted_categories(df, [column], limit)[column])

@@ -18,9 +18,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tablewright.plans.durable import durable
 from tablewright.plans.types import epoch_micros, is_date, quoted
 
 CHUNK_ROWS = 2_000_000
+MAX_CHUNKS = 4096  # beyond it chunks grow instead: every border is a literal in the plan
 _SAMPLE_PER_CHUNK = 20
 _FLAT_LOOKUP = 64
 BROADCAST_ROWS = 1_000_000
@@ -63,13 +65,13 @@ def _lookup(key: Column, bounds: list[Column]) -> Column:
 
 
 def chunked(df: DataFrame, order_by: Sequence[str], partition_by: Sequence[str] = (), rows: int | None = None) -> Chunks:
-    """Cut ``df`` into chunks of about ``CHUNK_ROWS`` consecutive rows in (partition, order) order."""
+    """Cut ``df`` into chunks of about ``CHUNK_ROWS`` consecutive rows (at most ``MAX_CHUNKS``) in (partition, order) order."""
     partition = [f"_p{i}" for i in range(len(partition_by))]
     order = [f"_o{i}" for i in range(len(order_by))]
     names = [*partition, *order]
     data = df.withColumns({n: _key(df, c) for n, c in zip(names, [*partition_by, *order_by])})
     total = df.count() if rows is None else rows
-    wanted = math.ceil(total / CHUNK_ROWS)
+    wanted = min(MAX_CHUNKS, math.ceil(total / CHUNK_ROWS))
     if wanted <= 1:
         return Chunks(data.withColumn("_chunk", F.lit(0)), partition, order, 1, None)
     sample = (
@@ -218,13 +220,15 @@ def fill(
     return out.select(*[F.coalesce(quoted(c), before[c]).alias(c) if c in before else quoted(c) for c in df.columns])
 
 
-def join_back(df: DataFrame, lookup: DataFrame, keys: Sequence[str], weight: str, how: str = "inner") -> DataFrame:
+def join_back(
+    df: DataFrame, lookup: DataFrame, keys: Sequence[str], weight: str, how: str = "inner", size: int | None = None
+) -> DataFrame:
     """Join ``df`` (inner or left) with one row per key, safe against hot keys.
 
-    ``weight`` is the number of rows of ``df`` behind each key.  A small lookup is broadcast after its size
+    ``weight`` is the number of rows of ``df`` behind each key, ``size`` the rows of the lookup if known.  A small lookup is broadcast after its size
     is checked.  Otherwise the few keys heavier than ``HOT_ROWS`` are broadcast and the rest is shuffled.
     """
-    size = lookup.count()
+    size = lookup.count() if size is None else size
     if size <= BROADCAST_ROWS:
         return df.join(F.broadcast(lookup.drop(weight)), list(keys), how)
     hot = lookup.where(F.col(weight) > HOT_ROWS)
@@ -238,7 +242,10 @@ def join_back(df: DataFrame, lookup: DataFrame, keys: Sequence[str], weight: str
 def ranks(df: DataFrame, column: str, descending: bool = True) -> DataFrame:
     """Add ``rank`` and ``dense_rank`` over the whole table, computed on the distinct values."""
     counted = df.groupBy(quoted(column).alias("_v")).agg(F.count("*").alias("_n"))
+    size = counted.count()
+    if size > BROADCAST_ROWS:
+        counted = durable(counted)  # read several times below
     one = F.lit(1).cast("bigint")
-    table = running_sums(counted, ["_v"], {"_upto": F.col("_n"), "dense_rank": one}, descending)
+    table = running_sums(counted, ["_v"], {"_upto": F.col("_n"), "dense_rank": one}, descending, rows=size)
     table = table.select(F.col("_v").alias(column), "_n", (F.col("_upto") - F.col("_n") + 1).alias("rank"), "dense_rank")
-    return join_back(df, table, [column], "_n")
+    return join_back(df, table, [column], "_n", size=size)

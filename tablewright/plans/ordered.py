@@ -229,14 +229,22 @@ def join_back(
     is checked.  Otherwise the few keys heavier than ``HOT_ROWS`` are broadcast and the rest is shuffled.
     """
     size = lookup.count() if size is None else size
+    match = {k: f"_k{i}" for i, k in enumerate(keys)}
+    lookup = lookup.withColumnsRenamed(match)
+    same = F.lit(True)
+    for key, other in match.items():
+        same = same & quoted(key).eqNullSafe(F.col(other))  # null is a key like any other
+
+    def joined(left: DataFrame, right: DataFrame, kind: str) -> DataFrame:
+        return left.join(right, same, kind).drop(*match.values())
+
     if size <= BROADCAST_ROWS:
-        return df.join(F.broadcast(lookup.drop(weight)), list(keys), how)
+        return joined(df, F.broadcast(lookup.drop(weight)), how)
     hot = lookup.where(F.col(weight) > HOT_ROWS)
     cold = lookup.where(F.col(weight) <= HOT_ROWS)
     few = F.broadcast(hot.drop(weight))  # at most rows / HOT_ROWS keys can be this heavy
-    return df.join(few, list(keys)).unionByName(
-        df.join(few, list(keys), "left_anti").join(cold.drop(weight), list(keys), how)
-    )
+    rest = joined(df, few, "left_anti")
+    return joined(df, few, "inner").unionByName(joined(rest, cold.drop(weight), how))
 
 
 def ranks(df: DataFrame, column: str, descending: bool = True) -> DataFrame:

@@ -91,6 +91,18 @@ def test_ranks(spark, small_limits):
     assert (got["dense_rank"] == got["tied"].rank(method="dense", ascending=False)).all()
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_ranks_keep_rows_without_value(spark, small, request):
+    if small:
+        request.getfixturevalue("small_limits")
+    df = skewed(spark)
+    got = ordered.ranks(df, "gap").toPandas()
+    assert len(got) == 3000
+    known = got[got["gap"].notna()]
+    assert (known["rank"] == known["gap"].rank(method="min", ascending=False)).all()
+    assert set(got[got["gap"].isna()]["rank"]) == {len(known) + 1}
+
+
 def test_join_back_left_keeps_all_rows(spark, small_limits):
     df = skewed(spark)
     lookup = df.where("key < 50").groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("top"))

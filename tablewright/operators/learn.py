@@ -24,7 +24,7 @@ from tablewright.operators import evaluate
 from tablewright.operators.blocks import nearest
 from tablewright.operators.detection import require_valid_target, suggest_target, task_type
 from tablewright.operators.prep import (
-    CATEGORY_LIMIT, TEST_SHARE, Preparation, assign_folds, can_stratify, class_sizes, fit_preparation, hash_position, split_random,
+    TEST_SHARE, Preparation, assign_folds, can_stratify, class_sizes, fit_preparation, hash_position, split_random,
     split_stratified, test_sizes,
 )
 from tablewright.plans import wide
@@ -435,7 +435,7 @@ def oversample(df: DataFrame, target: str, key: str, features: Sequence[str], k:
     Returns (source_id, copy, label, features...); copy 0 is the row itself.
     """
     rows = df.select(quoted(key).alias("id"), quoted(target).alias("label"), F.array(*[quoted(c).cast("double") for c in features]).alias("point"))
-    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).limit(CATEGORY_LIMIT).collect()}
+    sizes = class_sizes(rows, "label")
     largest = max(sizes.values())
     named = lambda point: [F.element_at(point, i + 1).alias(c) for i, c in enumerate(features)]
     out = rows.select(F.col("id").alias("source_id"), F.lit(0).cast("bigint").alias("copy"), "label", *named(F.col("point")))

@@ -263,7 +263,10 @@ def label_map(df: DataFrame, target: str) -> DataFrame:
 
 def reconcile_labels(df: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
     """Translate labels or codes into codes by the map (size bounded by the number of classes); others raise."""
-    codes = {r["label"]: r["code"] for r in mapping.limit(CATEGORY_LIMIT).collect()}
+    rows = mapping.limit(CATEGORY_LIMIT + 1).collect()
+    if len(rows) > CATEGORY_LIMIT:
+        raise ValueError(f"a label map holds at most {CATEGORY_LIMIT} classes")
+    codes = {r["label"]: r["code"] for r in rows}
     text = quoted(column).cast("string")
     both = {**{str(c): c for c in codes.values()}, **codes}
     place = F.create_map(*[x for k, v in both.items() for x in (F.lit(k), F.lit(v))])

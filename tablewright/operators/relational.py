@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tablewright.operators.prep import hash_position
 from tablewright.plans.ordered import row_numbers
 from tablewright.plans.types import known, quoted
 
@@ -119,8 +120,7 @@ def sample_evenly(df: DataFrame, order_by: Sequence[str], k: int) -> DataFrame:
 
 def sample_rows(df: DataFrame, keys: Sequence[str], k: int, seed: int = 42) -> DataFrame:
     """``k`` rows in the order of a hash of their key: repeatable, and the same on any partitioning."""
-    place = F.xxhash64(F.lit(seed), *[quoted(c) for c in keys])
-    return df.orderBy(place, *keys).limit(k)
+    return df.orderBy(hash_position(keys, seed), *keys).limit(k)
 
 
 def visible_datasets(datasets: DataFrame, shares: DataFrame, user_id: object, email: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql.types import IntegralType
 
 from tablewright.plans import wide
 
-EXACT_ROWS = 500_000
+EXACT_ROWS = 1_000_000
 SKETCH_ACCURACY = 2_000
 _MAX_ROUNDS = 12
 

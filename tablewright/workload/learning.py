@@ -238,7 +238,22 @@ def _(t):
     return x.permutation_attribution(rows, model, data.names, "event_id", signs)
 
 
-@query("local_attribution")
+@query(
+    "local_attribution",
+    f"""WITH t AS ({PRICES}), s AS (SELECT regr_slope(price, value) AS slope FROM t)
+    SELECT event_id AS key, 'value' AS feature, {r('slope * (value - 50)', 4)} AS attribution FROM t, s""",
+)
+def _(t):
+    from pyspark.ml.feature import VectorAssembler
+
+    df = t.sql(PRICES, "events")
+    vectors = VectorAssembler(inputCols=["value"], outputCol="features").transform(df.withColumnRenamed("price", "label"))
+    model = ml.estimator("Linear", "regression", df.count()).fit(vectors)
+    out = x.local_attribution(df, model, ["value"], "event_id", {"value": 50.0})
+    return out.withColumn("attribution", rounded(F.col("attribution"), 4))
+
+
+@query("local_attribution_features")
 def _(t):
     data, model = _line_model(t)
     rows = data.preparation.transform(t.sql(PRICES, "events"), ["event_id"])

@@ -75,7 +75,7 @@ _KINDS = ["click", "purchase", "signup", "view"]
     f AS (SELECT event_id, is_test, coalesce(amount, amount_fill) AS amount, coalesce(k, k_fill) AS k, CAST(CAST(late AS INTEGER) AS DOUBLE) AS late,
       coalesce(kind, kind_fill) AS kind FROM t, a, m),
     s AS (SELECT avg(amount) AS ma, stddev_pop(amount) AS sa, avg(k) AS mk, stddev_pop(k) AS sk, avg(late) AS ml, stddev_pop(late) AS sl FROM f WHERE NOT is_test)
-    SELECT event_id, is_test, {r('(amount - ma) / sa')} AS amount, {r('(k - mk) / sk')} AS k, {r('(late - ml) / sl')} AS late,
+    SELECT event_id, is_test, {r('(amount - ma) / sa')} AS amount, {r('(k - mk) / sk')} AS k, {r('(late - ml) / CASE WHEN sl > 0 THEN sl ELSE 1 END')} AS late,
     {', '.join(f"CASE WHEN kind = '{v}' THEN 1e0 ELSE 0e0 END AS kind_{v}" for v in _KINDS)} FROM f, s""",
 )
 def _(t):

@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from tablewright.operators import clean, relational as rel
-from tablewright.operators.prep import hash_position
 from tablewright.operators.profile import unbiased_skewness
 from tablewright.plans.selection import quantiles
 from tablewright.plans.types import numeric_columns, rounded
@@ -410,11 +409,14 @@ def _(t):
     return rel.sample_evenly(t("events"), ["ts", "event_id"], 300).select("event_id", "value")
 
 
-@query("sample_rows")
+@query(
+    "sample_rows",
+    """WITH r AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY substr(md5('42|' || o_orderkey), 1, 13), o_orderkey) AS place, count(*) OVER () AS n FROM orders)
+    SELECT o_orderkey, o_totalprice FROM r WHERE place <= least(50000, n // 10)""",
+)
 def _(t):
-    n = t("lineitem").count()
-    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
-    return rel.sample_rows(t("lineitem"), keys, min(50_000, n // 10))
+    n = t("orders").count()
+    return rel.sample_rows(t("orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"], min(50_000, n // 10))
 
 
 @query("sort_nulls_last", "SELECT quantity, discount, flag, count(*) AS n FROM (" + SHORT_ITEMS + ") GROUP BY ALL ORDER BY flag NULLS LAST, discount DESC NULLS LAST")

@@ -14,6 +14,7 @@ from tablewright.operators.clean import clip, drop_constants, drop_high_cardinal
 from tablewright.operators.profile import column_kinds
 from tablewright.plans import wide
 from tablewright.plans.counts import categories, modes_and_categories
+from tablewright.plans.durable import durable
 from tablewright.plans.selection import first_rows_bound, order_statistics, quantiles
 from tablewright.plans.types import epoch_micros, is_date, is_numeric, known, quoted, text_columns
 
@@ -30,9 +31,9 @@ def hash_position(keys: Sequence[str], seed: int = SEED) -> Column:
 
 def split_random(df: DataFrame, keys: Sequence[str], share: float = TEST_SHARE, seed: int = SEED) -> DataFrame:
     """Add ``is_test``: exactly ceil(share * rows) rows, the first by the hash of their (unique) key."""
-    place = hash_position(keys, seed)
-    k = math.ceil(round(share * df.count(), 9))
-    return df.withColumn("is_test", first_rows_bound(df, [place, *[quoted(c) for c in keys]], k))
+    place, rows = hash_position(keys, seed), df.count()
+    k = math.ceil(round(share * rows, 9))
+    return df.withColumn("is_test", first_rows_bound(df, [place, *[quoted(c) for c in keys]], k, rows))
 
 
 def class_sizes(df: DataFrame, target: str) -> dict:
@@ -232,7 +233,7 @@ def engine_clean(
     leakage: bool = True,
 ) -> tuple[DataFrame, Preparation]:
     """The one-call training preparation of a whole table; ``keep`` are key columns carried along."""
-    out = df.distinct() if dedupe else df
+    out = durable(df.distinct()) if dedupe else df  # the steps below read it about ten times
     if not imputation:
         out = out.dropna()
     if leakage:

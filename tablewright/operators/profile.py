@@ -118,11 +118,12 @@ def profile_columns(df: DataFrame) -> DataFrame:
 
 def top_values(df: DataFrame, columns: Sequence[str], n: int = 5, max_distinct: int = 20) -> DataFrame:
     """The ``n`` most frequent values of each column that has fewer than ``max_distinct`` of them."""
-    counts = value_counts(df, columns)
-    few = counts.groupBy("column_name").agg(F.count("*").alias("_d")).where(F.col("_d") < max_distinct).drop("_d")
+    few = [c for c, d in distinct_counts(df, columns).items() if 0 < d < max_distinct]
+    if not few:
+        return wide.rows_frame(df.sparkSession, [], "column_name string, value string, cnt bigint, position int")
     order = Window.partitionBy("column_name").orderBy(F.desc("cnt"), F.asc("value"))
     return (
-        counts.join(F.broadcast(few), "column_name")
+        value_counts(df, few)
         .withColumn("position", F.row_number().over(order))
         .where(F.col("position") <= n)
     )
@@ -130,17 +131,25 @@ def top_values(df: DataFrame, columns: Sequence[str], n: int = 5, max_distinct:
 
 def profile_result(df: DataFrame) -> DataFrame:
     """Profile of a query result: nulls, distinct values, extremes as text, mean, median and deviation."""
-    total, missing = _null_counts(df)
-    unique = distinct_counts(df, df.columns)
-    numbers = numeric_summary(df, outliers=False)
     ends = wide.fetch(
         df,
         {
-            f"{c}|{name}": make(known(df, c)).cast("string")
-            for c in df.columns
-            for name, make in (("min", F.min), ("max", F.max))
+            "rows": F.count("*"),
+            **{
+                f"{c}|{name}": make(known(df, c))
+                for c in df.columns
+                for name, make in (
+                    ("known", F.count),
+                    ("min", lambda v: F.min(v).cast("string")),
+                    ("max", lambda v: F.max(v).cast("string")),
+                )
+            },
         },
     )
+    total = ends["rows"]
+    missing = {c: total - ends[f"{c}|known"] for c in df.columns}
+    unique = distinct_counts(df, df.columns)
+    numbers = numeric_summary(df, outliers=False)
     rows = []
     for c in df.columns:
         s = numbers.get(c, {})

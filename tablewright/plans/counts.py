@@ -1,39 +1,21 @@
-"""Value counts of many columns at once: the base of distinct counts, modes and top values."""
+"""Value counts of many columns at once: the base of distinct counts, modes, categories and top values."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
 from tablewright.plans.types import known, quoted
 
 
-def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Rows (column_name, value, cnt) of the non-null values, each value as text.
+def _by_type(df: DataFrame, columns: Sequence[str]) -> list[DataFrame]:
+    """Rows (column_name, v, n) of the non-null values, one frame for each data type among the columns.
 
-    One shuffle for all columns; hot values are folded on the map side.
+    Values keep their type until they are counted: turning every number of a table into text costs more than
+    the extra scan.  Hot values are folded on the map side.
     """
-    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), known(df, c).cast("string").alias("value")) for c in columns])
-    return (
-        df.select(F.inline(pairs))
-        .where(F.col("value").isNotNull())
-        .groupBy("column_name", "value")
-        .agg(F.count("*").alias("cnt"))
-    )
-
-
-def distinct_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
-    """Exact number of distinct non-null values per column."""
-    if not columns:
-        return {}
-    rows = value_counts(df, columns).groupBy("column_name").agg(F.count("*").alias("n")).collect()
-    found = {r["column_name"]: r["n"] for r in rows}
-    return {c: found.get(c, 0) for c in columns}
-
-
-def _by_type(df: DataFrame, columns: Sequence[str]) -> list[DataFrame]:
-    """Rows (column_name, v, n) of the non-null values, one frame and one job per data type among the columns."""
     kinds: dict[str, list[str]] = {}
     for c in columns:
         kinds.setdefault(df.schema[c].dataType.simpleString(), []).append(c)
@@ -45,6 +27,21 @@ def _by_type(df: DataFrame, columns: Sequence[str]) -> list[DataFrame]:
     return out
 
 
+def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows (column_name, value, cnt) of the non-null values, each value as text."""
+    texts = [c.select("column_name", F.col("v").cast("string").alias("value"), F.col("n").alias("cnt")) for c in _by_type(df, columns)]
+    return reduce(DataFrame.unionByName, texts)
+
+
+def distinct_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
+    """Exact number of distinct non-null values per column, in one job."""
+    if not columns:
+        return {}
+    sizes = [c.groupBy("column_name").agg(F.count("*").alias("n")) for c in _by_type(df, columns)]
+    found = {r["column_name"]: r["n"] for r in reduce(DataFrame.unionByName, sizes).collect()}
+    return {c: found.get(c, 0) for c in columns}
+
+
 def modes(df: DataFrame, columns: Sequence[str]) -> dict:
     """Most frequent non-null value per column in its own type, ties to the smallest; columns without values are left out."""
     out = {}

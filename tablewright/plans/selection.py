@@ -18,7 +18,7 @@ from pyspark.sql.types import IntegralType
 
 from tablewright.plans import wide
 
-EXACT_ROWS = 1_000_000
+EXACT_ROWS = 100_000
 SKETCH_ACCURACY = 2_000
 _MAX_ROUNDS = 12
 
@@ -166,11 +166,12 @@ def quantiles(
     return out
 
 
-def first_rows_bound(df: DataFrame, order: Sequence[Column], k: int) -> Column | None:
+def first_rows_bound(df: DataFrame, order: Sequence[Column], k: int, rows: int | None = None) -> Column:
     """Condition that holds for exactly the first ``k`` rows in the given (unique, non-null) order.
 
     The bound is found column by column: the value at rank ``k`` of the first column, then the rank that is
-    left among the rows sharing that value, and so on, so no global sort takes place.
+    left among the rows sharing that value, and so on, so no global sort takes place.  ``rows`` is the number of
+    rows if known.
     """
     if k <= 0:
         return F.lit(False)
@@ -178,7 +179,8 @@ def first_rows_bound(df: DataFrame, order: Sequence[Column], k: int) -> Column |
     pieces: list[Column] = []
     for col in order:
         scope = df.where(tied)
-        value = order_statistics(scope, {"x": (col, [rest])})["x"][0]
+        value = order_statistics(scope, {"x": (col, [rest])}, None if rows is None else {"x": rows})["x"][0]
+        rows = None
         pieces.append(tied & (col < F.lit(value)))
         below, same = scope.agg(F.count_if(col < F.lit(value)), F.count_if(col == F.lit(value))).first()
         rest -= below

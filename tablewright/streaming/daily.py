@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tablewright.plans.durable import scratch_path
+from tablewright.plans.types import epoch_micros
+
+MICROS_PER_DAY = 86_400_000_000
 
 
 def stream_log(spark: SparkSession, path: str, schema: T.StructType, pattern: str = "*.parquet") -> DataFrame:
@@ -14,9 +17,11 @@ def stream_log(spark: SparkSession, path: str, schema: T.StructType, pattern: st
 
 def daily_windows(log: DataFrame, ts: str, key: str, lateness: str = "1 day") -> DataFrame:
     """Rows per day and key; a day is final once the watermark has passed its end."""
-    timed = log.withColumn("_at", F.to_timestamp(F.date_format(ts, "yyyy-MM-dd HH:mm:ss.SSSSSS")))
+    # wall-clock time read as UTC on the way in and out, so days do not depend on the session's time zone
+    timed = log.withColumn("_at", F.timestamp_micros(epoch_micros(F.col(ts))))
     counts = timed.withWatermark("_at", lateness).groupBy(F.window("_at", "1 day"), key).agg(F.count("*").alias("cnt"))
-    return counts.select(F.date_format("window.start", "yyyy-MM-dd").alias("date"), key, "cnt")
+    day = F.floor(F.unix_micros("window.start") / MICROS_PER_DAY).cast("int")
+    return counts.select(F.date_add(F.lit("1970-01-01").cast("date"), day).cast("string").alias("date"), key, "cnt")
 
 
 def run_to_end(counts: DataFrame, name: str) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tablewright.plans.ship import ship
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -37,6 +39,7 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"query {name!r} registered twice")
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
             return build(Tables(spark, sf_dir))
 
         run.__name__ = name

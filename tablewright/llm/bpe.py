@@ -18,17 +18,16 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablewright.llm.arrow import columns_of, lists, shares, with_fields
+
 #: Pieces that a task remembers; later ones are encoded whenever they come.
 KEPT_PIECES = 400_000
 #: Ids of pieces that a task remembers; beyond, it starts anew.
 KEPT_IDS = 1 << 24
-#: Bytes of text that are worked on at once; a single longer text is one such share.
-SHARE_BYTES = 1 << 20
 
 
 def byte_characters() -> dict[int, str]:
@@ -162,23 +161,6 @@ def codec(path: str, pattern: str | None) -> Codec:
     return _CODECS[path, pattern]
 
 
-def shares(batch: pa.RecordBatch, column: int):
-    """The batch in slices of about SHARE_BYTES of text."""
-    sizes = batch.column(column).cast(pa.large_string()) if batch.num_rows else None
-    if sizes is None:
-        return
-    length = np.nan_to_num(np.asarray(pc.binary_length(sizes).to_pandas(), dtype=float))
-    part = (np.cumsum(length) // SHARE_BYTES).astype(np.int64)
-    cuts = np.flatnonzero(np.diff(part)) + 1
-    for low, high in zip([0, *cuts], [*cuts, batch.num_rows]):
-        yield batch.slice(low, high - low)
-
-
-def _lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
-    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, type=kind))
-
-
 def character_spans(text: str, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First character of each token and the one after its last; a token that holds part of a character spans it."""
     raw = np.frombuffer(text.encode(), dtype=np.uint8)
@@ -187,10 +169,6 @@ def character_spans(text: str, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return character[ends - sizes], character[ends - 1] + 1
 
 
-def _with(schema: T.StructType, **fields: T.DataType) -> T.StructType:
-    return T.StructType([f for f in schema.fields if f.name not in fields] + [T.StructField(n, k) for n, k in fields.items()])
-
-
 def encode(df: DataFrame, ranks_path: str, pattern: str | None = None, text: str = "text", offsets: bool = False) -> DataFrame:
     """Add ``ids``; with ``offsets`` also ``token_starts`` and ``token_ends`` in characters (end exclusive).
 
@@ -206,14 +184,14 @@ def encode(df: DataFrame, ranks_path: str, pattern: str | None = None, text: str
             for part in shares(batch, at):
                 texts = part.column(at).to_pylist()
                 ids, counts = own.encode(texts)
-                out = [part.column(part.schema.get_field_index(n)) for n in kept] + [_lists(ids, counts, pa.int32())]
+                out = columns_of(part, kept) + [lists(ids, counts, pa.int32())]
                 if offsets:
                     cuts = np.cumsum(counts)
                     spans = [character_spans(t or "", own.sizes[ids[e - n : e]]) for t, n, e in zip(texts, counts, cuts)]
-                    out += [_lists(np.concatenate([s[k] for s in spans]), counts, pa.int32()) for k in (0, 1)]
+                    out += [lists(np.concatenate([s[k] for s in spans]), counts, pa.int32()) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays(out, names=[*kept, *made])
 
-    return df.mapInArrow(work, _with(df.schema, **made))
+    return df.mapInArrow(work, with_fields(df.schema, **made))
 
 
 def decode(df: DataFrame, ranks_path: str, ids: str = "ids") -> DataFrame:
@@ -225,11 +203,11 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids") -> DataFrame:
         own = codec(ranks_path, None)
         for batch in batches:
             raw = [own.decode(np.array(x or [], dtype=np.int64)).tobytes() for x in batch.column(at).to_pylist()]
-            out = [batch.column(batch.schema.get_field_index(n)) for n in kept]
+            out = columns_of(batch, kept)
             out += [pa.array(raw, type=pa.binary()), pa.array([x.decode("utf-8", "replace") for x in raw], type=pa.string())]
             yield pa.RecordBatch.from_arrays(out, names=[*kept, *made])
 
-    return df.mapInArrow(work, _with(df.schema, **made))
+    return df.mapInArrow(work, with_fields(df.schema, **made))
 
 
 def round_trip(df: DataFrame, ranks_path: str, pattern: str | None = None, text: str = "text") -> DataFrame:
@@ -244,10 +222,10 @@ def round_trip(df: DataFrame, ranks_path: str, pattern: str | None = None, text:
                 ids, counts = own.encode(part.column(at).to_pylist())
                 ends = np.concatenate([[0], np.cumsum(own.sizes[ids])])[np.concatenate([[0], np.cumsum(counts)])]
                 raw = pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(own.decode(ids))])
-                out = [part.column(part.schema.get_field_index(n)) for n in kept]
-                yield pa.RecordBatch.from_arrays([*out, _lists(ids, counts, pa.int32()), raw], names=[*kept, *made])
+                out = columns_of(part, kept)
+                yield pa.RecordBatch.from_arrays([*out, lists(ids, counts, pa.int32()), raw], names=[*kept, *made])
 
-    return df.mapInArrow(work, _with(df.schema, **made))
+    return df.mapInArrow(work, with_fields(df.schema, **made))
 
 
 def digests(df: DataFrame) -> DataFrame:

@@ -63,14 +63,14 @@ def query(docs: DataFrame) -> DataFrame:
 KEPT_SQL = f"""
 lines AS (
     SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line,
-           generate_subscripts(string_split(text, chr(10)), 1) AS at FROM docs WHERE text IS NOT NULL),
+           generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM docs WHERE text IS NOT NULL),
 pages AS (SELECT source, count(*) AS n FROM docs GROUP BY source),
 seen AS (SELECT source, trim(line, ' ') AS line, count(DISTINCT doc_id) AS n FROM lines WHERE trim(line, ' ') <> '' GROUP BY ALL),
 boiler AS (SELECT seen.source, line FROM seen JOIN pages ON seen.source IS NOT DISTINCT FROM pages.source
            WHERE seen.n >= {MIN_PAGES} AND seen.n > {RATIO}::DOUBLE * pages.n),
 cleaned AS (
     SELECT l.doc_id, count(*) AS n_lines, count(b.line) AS n_dropped,
-           coalesce(string_agg(l.line, chr(10) ORDER BY at) FILTER (WHERE b.line IS NULL), '') AS text
+           coalesce(string_agg(l.line, chr(10) ORDER BY pos) FILTER (WHERE b.line IS NULL), '') AS text
     FROM lines l LEFT JOIN boiler b ON l.source IS NOT DISTINCT FROM b.source AND trim(l.line, ' ') = b.line GROUP BY l.doc_id)
 """
 SQL = f"""WITH docs AS (SELECT * FROM documents), {KEPT_SQL}

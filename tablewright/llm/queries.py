@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.llm import bpe, lines
+from tablewright.llm import bpe, decontaminate, lines
 from tablewright.plans.ship import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,3 +42,8 @@ def byte_bpe(documents: DataFrame) -> DataFrame:
 @query("op8_line_dedup", "documents", sql=lines.SQL)
 def line_dedup(documents: DataFrame) -> DataFrame:
     return lines.query(documents)
+
+
+@query("op3_decontaminate", "documents", "benchmark", sql=decontaminate.SQL)
+def decontamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    return decontaminate.query(documents, benchmark)

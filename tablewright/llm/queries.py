@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.llm import bpe, decontaminate, lines
+from tablewright.llm import bpe, decontaminate, lines, quality, secrets
 from tablewright.plans.ship import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +47,13 @@ def line_dedup(documents: DataFrame) -> DataFrame:
 @query("op3_decontaminate", "documents", "benchmark", sql=decontaminate.SQL)
 def decontamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     return decontaminate.query(documents, benchmark)
+
+
+@query("op6_secret_scan", "documents")
+def secret_scan(documents: DataFrame) -> DataFrame:
+    return secrets.query(documents)
+
+
+@query("op1_ordinal_quality", "documents", "labels")
+def ordinal_quality(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    return quality.query(documents, labels)

@@ -5,7 +5,9 @@ grades, and ordered thresholds between them. It gives the expected grade and the
 by which documents are selected.
 
 Features are the distinct tokens of a text: runs of letters in lower case, runs of punctuation, digits as one token,
-and a mark for words in capitals, hashed into ``BUCKETS``. Buckets met in fewer than ``MIN_ROWS`` ratings get no weight.
+a mark for words in capitals and one for how varied the tokens are, hashed into ``BUCKETS``. Buckets met in fewer than
+``MIN_ROWS`` ratings get no weight; the others are scaled by how differently they occur below and above some grade, so
+that the penalty on the weights holds back chance words and not telling ones.
 The fit takes at most about ``SAMPLE_ROWS`` ratings, chosen by hash; each step sums gradients over partitions in Spark
 and only the vectors of the buckets in use come to the driver. Every document is scored.
 
@@ -28,7 +30,7 @@ from pyspark.sql import types as T
 from tablewright.llm.arrow import columns_of, shares, with_fields
 from tablewright.plans.durable import durable
 
-BUCKETS, SAMPLE_ROWS, MIN_ROWS, PENALTY, STEPS = 1 << 18, 20_000, 5, 1e-4, 40
+BUCKETS, SAMPLE_ROWS, MIN_ROWS, PENALTY, STEPS = 1 << 18, 50_000, 5, 3e-4, 25
 #: Documents stay if the best grade is at least this likely.
 MIN_TAIL = 0.5
 
@@ -50,7 +52,11 @@ def features(text: str | None) -> np.ndarray:
     found: set[int] = set()
     if len(_CACHE) > CACHED_TOKENS:
         _CACHE.clear()
-    for token in set(TOKEN.findall(text or "")):
+    tokens = TOKEN.findall(text or "")
+    distinct = set(tokens)
+    if tokens:
+        found.add(zlib.crc32(b"\x00varied%d" % (8 * len(distinct) // len(tokens) if len(tokens) >= 16 else 8)) % BUCKETS)
+    for token in distinct:
         known = _CACHE.get(token)
         if known is None:
             known = _CACHE[token] = _buckets(token)
@@ -107,20 +113,20 @@ class Model:
         return np.diff(cumulative, axis=1) @ np.array(self.grades, dtype=float), 1 - at_most[:, -1]
 
 
-def _loss(rows: DataFrame, place: np.ndarray, grades: list[int], at: np.ndarray) -> tuple[float, np.ndarray]:
+def _loss(rows: DataFrame, place: np.ndarray, scale: np.ndarray, grades: list[int], at: np.ndarray) -> tuple[float, np.ndarray]:
     """Mean negative log likelihood and gradient. ``at``: weights, first threshold, logarithms of the gaps to the next."""
     spark, k = rows.sparkSession, len(grades) - 1
-    sent = spark.sparkContext.broadcast((place, at))
+    sent = spark.sparkContext.broadcast((place, np.append(scale * at[:-k], 0.0), at))
 
     def work(batches):
-        index, point = sent.value
-        n, weights = len(point) - k, point[:-k]
+        index, weights, point = sent.value
+        n = len(point) - k
         thresholds = point[n] + np.concatenate([[0.0], np.cumsum(np.exp(point[n + 1 :]))])
         loss, count, slope, edges = 0.0, 0, np.zeros(n + 1), np.zeros(k)
         for batch in batches:
             grade, found, starts = _unpack(batch)
             where = index[found]
-            score = _sums(np.append(weights, 0.0)[where], starts)
+            score = _sums(weights[where], starts)
             level = np.searchsorted(grades, grade)
             upper = np.where(level < k, _sigmoid(np.append(thresholds, 0.0)[level] - score), 1.0)
             lower = np.where(level > 0, _sigmoid(np.append(0.0, thresholds)[level] - score), 0.0)
@@ -139,7 +145,7 @@ def _loss(rows: DataFrame, place: np.ndarray, grades: list[int], at: np.ndarray)
     total = np.sum([np.frombuffer(r.sums) for r in parts], axis=0)
     loss, count, slope, edges = total[0], total[1], total[2:-k], total[-k:]
     after = np.cumsum(edges[::-1])[::-1]  # a gap moves all later thresholds
-    slope = np.concatenate([slope, [after[0]], after[1:] * np.exp(at[len(at) - k + 1 :])]) / count
+    slope = np.concatenate([scale * slope, [after[0]], after[1:] * np.exp(at[len(at) - k + 1 :])]) / count
     held = np.concatenate([at[:-k], np.zeros(k)])
     return loss / count + 0.5 * PENALTY * held @ held, slope + PENALTY * held
 
@@ -154,20 +160,28 @@ def fit(rows: DataFrame, steps: int = STEPS) -> Model | None:
     grades = sorted(counts)
 
     def tally(batches):
-        seen = np.zeros(BUCKETS, dtype=np.int64)
+        seen = np.zeros((BUCKETS, len(grades)), dtype=np.int64)
         for batch in batches:
-            seen += np.bincount(_unpack(batch)[1], minlength=BUCKETS)
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["bucket", "n"])
-
-    met = rows.mapInArrow(tally, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_ROWS)
-    used = np.sort(np.array([r.bucket for r in met.select("bucket").collect()], dtype=np.int64))
+            grade, found, starts = _unpack(batch)
+            level = np.repeat(np.searchsorted(grades, grade), np.diff(np.append(starts, len(found))))
+            np.add.at(seen, (found, level), 1)
+        at = np.flatnonzero(seen.sum(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(at), *[pa.array(c) for c in seen[at].T]], names=["bucket", *names])
+
+    names = [f"n{k}" for k in range(len(grades))]
+    met = rows.mapInArrow(tally, ", ".join(f"{n} bigint" for n in ["bucket", *names]))
+    met = met.groupBy("bucket").agg(*[F.sum(n).alias(n) for n in names]).where(sum(map(F.col, names)) >= MIN_ROWS)
+    table = np.array(sorted(tuple(r) for r in met.collect()), dtype=np.int64).reshape(-1, 1 + len(grades))
+    used, below = table[:, 0], np.cumsum(table[:, 1:], axis=1)
     place = np.full(BUCKETS, len(used), dtype=np.int64)
     place[used] = np.arange(len(used))
+    whole = np.cumsum([counts[g] for g in grades])
+    with_it = (below[:, :-1] + 1) / (whole[:-1] + 2), (below[:, -1:] - below[:, :-1] + 1) / (whole[-1] - whole[:-1] + 2)
+    scale = np.abs(np.log(with_it[0] / with_it[1])).max(axis=1)
     share = np.cumsum([counts[g] for g in grades])[:-1] / sum(counts.values())
     first = np.log(share / (1 - share))
     point = np.concatenate([np.zeros(len(used)), first[:1], np.log(np.maximum(np.diff(first), 1e-3))])
-    loss, slope = _loss(rows, place, grades, point)
+    loss, slope = _loss(rows, place, scale, grades, point)
     past: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(steps):
         move, kept = slope.copy(), []
@@ -181,7 +195,7 @@ def fit(rows: DataFrame, steps: int = STEPS) -> Model | None:
         size, fall = 1.0, slope @ move
         for _ in range(12):
             new = point - size * move
-            new_loss, new_slope = _loss(rows, place, grades, new)
+            new_loss, new_slope = _loss(rows, place, scale, grades, new)
             if new_loss <= loss - 1e-4 * size * fall:
                 break
             size *= 0.4
@@ -196,7 +210,7 @@ def fit(rows: DataFrame, steps: int = STEPS) -> Model | None:
             break
     k = len(grades) - 1
     thresholds = point[len(used)] + np.concatenate([[0.0], np.cumsum(np.exp(point[len(used) + 1 :]))])
-    return Model(grades, used, point[:-k], thresholds)
+    return Model(grades, used, scale * point[:-k], thresholds)
 
 
 def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:

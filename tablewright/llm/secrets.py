@@ -106,6 +106,10 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(ordered, lambda x: F.concat_ws(":", x["kind"], x["low"], x["high"])), ",")
 
 
+def _of_kind(kind: str) -> Column:
+    return F.filter("__found", lambda x: x["kind"] == kind)
+
+
 def query(docs: DataFrame) -> DataFrame:
     """Per document the counts and spans; ``n_live`` and ``n_copied`` count values by ownership."""
     found = durable(scan(docs).withColumn("__row", F.monotonically_increasing_id()))
@@ -117,7 +121,7 @@ def query(docs: DataFrame) -> DataFrame:
     none = F.array().cast("array<struct<kind:string,low:int,high:int>>")
     return found.join(spread, "__row", "left").select(
         F.col("__id").alias("doc_id"),
-        *[F.size(F.filter("__found", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE],
+        *[F.size(_of_kind(k)).cast("long").alias(f"n_{k}") for k in BASE],
         F.sha2(written(base).cast("binary"), 256).alias("base_sha256"), written(F.coalesce("shown", none)).alias("spans"),
         F.coalesce("n_live", F.lit(0)).cast("long").alias("n_live"), F.coalesce("n_copied", F.lit(0)).cast("long").alias("n_copied"),
     )

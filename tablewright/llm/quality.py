@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from tablewright.llm.arrow import columns_of, shares, with_fields
 from tablewright.plans.durable import durable
 
-BUCKETS, SAMPLE_ROWS, MIN_ROWS, PENALTY, STEPS = 1 << 18, 50_000, 5, 3e-4, 25
+BUCKETS, SAMPLE_ROWS, MIN_ROWS, PENALTY, STEPS = 1 << 18, 50_000, 5, 1e-3, 25
 #: Documents stay if the best grade is at least this likely.
 MIN_TAIL = 0.5
 

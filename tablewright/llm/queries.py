@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.llm import bpe, decontaminate, lines, quality, secrets
+from tablewright.llm import bpe, decontaminate, lines, quality, secrets, substring, suffix
 from tablewright.plans.ship import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,13 @@ def secret_scan(documents: DataFrame) -> DataFrame:
 @query("op1_ordinal_quality", "documents", "labels")
 def ordinal_quality(documents: DataFrame, labels: DataFrame) -> DataFrame:
     return quality.query(documents, labels)
+
+
+@query("op7_block_anchors", "documents", sql=substring.SQL)
+def block_anchors(documents: DataFrame) -> DataFrame:
+    return substring.query(documents)
+
+
+@query("op9_suffix_blocks", "documents")
+def suffix_blocks(documents: DataFrame) -> DataFrame:
+    return suffix.query(documents)

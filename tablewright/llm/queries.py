@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.llm import bpe, decontaminate, lines, quality, secrets, substring, suffix
+from tablewright.llm import bpe, decontaminate, jaccard, lines, quality, secrets, substring, suffix
 from tablewright.plans.ship import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,8 @@ def block_anchors(documents: DataFrame) -> DataFrame:
 @query("op9_suffix_blocks", "documents")
 def suffix_blocks(documents: DataFrame) -> DataFrame:
     return suffix.query(documents)
+
+
+@query("op4_ngram_join", "documents", sql=jaccard.SQL)
+def ngram_join(documents: DataFrame) -> DataFrame:
+    return jaccard.query(documents)

@@ -12,7 +12,8 @@ Words are what stands between white space (space, tab to carriage return), uncha
 fingerprints of the words; anchors only propose. A block in a third of all documents costs one number per chunk.
 
 Null texts have no words. Rows with the same id are one document for the comparison, so they do not remove each other.
-Shorter documents stay whole. Null ids raise an error when packed. Extra columns are not read; join on the id to add them.
+Shorter documents stay whole. Null ids come after all
+others and count as one document. Extra columns are not read; join on the id to add them.
 """
 
 from __future__ import annotations
@@ -113,7 +114,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     anchored = twins.with_answers(chunks, twins.round_(chunks, probe, _anchored, 5, {"flags": "u1"}), "anchors")
     repeated = twins.with_answers(anchored, twins.round_(anchored, extend, _earlier, 8, {"least": "<i8"}), "repeats")
-    return repeated.mapInArrow(cut, "doc_id bigint, n_words bigint, n_removed bigint, span_starts array<bigint>, span_ends array<bigint>, kept string")
+    return repeated.mapInArrow(cut, "doc_id bigint, n_words bigint, n_removed bigint, span_starts array<bigint>, span_ends array<bigint>, kept string").withColumn("doc_id", twins.given_id())
 
 
 def query(docs: DataFrame) -> DataFrame:

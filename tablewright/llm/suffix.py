@@ -13,7 +13,7 @@ fingerprints: only ties matter here, not the order of different suffixes. Docume
 are covered whole and take no part in step 2.
 
 Null texts count as empty. Repeated rows are documents of their own and so cover each other. Shorter texts stay.
-Extra columns are not read; join on the id to add them.
+Null ids stay null. Extra columns are not read; join on the id to add them.
 """
 
 from __future__ import annotations
@@ -147,7 +147,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     named = twins.with_answers(chunks, twins.round_(chunks, name, _first_or_later, 5, {"many": "u1"}), "named")
     tied = twins.with_answers(named, twins.round_(named, suffixes, _tied, 7, {"many": "u1"}), "tied")
-    return tied.mapInArrow(cut, "doc_id bigint, n_bytes bigint, n_removed bigint, span_starts array<bigint>, span_ends array<bigint>, kept binary")
+    return tied.mapInArrow(cut, "doc_id bigint, n_bytes bigint, n_removed bigint, span_starts array<bigint>, span_ends array<bigint>, kept binary").withColumn("doc_id", twins.given_id())
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm.arrow import shares
@@ -25,11 +25,13 @@ from tablewright.plans.durable import scratch_path
 
 CHUNK_BYTES = 2 << 20
 SHARES_PER_PARTITION = 4
+#: Stands for a null id, after all others.
+NO_ID = (1 << 63) - 1
 
 
 def pack(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """``chunk`` and ``body``: documents as compressed Arrow batches with the columns id and text."""
-    narrow = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    narrow = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).alias("text"))
 
     def work(batches):
         number, held, size = TaskContext.get().partitionId() << 32, [], 0
@@ -57,6 +59,11 @@ def _body(number: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "body"])
 
 
+def given_id(column: str = "doc_id") -> Column:
+    """The id as it was given."""
+    return F.nullif(F.col(column), F.lit(NO_ID)).alias(column)
+
+
 def unpack(body: bytes) -> tuple[np.ndarray, list[str | None]]:
     table = pa.ipc.open_stream(body).read_all()
     return table.column("id").to_numpy(), table.column("text").to_pylist()

@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.llm import bpe, decontaminate, jaccard, lines, quality, secrets, substring, suffix
+from tablewright.llm import bpe, decontaminate, jaccard, lines, neighbours, quality, secrets, substring, suffix
 from tablewright.plans.ship import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,8 @@ def suffix_blocks(documents: DataFrame) -> DataFrame:
 @query("op4_ngram_join", "documents", sql=jaccard.SQL)
 def ngram_join(documents: DataFrame) -> DataFrame:
     return jaccard.query(documents)
+
+
+@query("op10_nn_descent", "embeddings", sql=neighbours.SQL)
+def nn_descent(embeddings: DataFrame) -> DataFrame:
+    return neighbours.near_duplicates(embeddings)

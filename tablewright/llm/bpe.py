@@ -228,10 +228,10 @@ def round_trip(df: DataFrame, ranks_path: str, pattern: str | None = None, text:
     return df.mapInArrow(work, with_fields(df.schema, **made))
 
 
-def digests(df: DataFrame) -> DataFrame:
-    """Number and SHA-256 of the ids, SHA-256 of the decoded bytes."""
+def digests(df: DataFrame, *more: str) -> DataFrame:
+    """Number and SHA-256 of the ids, SHA-256 of the decoded bytes, and further columns."""
     ids = F.concat_ws(" ", F.col("ids").cast("array<string>"))
     return df.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"), *more,
     )

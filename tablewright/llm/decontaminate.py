@@ -163,14 +163,16 @@ def blocks(items: DataFrame, item_id: str, text: str, window: int, block_bytes:
 
 def mark(
     docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
-    window: int = WINDOW, max_coverage: float = MAX_COVERAGE, block_bytes: int = BLOCK_BYTES, cut: bool = False,
+    window: int = WINDOW, max_coverage: float = MAX_COVERAGE, block_bytes: int = BLOCK_BYTES, cut: bool = False, prefix: str = "",
 ) -> DataFrame:
     """Add ``n_words``, ``n_hit``, ``item_ids`` (sorted as strings) and ``dropped``; with ``cut``, remove the spans from the text.
 
+    ``prefix`` goes before the added names.
     A removed span reaches from its first to its last word; what stands between words of one span goes too.
     """
     automata = blocks(items, item_id, item_text, window, block_bytes)
     made = {"n_words": T.LongType(), "n_hit": T.LongType(), "item_ids": T.ArrayType(T.StringType()), "dropped": T.BooleanType()}
+    made = {prefix + name: kind for name, kind in made.items()}
     kept, at = [f.name for f in docs.schema.fields if f.name not in made], docs.columns.index(text)
     schema = with_fields(docs.schema, **made)
 
@@ -213,7 +215,7 @@ def without(text: str, marks: np.ndarray) -> str:
 
 def remove(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The documents without their contaminated spans, and without those that are mostly contaminated."""
-    return mark(docs, items, cut=True, **options).where(~F.col("dropped")).select(docs.columns)
+    return mark(docs, items, cut=True, prefix="__", **options).where("NOT __dropped").select(docs.columns)
 
 
 def query(docs: DataFrame, items: DataFrame) -> DataFrame:

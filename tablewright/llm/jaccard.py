@@ -277,6 +277,22 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: i
     )
 
 
+#: Ids up to which the documents to drop are broadcast.
+BROADCAST_IDS = 1_000_000
+
+
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each component, that of the smallest id; rows of the same id and text count once, null ids stay."""
+    found = durable(join(docs, doc_id, text).select(F.col("doc_id").alias("__id"), "component_id"))
+    gone = found.where("__id <> component_id").select("__id").distinct()
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    kept = docs.join(gone, F.col(doc_id).cast("long") == F.col("__id"), "left_anti")
+    again = found.where("__id IS NOT NULL").groupBy("__id").count().where("count > 1").select("__id")
+    if again.take(1):
+        kept = kept.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id, text]).unionByName(kept.where(F.col(doc_id).isNull()))
+    return kept
+
+
 def query(docs: DataFrame) -> DataFrame:
     return join(docs.select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
 

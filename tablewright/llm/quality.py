@@ -213,9 +213,9 @@ def fit(rows: DataFrame, steps: int = STEPS) -> Model | None:
     return Model(grades, used, scale * point[:-k], thresholds)
 
 
-def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """Add ``expected_grade`` and ``tail_probability``, the probability of the best grade."""
-    made = {"expected_grade": T.DoubleType(), "tail_probability": T.DoubleType()}
+def score(docs: DataFrame, model: Model | None, text: str = "text", prefix: str = "") -> DataFrame:
+    """Add ``expected_grade`` and ``tail_probability``, the probability of the best grade; ``prefix`` goes before their names."""
+    made = {f"{prefix}expected_grade": T.DoubleType(), f"{prefix}tail_probability": T.DoubleType()}
     schema = with_fields(docs.schema, **made)
     if model is None:
         return docs.select(*[F.col(n) for n in schema.names[:-2]], *[F.lit(None).cast("double").alias(n) for n in made])
@@ -237,10 +237,15 @@ def rating(quality: str = "quality", toxic: str = "toxic") -> Column:
     return F.when(F.col(quality) == 0, 0).when((F.col(quality) == 1) & (F.col(toxic) == 1), 1).when((F.col(quality) == 1) & (F.col(toxic) == 0), 2)
 
 
-def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, prefix: str = "") -> DataFrame:
     """Fit on the labels and score all documents; ``kept`` is false for those that are rejected."""
-    scored = score(docs, fit(training_rows(docs, labels, rating())))
-    return scored.withColumn("kept", F.coalesce(F.col("tail_probability") >= MIN_TAIL, F.lit(True)))
+    scored = score(docs, fit(training_rows(docs, labels, rating())), prefix=prefix)
+    return scored.withColumn(f"{prefix}kept", F.coalesce(F.col(f"{prefix}tail_probability") >= MIN_TAIL, F.lit(True)))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that are not rejected."""
+    return judge(docs, labels, "__").where("__kept").select(docs.columns)
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.llm import bpe, decontaminate, jaccard, lines, neighbours, quality, secrets, substring, suffix
+from tablewright.llm import bpe, decontaminate, html, jaccard, lines, neighbours, quality, secrets, substring, suffix
 from tablewright.plans.ship import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,8 @@ def ngram_join(documents: DataFrame) -> DataFrame:
 @query("op10_nn_descent", "embeddings", sql=neighbours.SQL)
 def nn_descent(embeddings: DataFrame) -> DataFrame:
     return neighbours.near_duplicates(embeddings)
+
+
+@query("op5_host_paths", "pages")
+def host_paths(pages: DataFrame) -> DataFrame:
+    return html.query(pages)

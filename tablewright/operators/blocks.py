@@ -34,7 +34,8 @@ def _matrix(column: pd.Series) -> np.ndarray:
 def _pivots(train: DataFrame, point: str, n: int) -> np.ndarray:
     """Random rows as cell centres; at most ``MAX_PIVOTS`` of them reach the driver."""
     wanted = min(MAX_PIVOTS, max(1, math.ceil(n / BLOCK_ROWS)))
-    rows = train.select(point).orderBy(F.rand(11)).limit(wanted).collect()
+    points = train.select(point)
+    rows = points.sample(min(1.0, wanted / max(n, 1)), 11).collect() or points.limit(1).collect()
     return np.array([r[0] for r in rows], dtype="float64")
 
 

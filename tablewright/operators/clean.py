@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tablewright.operators.profile import column_kinds, numeric_summary
 from tablewright.plans import wide
-from tablewright.plans.counts import categories, counted_categories, distinct_counts, modes
+from tablewright.plans.counts import counted_categories, distinct_counts, modes
 from tablewright.plans.durable import durable
 from tablewright.plans.ordered import fill, join_back, row_numbers
 from tablewright.plans.selection import quantiles
@@ -66,7 +66,7 @@ def impute(
 ) -> tuple[DataFrame, dict]:
     """Fill missing cells by mean, median, zero, mode, constant, unknown, ffill or bfill.
 
-    Numeric methods treat text that mostly parses as a number as one and give other columns their mode.
+    A text value turns a column of another type into text.  Numeric methods treat text that mostly parses as a number as one and give other columns their mode.
     ``ffill`` and ``bfill`` need ``order_by``.
     """
     columns = list(columns) or df.columns
@@ -84,6 +84,8 @@ def impute(
             source = known(df, c)
             if method in ("mean", "median", "zero") and isinstance(v, float):
                 source = _number(df, c).cast("double")
+            elif isinstance(v, str):
+                source = source.cast("string")  # numbers filled with text become text
             new[c] = F.coalesce(source, F.lit(v))
         out = _replace(df, new)
     before, after = sum(holes.values()), sum(left.values())
@@ -242,24 +244,36 @@ def label_encode(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, dict
     """Replace values by their alphabetical code from 0, null by -1."""
     out, classes = df, {}
     for c in columns:
-        codes = label_codes(df, c).withColumnRenamed("code", "_code")
-        joined = join_back(out, codes, [c], "cnt", how="left")
+        codes = durable(label_codes(df, c).withColumnRenamed("code", "_code"))
+        classes[c] = codes.count()
+        joined = join_back(out, codes, [c], "cnt", how="left", size=classes[c])
         out = joined.select(
             *[F.coalesce("_code", F.lit(-1)).alias(c) if n == c else quoted(n) for n in out.columns]
         )
-        classes[c] = codes.count()
     return out, {"classes": classes}
 
 
 def ordinal_encode(df: DataFrame, columns: Sequence[str], orders: Mapping[str, Sequence] | None = None) -> tuple[DataFrame, dict]:
-    """Replace values by their position in the given order (else sorted); unknown and null become null."""
-    new, used = {}, {}
+    """Replace values by their position in the given order (else sorted); unknown and null become null.
+
+    The stats hold the given orders, and the number of values of columns without one.
+    """
+    new, used, out = {}, {}, df
+    for c in columns:
+        order = list((orders or {}).get(c) or ())
+        if order:
+            place = F.array_position(F.array(*[F.lit(v) for v in order]), quoted(c))
+            new[c] = F.when(place > 0, (place - 1).cast("double"))
+            used[c] = order
+    out = _replace(df, new)
+    sizes = {}
     for c in columns:
-        order = list((orders or {}).get(c) or categories(df, c, ONE_HOT_LIMIT))
-        place = F.array_position(F.array(*[F.lit(v) for v in order]), quoted(c))
-        new[c] = F.when(place > 0, (place - 1).cast("double"))
-        used[c] = order
-    return _replace(df, new), {"orders": used}
+        if c not in used:
+            codes = durable(label_codes(df, c).withColumnRenamed("code", "_code"))
+            sizes[c] = codes.count()
+            joined = join_back(out, codes, [c], "cnt", how="left", size=sizes[c])
+            out = joined.select(*[F.col("_code").cast("double").alias(c) if n == c else quoted(n) for n in out.columns])
+    return out, {"orders": used, "values": sizes}
 
 
 def encode(

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tablewright.operators.prep import CATEGORY_LIMIT
+from tablewright.operators.prep import CLASS_LIMIT
 from tablewright.operators.relational import sample_evenly
 from tablewright.plans.ordered import running_sums
 from tablewright.plans.types import quoted
@@ -26,9 +26,9 @@ def _cells(df: DataFrame, truth: str, predicted: str) -> DataFrame:
 def confusion_matrix(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     """Counts for every pair of labels, zeros kept, labels as text."""
     cells = _cells(df, truth, predicted)
-    found = cells.select(F.explode(F.array("actual", "predicted")).alias("v")).distinct().limit(CATEGORY_LIMIT + 1).collect()
-    if len(found) > CATEGORY_LIMIT:
-        raise ValueError(f"more than {CATEGORY_LIMIT} labels")
+    found = cells.select(F.explode(F.array("actual", "predicted")).alias("v")).distinct().limit(CLASS_LIMIT + 1).collect()
+    if len(found) > CLASS_LIMIT:
+        raise ValueError(f"more than {CLASS_LIMIT} labels")
     names = F.array(*[F.lit(v) for v in sorted(r["v"] for r in found)])
     grid = df.sparkSession.range(1).select(F.explode(names).alias("actual")).select("actual", F.explode(names).alias("predicted"))
     return grid.join(F.broadcast(cells), ["actual", "predicted"], "left").select(

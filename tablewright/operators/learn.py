@@ -289,7 +289,7 @@ def tried_frame(data: TrainingData, found: Found) -> DataFrame:
 # --- several models ---------------------------------------------------------------------------------
 
 
-def automl(
+def train_ranked(
     data: TrainingData, names: Sequence[str] | None = None, n: int = 5, grids: Mapping[str, Mapping] | None = None
 ) -> tuple[DataFrame, dict[str, Found]]:
     """Search every algorithm, score it on the test rows and rank; a failing algorithm becomes an error row."""

@@ -6,21 +6,27 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.feature import PCA, OneHotEncoder, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tablewright.operators.clean import clip, drop_constants, drop_high_cardinality, drop_ids, fences
+from tablewright.operators.clean import clip, drop_constants, drop_high_cardinality, drop_ids, fences, label_codes
 from tablewright.operators.profile import column_kinds
 from tablewright.plans import wide
-from tablewright.plans.counts import categories, modes_and_categories
+from tablewright.plans.counts import modes_and_categories
 from tablewright.plans.durable import durable
+from tablewright.plans.ordered import join_back
 from tablewright.plans.selection import first_rows_bound, order_statistics, quantiles
 from tablewright.plans.types import epoch_micros, is_date, is_numeric, known, quoted, text_columns
 
 SEED = 42
 TEST_SHARE = 0.2
-CATEGORY_LIMIT = 1000
+#: Classes that can be split or weighted one by one.
+CLASS_LIMIT = 1000
+#: Categories of a feature whose list the driver holds.
+CATEGORY_LIMIT = 200_000
+#: Categories beyond which a feature becomes one sparse vector instead of a column each.
+SPARSE_FROM = 50
 
 
 def hash_position(keys: Sequence[str], seed: int = SEED) -> Column:
@@ -37,10 +43,10 @@ def split_random(df: DataFrame, keys: Sequence[str], share: float = TEST_SHARE,
 
 
 def class_sizes(df: DataFrame, target: str) -> dict:
-    """Rows per known class, in class order; more than ``CATEGORY_LIMIT`` classes are an error."""
-    rows = df.where(known(df, target).isNotNull()).groupBy(quoted(target).alias("v")).agg(F.count("*").alias("n")).limit(CATEGORY_LIMIT + 1).collect()
-    if len(rows) > CATEGORY_LIMIT:
-        raise ValueError(f"target {target!r} has more than {CATEGORY_LIMIT} classes")
+    """Rows per known class, in class order; more than ``CLASS_LIMIT`` classes are an error."""
+    rows = df.where(known(df, target).isNotNull()).groupBy(quoted(target).alias("v")).agg(F.count("*").alias("n")).limit(CLASS_LIMIT + 1).collect()
+    if len(rows) > CLASS_LIMIT:
+        raise ValueError(f"target {target!r} has more than {CLASS_LIMIT} classes")
     return {r["v"]: r["n"] for r in sorted(rows, key=lambda r: r["v"])}
 
 
@@ -168,10 +174,27 @@ class Preparation:
 
     def vectors(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         """The kept columns followed by one ``features`` vector."""
-        named = [c.alias(f"_f{i}") for i, c in enumerate(self.feature_columns(df))]
-        inputs = [f"_f{i}" for i in range(len(named))]
-        wide_ = df.select(*[quoted(c) for c in keep], *named)
-        return VectorAssembler(inputCols=inputs, outputCol="features").transform(wide_).drop(*inputs)
+        many = {c for c, (_, values) in self.categorical.items() if self.encoding == "one_hot" and len(values) > SPARSE_FROM}
+        few = Preparation(self.numeric, {c: v for c, v in self.categorical.items() if c not in many}, self.dates, self.encoding)
+        plain = iter([c.alias(f"_f{i}") for i, c in enumerate(few.feature_columns(df))])
+        named, inputs = [], []
+        for c in [*self.numeric, *self.categorical]:
+            if c in many:
+                named.append(F.coalesce(quoted(c).cast("string"), F.lit(self.categorical[c][0])).alias(f"_t{len(inputs)}"))
+                inputs.append((c, f"_t{len(inputs)}"))
+                continue
+            values = self.categorical[c][1] if c in self.categorical and self.encoding == "one_hot" else [c]
+            for column in (next(plain) for _ in values):
+                named.append(column.alias(f"_v{len(inputs)}"))
+                inputs.append((c, f"_v{len(inputs)}"))
+        out = df.select(*[quoted(c) for c in keep], *named)
+        for i, (c, name) in enumerate(inputs):
+            if name.startswith("_t"):  # the index past the last category, of unseen values, is the vector of zeros
+                index = StringIndexerModel.from_labels([str(v) for v in self.categorical[c][1]], name, f"_i{i}", handleInvalid="keep")
+                out = index.transform(out)
+                out = OneHotEncoder(inputCol=f"_i{i}", outputCol=f"_v{i}", dropLast=True).fit(out).transform(out).drop(name, f"_i{i}")
+        names = [f"_v{i}" for i in range(len(inputs))]
+        return VectorAssembler(inputCols=names, outputCol="features").transform(out).drop(*names)
 
 
 def _numeric_value(df: DataFrame, c: str, date: bool) -> Column:
@@ -258,22 +281,20 @@ def engine_clean(
 
 def label_map(df: DataFrame, target: str) -> DataFrame:
     """Rows (label, code): sorted distinct labels numbered from 0."""
-    values = categories(df, target, CATEGORY_LIMIT)
-    return wide.rows_frame(df.sparkSession, [(str(v), i) for i, v in enumerate(values)], "label string, code int")
+    return label_codes(df, target).select(quoted(target).cast("string").alias("label"), "code")
 
 
 def reconcile_labels(df: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
-    """Translate labels or codes into codes by the map (size bounded by the number of classes); others raise."""
-    rows = mapping.limit(CATEGORY_LIMIT + 1).collect()
-    if len(rows) > CATEGORY_LIMIT:
-        raise ValueError(f"a label map holds at most {CATEGORY_LIMIT} classes")
-    codes = {r["label"]: r["code"] for r in rows}
+    """Translate labels or codes into codes by the map; others raise.  A label that reads like a code wins."""
+    mapping = durable(mapping.select("label", "code"))
+    both = mapping.select("label", "code", F.lit(0).alias("rank")).unionByName(mapping.select(F.col("code").cast("string").alias("label"), "code", F.lit(1).alias("rank")))
     text = quoted(column).cast("string")
-    both = {**{str(c): c for c in codes.values()}, **codes}
-    place = F.create_map(*[x for k, v in both.items() for x in (F.lit(k), F.lit(v))])
-    code = F.try_element_at(place, text)
-    message = F.concat(F.lit(f"label outside the map in {column}: "), text)
-    return df.withColumn(column, F.when(text.isNull(), F.lit(None)).otherwise(F.coalesce(code, F.raise_error(message).cast("int"))))
+    counts = df.groupBy(text.alias("label")).agg(F.count("*").alias("cnt"))
+    codes = both.groupBy("label").agg(F.min_by("code", "rank").alias("_code")).join(counts, "label").withColumnRenamed("label", "_label")
+    joined = join_back(df.withColumn("_label", text), durable(codes), ["_label"], "cnt", how="left")
+    message = F.concat(F.lit(f"label outside the map in {column}: "), F.col("_label"))
+    code = F.when(F.col("_label").isNull(), F.lit(None)).otherwise(F.coalesce("_code", F.raise_error(message).cast("int")))
+    return joined.select(*[code.alias(column) if c == column else quoted(c) for c in df.columns])
 
 
 def class_weights(df: DataFrame, target: str) -> DataFrame:

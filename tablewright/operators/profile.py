@@ -380,11 +380,12 @@ def class_share(df: DataFrame, target: str) -> DataFrame:
     return counts.withColumn("pct", rounded(F.col("cnt") / F.lit(max(total, 1)) * 100, 2))
 
 
-def class_imbalance(df: DataFrame, target: str, max_classes: int = 20) -> DataFrame:
-    """Largest over smallest class share and its severity; no row when there are too many classes."""
+def class_imbalance(df: DataFrame, target: str, max_classes: int | None = None) -> DataFrame:
+    """Largest over smallest class share and its severity; no row beyond ``max_classes``, if given."""
     ratio = rounded(F.when(F.min("pct") > 0, F.max("pct") / F.min("pct")).otherwise(99.0), 2)
     out = class_share(df, target).agg(F.count("*").alias("classes"), ratio.alias("imbalance_ratio"))
-    return out.where(F.col("classes") <= max_classes).withColumn("severity", _severity(F.col("imbalance_ratio"), 2, 5))
+    out = out if max_classes is None else out.where(F.col("classes") <= max_classes)
+    return out.withColumn("severity", _severity(F.col("imbalance_ratio"), 2, 5))
 
 
 def quality_score(df: DataFrame, target: str | None = None) -> DataFrame:
@@ -466,11 +467,11 @@ def cleaning_recommendations(df: DataFrame, target: str | None = None) -> DataFr
     spread = [s for s in numeric_summary(df).values() if s["n"] >= 4 and s["iqr"]]
     wild = [s for s in spread if s["outliers"] / s["n"] * 100 > 5]
     if wild:
-        rows.append(("remove_outliers", "medium", min(len(wild), 5)))
+        rows.append(("remove_outliers", "medium", len(wild)))
     roles = {r["column_name"]: r["role"] for r in feature_roles(df).collect()}
     classes = [c for c, r in roles.items() if r == "categorical" and c != target]
     if classes:
-        rows.append(("encode_categorical", "medium", min(len(classes), 5)))
+        rows.append(("encode_categorical", "medium", len(classes)))
     if target and isinstance(df.schema[target].dataType, T.StringType):
         rows.append(("encode_target", "high", 1))
     if target:
@@ -482,8 +483,11 @@ def cleaning_recommendations(df: DataFrame, target: str | None = None) -> DataFr
     return wide.rows_frame(df.sparkSession, rows, "action string, priority string, concerned bigint")
 
 
-def result_hints(df: DataFrame, large: int = 100_000) -> DataFrame:
-    """Hints about a query result: gaps, near-unique and constant columns, copies, size, dates, encodings."""
+def result_hints(df: DataFrame, large: int = 100_000, interacting: int | None = None, correlated: int | None = None) -> DataFrame:
+    """Hints about a query result: gaps, near-unique and constant columns, copies, size, dates, encodings.
+
+    ``interacting`` and ``correlated`` name that many of the first numeric columns only; by default all.
+    """
     total, missing = _null_counts(df)
     unique = distinct_counts(df, df.columns)
     pct = lambda n: n / max(total, 1) * 100
@@ -495,14 +499,14 @@ def result_hints(df: DataFrame, large: int = 100_000) -> DataFrame:
         ("high_missing", [c for c in df.columns if pct(missing[c]) > 30]),
         ("target_candidates", [c for c in numbers if unique[c] > 2 and pct(missing[c]) < 50]),
         ("high_cardinality", [c for c in df.columns if pct(unique[c]) > 90 and pct(missing[c]) < 50]),
-        ("interactions", numbers[:4] if len(numbers) > 2 else []),
+        ("interactions", numbers[:interacting] if len(numbers) > 2 else []),
         ("large_result", ["*"] if total > large else []),
         ("duplicate_rows", ["*"] if copies else []),
         ("constant_columns", [c for c in df.columns if unique[c] <= 1]),
         ("encode_text", texts if numbers else []),
         ("date_parts", dates if numbers else []),
         ("check_outliers", [c for c in numbers if pct(missing[c]) < 50]),
-        ("check_correlation", numbers[:5] if len(numbers) >= 2 else []),
+        ("check_correlation", numbers[:correlated] if len(numbers) >= 2 else []),
     ]
     rows = [(name, ",".join(columns)) for name, columns in rules if columns] or [("clean", "*")]
     return wide.rows_frame(df.sparkSession, rows, "hint string, columns string")

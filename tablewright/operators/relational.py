@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tablewright.operators.prep import hash_position
 from tablewright.plans.ordered import row_numbers
+from tablewright.plans.selection import first_rows_bound
 from tablewright.plans.types import known, quoted
 
-RESULT_ROWS = 100_000
+#: Positions up to which a page is taken by a top-n; beyond, rows are numbered.
+TOP_ROWS = 10_000
 HITS_PER_TABLE = 10
 
 
@@ -96,11 +98,18 @@ def align_columns(df: DataFrame, expected: Sequence[str], missing: str = "error"
     return out, {"missing": absent, "dropped": [c for c in df.columns if c not in expected]}
 
 
-def page(df: DataFrame, order_by: Sequence[str], number: int, size: int, cap: int = RESULT_ROWS) -> DataFrame:
-    """Page ``number`` (from 0) of a result cut at ``cap`` rows, with the exact total and a truncated flag."""
-    total = df.count()
-    rows = df.orderBy(*order_by).limit(cap).orderBy(*order_by).offset(number * size).limit(size)
-    return rows.withColumns({"total": F.lit(total).cast("bigint"), "truncated": F.lit(total > cap)})
+def page(df: DataFrame, order_by: Sequence[str], number: int, size: int, cap: int | None = None) -> DataFrame:
+    """Page ``number`` (from 0) of a totally ordered result, with the exact total and a truncated flag.
+
+    With ``cap``, rows beyond that position belong to no page, and the flag says so.
+    """
+    total, low, high = df.count(), number * size, (number + 1) * size
+    high = high if cap is None else min(high, cap)
+    if high <= TOP_ROWS:
+        rows = df.orderBy(*order_by).limit(max(high, 0)).offset(low)
+    else:
+        rows = row_numbers(df, order_by, "_row", rows=total).where((F.col("_row") > low) & (F.col("_row") <= high)).drop("_row")
+    return rows.withColumns({"total": F.lit(total).cast("bigint"), "truncated": F.lit(cap is not None and total > cap)})
 
 
 def sample_evenly(df: DataFrame, order_by: Sequence[str], k: int) -> DataFrame:
@@ -119,8 +128,8 @@ def sample_evenly(df: DataFrame, order_by: Sequence[str], k: int) -> DataFrame:
 
 
 def sample_rows(df: DataFrame, keys: Sequence[str], k: int, seed: int = 42) -> DataFrame:
-    """``k`` rows in the order of a hash of their key: repeatable, and the same on any partitioning."""
-    return df.orderBy(hash_position(keys, seed), *keys).limit(k)
+    """``k`` rows, the first by a hash of their (unique) key: repeatable, and the same on any partitioning."""
+    return df.where(first_rows_bound(df, [hash_position(keys, seed), *[quoted(c) for c in keys]], k))
 
 
 def visible_datasets(datasets: DataFrame, shares: DataFrame, user_id: object, email: str) -> DataFrame:

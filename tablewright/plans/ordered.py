@@ -74,14 +74,13 @@ def chunked(df: DataFrame, order_by: Sequence[str], partition_by: Sequence[str]
     wanted = min(MAX_CHUNKS, math.ceil(total / CHUNK_ROWS))
     if wanted <= 1:
         return Chunks(data.withColumn("_chunk", F.lit(0)), partition, order, 1, None)
-    sample = (
-        data.select(*names)
-        .orderBy(F.rand(7))
-        .limit(wanted * _SAMPLE_PER_CHUNK)
-        .orderBy(*names)
-        .collect()
-    )
-    picked = list(dict.fromkeys(tuple(r) for r in sample[_SAMPLE_PER_CHUNK // 2 :: _SAMPLE_PER_CHUNK]))
+    # about wanted * _SAMPLE_PER_CHUNK rows whatever the size of the table, so the driver gets a bounded sample
+    share = min(1.0, wanted * _SAMPLE_PER_CHUNK / total)
+    sample = data.select(*names).sample(share, 7).orderBy(*names).collect()
+    spots = [i * len(sample) // wanted for i in range(1, wanted)]
+    picked = list(dict.fromkeys(tuple(sample[i]) for i in spots)) if sample else []
+    if not picked:
+        return Chunks(data.withColumn("_chunk", F.lit(0)), partition, order, 1, None)
     fields = [data.schema[n] for n in names]
     bounds = [
         F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(values, fields)]) for values in picked

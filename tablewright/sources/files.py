@@ -9,12 +9,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tablewright.functions.scalar import nested_to_json
+from tablewright.plans.selection import first_rows_bound
 from tablewright.plans.types import known, quoted
 
-PREVIEW_ROWS = 500
-RESULT_PREVIEW_ROWS = 1000
-EXPORT_ROWS = 500_000
-
 
 def trim_names(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.strip() for c in df.columns])
@@ -93,9 +90,9 @@ def catalog(frames: Mapping[str, DataFrame]) -> DataFrame:
     return out
 
 
-def preview(df: DataFrame, order_by: Sequence[str], offset: int = 0, limit: int = 50, cap: int = PREVIEW_ROWS) -> DataFrame:
+def preview(df: DataFrame, order_by: Sequence[str], offset: int = 0, limit: int = 50) -> DataFrame:
     """A page of rows as text, nulls as empty text."""
-    page = df.orderBy(*order_by).offset(offset).limit(min(limit, cap))
+    page = df.orderBy(*order_by).offset(offset).limit(limit)
     return page.select(*[F.coalesce(known(df, c).cast("string"), F.lit("")).alias(c) for c in df.columns])
 
 
@@ -112,16 +109,26 @@ def export(df: DataFrame, path: str, kind: str = "csv") -> str:
     return path
 
 
-def export_result(df: DataFrame, path: str, kind: str = "csv", cap: int = EXPORT_ROWS) -> str:
-    """Write at most ``cap`` rows of a query result as CSV or JSON lines, nested values as JSON text."""
-    out = nested_to_json(df.limit(cap))
+def export_result(
+    df: DataFrame, path: str, kind: str = "csv", limit: int | None = None, order_by: Sequence[str] = ()
+) -> dict[str, object]:
+    """Write a query result as CSV or JSON lines, nested values as JSON text; says its rows and whether it was cut.
+
+    Everything is written unless a ``limit`` is given, which needs a total order and keeps the first rows of it.
+    """
+    total = df.count()
+    if limit is not None and total > limit:
+        if not order_by:
+            raise ValueError("a limit needs order_by")
+        df = df.where(first_rows_bound(df, [quoted(c) for c in order_by], limit, total))
+    out = nested_to_json(df)
     if kind == "csv":
         out.write.option("header", True).csv(path)
     elif kind == "json":
         out.write.option("ignoreNullFields", False).json(path)
     else:
         raise ValueError(f"cannot export as {kind!r}")
-    return path
+    return {"path": path, "rows": total, "truncated": limit is not None and total > limit}
 
 
 def result_to_dataset(df: DataFrame, path: str) -> DataFrame:

@@ -15,17 +15,22 @@ def stream_log(spark: SparkSession, path: str, schema: T.StructType, pattern: st
     return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(path)
 
 
-def daily_windows(log: DataFrame, ts: str, key: str, lateness: str = "1 day") -> DataFrame:
-    """Rows per day and key; a day is final once the watermark has passed its end."""
+def daily_windows(log: DataFrame, ts: str, key: str, lateness: str | None = None) -> DataFrame:
+    """Rows per day and key.
+
+    With ``lateness`` a day is final once the watermark has passed its end, and its state goes; rows that come later are
+    dropped.  Without it, as for the replay of a bounded log, every row counts however late.
+    """
     # wall-clock time read as UTC on the way in and out, so days do not depend on the session's time zone
     timed = log.withColumn("_at", F.timestamp_micros(epoch_micros(F.col(ts))))
-    counts = timed.withWatermark("_at", lateness).groupBy(F.window("_at", "1 day"), key).agg(F.count("*").alias("cnt"))
+    timed = timed if lateness is None else timed.withWatermark("_at", lateness)
+    counts = timed.groupBy(F.window("_at", "1 day"), key).agg(F.count("*").alias("cnt"))
     day = F.floor(F.unix_micros("window.start") / MICROS_PER_DAY).cast("int")
     return counts.select(F.date_add(F.lit("1970-01-01").cast("date"), day).cast("string").alias("date"), key, "cnt")
 
 
-def run_to_end(counts: DataFrame, name: str) -> DataFrame:
-    """Process everything that is there and return the final counts.
+def run_to_end(counts: DataFrame, name: str, drop_late: bool = False) -> DataFrame:
+    """Process everything that is there and return the final counts; rows dropped as late are an error unless allowed.
 
     Every batch rewrites the days it changed below its own number; the newest number per day and key wins,
     so a batch that runs again after a failure replaces itself.
@@ -44,6 +49,9 @@ def run_to_end(counts: DataFrame, name: str) -> DataFrame:
         .start()
     )
     query.awaitTermination()
+    late = sum(op.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for op in p["stateOperators"])
+    if late and not drop_late:
+        raise RuntimeError(f"{late} rows came after their day was final")
     schema = T.StructType([*counts.schema.fields, T.StructField("batch", T.IntegerType())])
     result = spark.read.schema(schema).parquet(f"{folder}/result")
     keys = [c for c in counts.columns if c != "cnt"]

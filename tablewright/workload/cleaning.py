@@ -294,3 +294,26 @@ _PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED"]
 def _(t):
     df, _ = prep.engine_clean(t.sql(_ENGINE, "orders"), "o_orderstatus", keep=["o_orderkey"], outlier=True)
     return view(df, "o_totalprice", "price_k")
+
+
+@query("impute_unknown_numbers", "SELECT event_id, coalesce(CAST(NULLIF(user_id, 7) AS VARCHAR), 'unknown') AS user_id FROM events")
+def _(t):
+    df = t("events").select("event_id", F.nullif("user_id", F.lit(7)).alias("user_id"))
+    return c.impute(df, "unknown")[0]
+
+
+@query("impute_constant_text", "SELECT event_id, coalesce(CAST(NULLIF(user_id, 7) AS VARCHAR), 'n/a') AS user_id FROM events")
+def _(t):
+    df = t("events").select("event_id", F.nullif("user_id", F.lit(7)).alias("user_id"))
+    return c.impute(df, "constant", value="n/a")[0]
+
+
+@query("impute_mode_all_null", "SELECT event_id, 'unknown' AS nothing FROM events")
+def _(t):
+    df = t("events").select("event_id", F.lit(None).cast("double").alias("nothing"))
+    return c.impute(df, "mode", ["nothing"])[0]
+
+
+@query("ordinal_many", "SELECT o_orderkey, CAST(dense_rank() OVER (ORDER BY o_custkey) - 1 AS DOUBLE) AS o_custkey FROM orders")
+def _(t):
+    return c.ordinal_encode(t("orders").select("o_orderkey", "o_custkey"), ["o_custkey"])[0]

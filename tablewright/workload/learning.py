@@ -161,15 +161,15 @@ _SMALL = {
 }
 
 
-@query("automl_train")
+@query("train_ranked")
 def _(t):
-    return ml.automl(leads(t), list(_SMALL), 2, _SMALL)[0]
+    return ml.train_ranked(leads(t), list(_SMALL), 2, _SMALL)[0]
 
 
-@query("automl_train_values")
+@query("train_ranked_values")
 def _(t):
     grids = {"Linear": {}, "Ridge": {"alpha": [0.1, 10]}, "Lasso": {"alpha": [0.01, 1]}, "DecisionTree": {"max_depth": [5]}}
-    return ml.automl(prices(t), list(grids), 2, grids)[0]
+    return ml.train_ranked(prices(t), list(grids), 2, grids)[0]
 
 
 @query("baseline_vs_optimized")

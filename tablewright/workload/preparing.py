@@ -1,5 +1,6 @@
 """Split, fold and preparation queries."""
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tablewright.operators import prep as p
@@ -130,3 +131,13 @@ def _(t):
     wide = e.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(n)])
     out, _ = p.pca_share(wide, [f"e{i}" for i in range(n)], ["vec_id"])
     return out.withColumns({c: rounded(F.col(c)) for c in out.columns if c != "vec_id"})
+
+
+@query(
+    "prep_high_cardinality",
+    "SELECT o_orderkey, CAST(dense_rank() OVER (ORDER BY concat('c', o_custkey)) AS BIGINT) AS place FROM orders",
+)
+def _(t):
+    df = t("orders").select("o_orderkey", F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("customer"))
+    found = p.fit_preparation(df, ["customer"], drop_id_text=False).vectors(df, ["o_orderkey"])
+    return found.select("o_orderkey", F.array_position(vector_to_array("features"), 1.0).cast("bigint").alias("place"))

@@ -253,7 +253,7 @@ def _(t):
     return p.class_share(t("documents"), "lang")
 
 
-@query("class_imbalance", f"WITH {_imbalance('documents', 'lang')} SELECT * FROM b WHERE classes <= 20")
+@query("class_imbalance", f"WITH {_imbalance('documents', 'lang')} SELECT * FROM b")
 def _(t):
     return p.class_imbalance(t("documents"), "lang")
 
@@ -353,14 +353,14 @@ _HINTED = """SELECT event_id, ts, user_id, event_type, value, CASE WHEN value >
       SELECT 'high_missing' AS hint, string_agg(c, ',' ORDER BY i) AS columns FROM u WHERE np > 30
       UNION ALL SELECT 'target_candidates', string_agg(c, ',' ORDER BY i) FROM u WHERE num AND u > 2 AND np < 50
       UNION ALL SELECT 'high_cardinality', string_agg(c, ',' ORDER BY i) FROM u WHERE up > 90 AND np < 50
-      UNION ALL SELECT 'interactions', 'event_id,user_id,value,gap'
+      UNION ALL SELECT 'interactions', string_agg(c, ',' ORDER BY i) FROM u WHERE num HAVING count(*) > 2
       UNION ALL SELECT 'large_result', CASE WHEN count(*) > 100000 THEN '*' END FROM t
       UNION ALL SELECT 'duplicate_rows', CASE WHEN count(*) > (SELECT count(*) FROM (SELECT DISTINCT * FROM t)) THEN '*' END FROM t
       UNION ALL SELECT 'constant_columns', string_agg(c, ',' ORDER BY i) FROM u WHERE u <= 1
       UNION ALL SELECT 'encode_text', 'event_type'
       UNION ALL SELECT 'date_parts', 'ts'
       UNION ALL SELECT 'check_outliers', string_agg(c, ',' ORDER BY i) FROM u WHERE num AND np < 50
-      UNION ALL SELECT 'check_correlation', 'event_id,user_id,value,gap,one')
+      UNION ALL SELECT 'check_correlation', string_agg(c, ',' ORDER BY i) FROM u WHERE num HAVING count(*) >= 2)
     SELECT * FROM h WHERE columns IS NOT NULL""",
 )
 def _(t):

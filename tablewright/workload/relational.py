@@ -64,7 +64,7 @@ def _(t):
 @query("null_counts", f"WITH t AS ({ITEMS})" + per_column(["quantity", "price", "discount", "tax", "flag", "status", "line"], lambda c: f"SELECT '{c}' AS column_name, count(*) - count({c}) AS nulls FROM t"))
 def _(t):
     df = t.sql(ITEMS, "lineitem")
-    return unpivot_stats(df, df.columns[:8], {"nulls": lambda c: F.count_if(F.col(c).isNull())})
+    return unpivot_stats(df, df.columns, {"nulls": lambda c: F.count_if(F.col(c).isNull())})
 
 
 @query(
@@ -393,11 +393,20 @@ def _(t):
 
 @query(
     "page_result",
-    """SELECT event_id, event_type, value, (SELECT count(*) FROM events) AS total, (SELECT count(*) > 5000 FROM events) AS truncated FROM
-    (SELECT * FROM events ORDER BY event_id LIMIT 5000) ORDER BY event_id LIMIT 50 OFFSET 150""",
+    """SELECT event_id, event_type, value, (SELECT count(*) FROM events) AS total, FALSE AS truncated FROM events ORDER BY event_id LIMIT 50 OFFSET 150""",
 )
 def _(t):
-    return rel.page(t("events").select("event_id", "event_type", "value"), ["event_id"], 3, 50, cap=5000)
+    return rel.page(t("events").select("event_id", "event_type", "value"), ["event_id"], 3, 50)
+
+
+@query(
+    "page_result_deep",
+    """SELECT l_orderkey, l_linenumber, (SELECT count(*) FROM lineitem) AS total, FALSE AS truncated FROM
+    (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS p FROM lineitem) WHERE p > 5500 AND p <= 11000""",
+)
+def _(t):
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    return rel.page(t("lineitem").select(*keys), keys, 1, 5500).drop("l_partkey", "l_suppkey", "l_extendedprice")
 
 
 @query(

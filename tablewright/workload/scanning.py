@@ -89,7 +89,10 @@ def _(t):
     return f.describe(df).join(F.broadcast(filled), "column_name")
 
 
-_SIZES = {"customer": 5, "orders": 6, "lineitem": 11, "events": 6, "documents": 5, "part": 6, "supplier": 4}
+_SIZES = {
+    "region": 2, "nation": 3, "customer": 5, "supplier": 4, "part": 6, "orders": 6, "lineitem": 11, "events": 6,
+    "documents": 5, "embeddings": 3, "pages": 3, "benchmark": 2, "labels": 3, "conversations": 4,
+}
 
 
 @query("dataset_catalog", union(f"SELECT '{n}' AS dataset, count(*) AS rows, CAST({k} AS BIGINT) AS columns FROM {n}" for n, k in _SIZES.items()))
@@ -122,13 +125,26 @@ def _(t):
 @query("export_query", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def _(t):
     df = t.sql("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type", "events")
-    return t.spark.read.schema(df.schema).json(f.export_result(df, scratch_path(t.spark, "export"), "json"))
+    return t.spark.read.schema(df.schema).json(f.export_result(df, scratch_path(t.spark, "export"), "json")["path"])
+
+
+@query("export_query_all", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem")
+def _(t):
+    df = t("lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return t.spark.read.schema(df.schema).json(f.export_result(df, scratch_path(t.spark, "export"), "json")["path"])
+
+
+@query("export_query_first", "SELECT event_id, value FROM events ORDER BY event_id LIMIT (SELECT count(*) // 3 FROM events)")
+def _(t):
+    df = t("events").select("event_id", "value")
+    done = f.export_result(df, scratch_path(t.spark, "export"), "json", df.count() // 3, ["event_id"])
+    return t.spark.read.schema(df.schema).json(done["path"])
 
 
 @query("export_query_nested", "SELECT user_id, count(*) AS n FROM events GROUP BY ALL")
 def _(t):
     df = t("events").groupBy("user_id").agg(F.struct(F.count("*").alias("n")).alias("nested"))
-    back = f.read_csv(t.spark, f.export_result(df, scratch_path(t.spark, "export"), "csv"))
+    back = f.read_csv(t.spark, f.export_result(df, scratch_path(t.spark, "export"), "csv")["path"])
     return back.select(F.col("user_id").cast("bigint"), F.get_json_object("nested", "$.n").cast("bigint").alias("n"))
 
 

@@ -157,14 +157,14 @@ def test_oversample_balances(spark, small_limits):
     assert made["a"].between(0, 39).all() and (made["label"] == "rare").all()
 
 
-def test_automl_keeps_going_and_scores_all_rows(spark, tmp_path):
+def test_ranked_training_keeps_going_and_scores_all_rows(spark, tmp_path):
     rows = [(i, float(i % 20), float((i * 7) % 13), "yes" if (i % 20) + (i * 7) % 13 > 15 else "no") for i in range(300)]
     df = spark.createDataFrame(rows, "id bigint, a double, b double, label string")
     data = learn.prepare(df, "label", ["id"], folds=2)
-    board, found = learn.automl(data, ["LogisticRegression", "Nonsense"], 1, {"LogisticRegression": {"C": [1]}, "Nonsense": {"x": [1]}})
+    board, found = learn.train_ranked(data, ["LogisticRegression", "Nonsense"], 1, {"LogisticRegression": {"C": [1]}, "Nonsense": {"x": [1]}})
     got = {r["model"]: r for r in board.collect()}
     assert got["LogisticRegression"]["place"] == 1 and got["Nonsense"]["error"] and got["Nonsense"]["test_score"] is None
-    again = learn.automl(data, ["LogisticRegression"], 1, {"LogisticRegression": {"C": [1]}})[0].first()
+    again = learn.train_ranked(data, ["LogisticRegression"], 1, {"LogisticRegression": {"C": [1]}})[0].first()
     assert again["test_score"] == got["LogisticRegression"]["test_score"]
     learn.save(str(tmp_path / "m"), found["LogisticRegression"].model, data)
     model, fitted, meta = learn.load(spark, str(tmp_path / "m"))

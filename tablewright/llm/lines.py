@@ -15,7 +15,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.plans.durable import durable
+
 RATIO, MIN_PAGES = 0.1, 3
+#: Hosts and digests (16 bytes each) up to which the boilerplate is broadcast instead of shuffling the pages by host.
+BROADCAST_DIGESTS = 1_000_000
 
 
 def digest(line: Column) -> Column:
@@ -42,7 +46,9 @@ def boilerplate(df: DataFrame, host: str = "source", text: str = "text", ratio:
 
 def drop_boilerplate(df: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """The rows with ``text`` without boilerplate, and ``__found`` and ``__dropped``, the numbers of lines."""
-    found = boilerplate(df, host, text, ratio, min_pages).select("__host", "__lines")
+    found = durable(boilerplate(df, host, text, ratio, min_pages).select("__host", "__lines"))
+    size = found.agg(F.count("*") + F.coalesce(F.sum(F.size("__lines")), F.lit(0))).first()[0]
+    found = F.broadcast(found) if size <= BROADCAST_DIGESTS else found
     rows = df.join(found, df[host].eqNullSafe(found["__host"]), "left")
     lines = split_lines(F.col(text))
     kept = F.filter(lines, lambda x: ~F.array_contains(F.col("__lines"), digest(F.trim(x))))

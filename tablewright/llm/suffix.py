@@ -119,8 +119,8 @@ def _tied(prints: np.ndarray, more: dict[str, np.ndarray]) -> np.ndarray:
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, plane: int = PLANE) -> DataFrame:
     """Per document ``doc_id``, ``n_bytes``, ``n_removed``, ``span_starts``, ``span_ends`` (maximal removed runs) and ``kept`` (bytes)."""
     cover = difference_cover(plane)
-    if cover[0] * 2 > length:
-        raise ValueError("take a smaller plane: the cover must be shorter than half the length")
+    if cover[0] > length:
+        raise ValueError("take a smaller plane: the cover must not be longer than the strings")
     chunks = twins.pack(docs, doc_id, text)
 
     def name(row):

@@ -132,3 +132,22 @@ def test_export_formats(spark, tmp_path):
         files.export(df, str(tmp_path / "c"), "json")
     with pytest.raises(ValueError):
         files.export(df.limit(0), str(tmp_path / "d"), "csv")
+
+
+def test_numbers_filled_with_text_become_text(spark):
+    df = spark.createDataFrame([(1, 1.5, None), (2, None, None), (None, 2.0, None)], "a int, b double, c double")
+    out, stats = clean.impute(df, "unknown")
+    assert [tuple(r) for r in out.collect()] == [("1", "1.5", "unknown"), ("2", "unknown", "unknown"), ("unknown", "2.0", "unknown")]
+    assert stats == {"before": 5, "after": 0, "filled": 5}
+    assert dict(clean.impute(df, "constant", value="n/a")[0].dtypes)["b"] == "string"
+    filled = clean.impute(df, "mode")[0]
+    assert dict(filled.dtypes) == {"a": "int", "b": "double", "c": "string"} and filled.where("c <> 'unknown'").count() == 0
+
+
+def test_ordinal_codes_of_many_values(spark):
+    df = spark.range(700).selectExpr("id", "CASE WHEN id < 690 THEN concat('v', id % 300) END AS v", "id % 3 AS w")
+    out, stats = clean.ordinal_encode(df, ["v", "w"], {"w": [2, 0]})
+    rows = {r["id"]: r for r in out.collect()}
+    order = sorted({f"v{k % 300}" for k in range(690)})
+    assert all(rows[k]["v"] == float(order.index(f"v{k % 300}")) for k in range(690)) and rows[695]["v"] is None
+    assert [rows[k]["w"] for k in range(3)] == [1.0, None, 0.0] and stats["values"] == {"v": 300}

@@ -44,7 +44,7 @@ GRIDS = {
     "GradientBoosting": {"n_estimators": [50, 100], "learning_rate": [0.01, 0.1], "max_depth": [3, 5]},
     "DecisionTree": {"max_depth": [None, 5, 10, 20], "min_samples_split": [2, 5, 10]},
     "LinearSVM": {"C": [0.1, 1, 10]},
-    "NaiveBayes": {"var_smoothing": [1e-09, 1e-08, 1e-07]},
+    "NaiveBayes": {},  # Spark smooths Gaussian variances by a fixed share, so there is nothing to search
     "Ridge": {"alpha": [0.01, 0.1, 1, 10, 100]},
     "Lasso": {"alpha": [0.001, 0.01, 0.1, 1]},
     "Linear": {},
@@ -78,9 +78,9 @@ def estimator(
         return LogisticRegression(regParam=c_penalty, standardization=False, maxIter=100, tol=TOLERANCE)
     if name == "LinearSVM":
         svm = LinearSVC(regParam=c_penalty, standardization=False, maxIter=50, tol=TOLERANCE)
-        return svm if classes == 2 else OneVsRest(classifier=svm)
+        return svm if classes == 2 else OneVsRest(classifier=svm, parallelism=4)
     if name == "NaiveBayes":
-        return NaiveBayes(modelType="gaussian", smoothing=float(p.get("var_smoothing", 1e-9)))
+        return NaiveBayes(modelType="gaussian")
     if name == "RandomForest":
         kind = RandomForestClassifier if classify else RandomForestRegressor
         return kind(numTrees=int(p.get("n_estimators", 100)), maxDepth=depth(None), minInstancesPerNode=leaf, seed=SEED)
@@ -503,7 +503,7 @@ def load(spark, path: str) -> tuple[Transformer, Preparation, dict]:
 
 
 def batch_score(df: DataFrame, keys: Sequence[str], model: Transformer, prep: Preparation, classes: Sequence) -> DataFrame:
-    """Prediction (as a label) and confidence of every row; missing features are 0, extra columns ignored."""
+    """Prediction (as a label), confidence and the probabilities of the classes in order; missing features are 0, extra columns ignored."""
     needed = [*prep.numeric, *prep.categorical]
     absent = [c for c in needed if c not in df.columns]
     rows = df.withColumns({c: F.lit(0.0) if c in prep.numeric else F.lit("0") for c in absent}) if absent else df
@@ -511,5 +511,7 @@ def batch_score(df: DataFrame, keys: Sequence[str], model: Transformer, prep: Pr
     prediction = F.col("prediction")
     if classes:
         prediction = F.element_at(F.array(*[F.lit(str(v)) for v in classes]), prediction.cast("int") + 1)
-    sure = F.array_max(vector_to_array("probability")) if "probability" in scored.columns else F.lit(None).cast("double")
-    return scored.select(*[quoted(k) for k in keys], prediction.alias("prediction"), sure.alias("confidence"))
+    shares = vector_to_array("probability") if "probability" in scored.columns else F.lit(None).cast("array<double>")
+    return scored.select(
+        *[quoted(k) for k in keys], prediction.alias("prediction"), F.array_max(shares).alias("confidence"), shares.alias("probabilities")
+    )

@@ -21,14 +21,14 @@ def fitted(name, kind, numbers):
         return c.fit_best(vectors(t).drop("cluster"), kind, numbers)[0]
 
 
-fitted("cluster_kmeans", "kmeans", [2, 5, 8])
-fitted("cluster_gmm", "gmm", [2, 3])
-fitted("cluster_hierarchical", "hierarchical", [2, 4, 8])
+fitted("cluster_kmeans", "kmeans", range(2, 9))
+fitted("cluster_gmm", "gmm", range(2, 9))
+fitted("cluster_hierarchical", "hierarchical", range(2, 9))
 
 
 @query("cluster_scores")
 def _(t):
-    return c.fit_best(vectors(t).drop("cluster"), "kmeans", [2, 4, 6, 8])[1]
+    return c.fit_best(vectors(t).drop("cluster"), "kmeans", range(2, 9))[1]
 
 
 @query("cluster_spectral")

@@ -21,15 +21,15 @@ PRICES = """SELECT event_id, value, CAST(regexp_extract(props, '[0-9]+', 0) AS D
 
 
 def leads(t):
-    return ml.prepare(t.sql(LEADS, "events"), "follow_up", ["event_id"], ["value", "k", "kind"], folds=2)
+    return ml.prepare(t.sql(LEADS, "events"), "follow_up", ["event_id"], ["value", "k", "kind"])
 
 
 def tiers(t):
-    return ml.prepare(t.sql(TIERS, "events"), "tier", ["event_id"], ["value", "k", "kind"], folds=2)
+    return ml.prepare(t.sql(TIERS, "events"), "tier", ["event_id"], ["value", "k", "kind"])
 
 
 def prices(t):
-    return ml.prepare(t.sql(PRICES, "events"), "price", ["event_id"], ["value", "k", "kind"], task="regression", folds=2)
+    return ml.prepare(t.sql(PRICES, "events"), "price", ["event_id"], ["value", "k", "kind"], task="regression")
 
 
 def fitted(name, make, model, params):
@@ -41,11 +41,11 @@ def fitted(name, make, model, params):
 
 fitted("fit_logistic", leads, "LogisticRegression", {"C": 1})
 fitted("fit_logistic_classes", tiers, "LogisticRegression", {"C": 1})
-fitted("fit_random_forest", tiers, "RandomForest", {"n_estimators": 20, "max_depth": 6})
-fitted("fit_random_forest_values", prices, "RandomForest", {"n_estimators": 20, "max_depth": 6})
-fitted("fit_gbt", leads, "GradientBoosting", {"n_estimators": 10, "max_depth": 3})
-fitted("fit_gbt_classes", tiers, "GradientBoosting", {"n_estimators": 5, "max_depth": 3})
-fitted("fit_gbt_values", prices, "GradientBoosting", {"n_estimators": 10, "max_depth": 3})
+fitted("fit_random_forest", tiers, "RandomForest", {"n_estimators": 50, "max_depth": 6})
+fitted("fit_random_forest_values", prices, "RandomForest", {"n_estimators": 50, "max_depth": 6})
+fitted("fit_gbt", leads, "GradientBoosting", {"n_estimators": 50, "max_depth": 3})
+fitted("fit_gbt_classes", tiers, "GradientBoosting", {"n_estimators": 50, "max_depth": 3})
+fitted("fit_gbt_values", prices, "GradientBoosting", {"n_estimators": 50, "max_depth": 3})
 fitted("fit_decision_tree", tiers, "DecisionTree", {"max_depth": 8, "min_samples_split": 5})
 fitted("fit_decision_tree_values", prices, "DecisionTree", {"max_depth": 8})
 fitted("fit_linear_svm", leads, "LinearSVM", {"C": 1})
@@ -143,7 +143,7 @@ def _(t):
 @query("random_search")
 def _(t):
     data = leads(t)
-    return ml.tried_frame(data, ml.random_search(data, "DecisionTree", 4, {"max_depth": [3, 5, 8, 10], "min_samples_split": [2, 5, 10]}))
+    return ml.tried_frame(data, ml.random_search(data, "DecisionTree", 8))
 
 
 @query("search_fold_scores")
@@ -156,8 +156,8 @@ def _(t):
 _SMALL = {
     "LogisticRegression": {"C": [0.1, 1]},
     "DecisionTree": {"max_depth": [4, 8]},
-    "NaiveBayes": {"var_smoothing": [1e-9]},
-    "RandomForest": {"n_estimators": [10], "max_depth": [5]},
+    "NaiveBayes": {},
+    "RandomForest": {"n_estimators": [50], "max_depth": [5]},
 }
 
 
@@ -174,7 +174,7 @@ def _(t):
 
 @query("baseline_vs_optimized")
 def _(t):
-    return ml.baseline_and_optimized(leads(t), "DecisionTree", {"max_depth": 2}, 2, {"max_depth": [4, 6]})
+    return ml.baseline_and_optimized(leads(t), "DecisionTree", {"max_depth": 2}, 8, {"max_depth": [4, 6, 8, 10], "min_samples_split": [2, 5, 10]})
 
 
 _RESULTS = "SELECT concat(p_brand, ' ', p_type) AS model, CASE WHEN max(p_size) > 45 THEN round(avg(p_retailprice), 4) END AS score FROM part GROUP BY p_brand, p_type"
@@ -201,7 +201,7 @@ def _(t):
 
 @query("validation_curve")
 def _(t):
-    return ml.validation_curve(leads(t), "DecisionTree", "max_depth", [2, 3, 5, 7])
+    return ml.validation_curve(leads(t), "DecisionTree", "max_depth")
 
 
 @query("compare_models")
@@ -214,14 +214,14 @@ def _(t):
 @query("evaluate_dataset")
 def _(t):
     df = t.sql(LEADS, "events").select("event_id", "value", "k", "kind", "follow_up")
-    models = {"LogisticRegression": {}, "RandomForest": {"n_estimators": 10, "max_depth": 5}, "GradientBoosting": {"n_estimators": 5}, "DecisionTree": {"max_depth": 8}}
+    models = {"LogisticRegression": {}, "RandomForest": {"n_estimators": 50, "max_depth": 5}, "GradientBoosting": {"n_estimators": 50}, "DecisionTree": {"max_depth": 8}}
     return ml.evaluate_dataset(df, ["event_id"], models=models)[0]
 
 
 @query("feature_importance")
 def _(t):
     data = tiers(t)
-    model = ml.fit(data, "RandomForest", {"n_estimators": 10, "max_depth": 5})
+    model = ml.fit(data, "RandomForest", {"n_estimators": 50, "max_depth": 5})
     return x.feature_importance(data.train, model, data.names)
 
 

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans, PowerIterationClustering
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
@@ -18,6 +19,7 @@ from tablewright.operators.learn import estimator
 from tablewright.operators.prep import fit_preparation, split_temporal
 from tablewright.operators.series import series_features
 from tablewright.plans import wide
+from tablewright.plans.durable import durable
 from tablewright.plans.types import quoted
 
 CLUSTER_LIMIT = 1000
@@ -27,16 +29,22 @@ MODELS = {"kmeans": KMeans, "gmm": GaussianMixture, "hierarchical": BisectingKMe
 
 
 def fit_best(df: DataFrame, kind: str, numbers: Sequence[int] = CLUSTER_NUMBERS, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Cluster (id, point) with every number of clusters and keep the best silhouette.
+    """Cluster (id, point) with every number of clusters and keep the best silhouette (of squared distances).
 
     Returns the assignment (id, cluster) and the score of every number tried.  A number that leaves fewer than
-    two clusters is skipped.
+    two clusters, or components that the points do not determine, has no score.
     """
     vectors = df.select("id", array_to_vector("point").alias("features")).persist()
     judge = ClusteringEvaluator()
     best, rows = None, []
     for k in numbers:
-        found = MODELS[kind](k=k, seed=seed).fit(vectors).transform(vectors)
+        try:
+            found = MODELS[kind](k=k, seed=seed).fit(vectors).transform(vectors)
+        except Py4JJavaError:  # a mixture with more components than the points can tell apart
+            if kind != "gmm":
+                raise
+            rows.append((k, None))
+            continue
         if found.select("prediction").distinct().count() < 2:
             rows.append((k, None))
             continue
@@ -46,7 +54,9 @@ def fit_best(df: DataFrame, kind: str, numbers: Sequence[int] = CLUSTER_NUMBERS,
             best = (score, found)
     if best is None:
         raise ValueError("no number of clusters gave two clusters")
-    return best[1].select("id", F.col("prediction").alias("cluster")), wide.rows_frame(df.sparkSession, rows, "k int, silhouette double")
+    assigned = durable(best[1].select("id", F.col("prediction").alias("cluster")))
+    vectors.unpersist()
+    return assigned, wide.rows_frame(df.sparkSession, rows, "k int, silhouette_squared double")
 
 
 def spectral(df: DataFrame, k: int, neighbours: int = 10) -> DataFrame:

@@ -46,7 +46,7 @@ def test_stages_take_effect(spark):
 
 def test_stages_take_awkward_tables(spark, tmp_path):
     docs = cases.with_clashes(cases.awkward(spark))
-    labels = [(k, int(k % 3 > 0), int(k % 3 == 1)) for k in range(60)] + [(None, 1, 0), (1, None, None)]
+    labels = [(k, int(k % 10 > 0), int(k % 10 == 1)) for k in range(60)] + [(None, 1, 0), (1, None, None)]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([("a", "w1 w2 w3"), (None, None)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):

@@ -25,9 +25,9 @@ from pyspark.sql import types as T
 from tablewright.llm.arrow import columns_of, lists, shares, with_fields
 
 #: Pieces that a task remembers; later ones are encoded whenever they come.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 150_000
 #: Ids of pieces that a task remembers; beyond, it starts anew.
-KEPT_IDS = 1 << 24
+KEPT_IDS = 1 << 21
 
 
 def byte_characters() -> dict[int, str]:
@@ -147,6 +147,12 @@ class Codec:
             self.known, self.used = {}, 0
         return ids, np.diff(before[of_text])
 
+    def forget(self) -> None:
+        """Drop the pieces, whose memory the next work of the same process may need."""
+        self.known, self.used = {}, 0
+        self.flat, self.at = np.zeros(1 << 16, dtype=np.int32), np.zeros((2, 1 << 12), dtype=np.int64)
+        pa.default_memory_pool().release_unused()
+
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of ids, one after the other."""
         return gather(self.bytes, self.starts[ids], self.sizes[ids])
@@ -190,6 +196,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str | None = None, text: str
                     spans = [character_spans(t or "", own.sizes[ids[e - n : e]]) for t, n, e in zip(texts, counts, cuts)]
                     out += [lists(np.concatenate([s[k] for s in spans]), counts, pa.int32()) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays(out, names=[*kept, *made])
+        own.forget()
 
     return df.mapInArrow(work, with_fields(df.schema, **made))
 
@@ -224,6 +231,7 @@ def round_trip(df: DataFrame, ranks_path: str, pattern: str | None = None, text:
                 raw = pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(own.decode(ids))])
                 out = columns_of(part, kept)
                 yield pa.RecordBatch.from_arrays([*out, lists(ids, counts, pa.int32()), raw], names=[*kept, *made])
+        own.forget()
 
     return df.mapInArrow(work, with_fields(df.schema, **made))
 

@@ -32,35 +32,39 @@ from tablewright.plans.durable import durable
 
 BUCKETS, SAMPLE_ROWS, MIN_ROWS, PENALTY, STEPS = 1 << 18, 50_000, 5, 1e-3, 25
 #: Documents stay if the best grade is at least this likely.
-MIN_TAIL = 0.5
+MIN_TAIL = 0.7
 
 TOKEN = re.compile(r"[^\W\d_]+|[^\w\s]+|[\d_]+")
-CACHED_TOKENS = 400_000
-_CACHE: dict[str, tuple[int, ...]] = {}
+#: Tokens that a task remembers; later ones are worked out whenever they come.
+CACHED_TOKENS = 60_000
+_CACHE: dict[str, int] = {}
+CAPITALS, DIGITS = zlib.crc32(b"\x00capitals") % BUCKETS, zlib.crc32(b"\x00digits") % BUCKETS
 
 
-def _buckets(token: str) -> tuple[int, ...]:
-    """Buckets of one token as written."""
+def _bucket(token: str) -> int:
+    """Bucket of a token as written; ``BUCKETS`` more for capitals."""
     if token[0].isdigit() or token[0] == "_":
-        return (zlib.crc32(b"\x00digits") % BUCKETS,)
-    own = zlib.crc32(token.lower().encode()) % BUCKETS
-    return (own, zlib.crc32(b"\x00capitals") % BUCKETS) if len(token) > 2 and token.isupper() else (own,)
+        return DIGITS
+    return zlib.crc32(token.lower().encode()) % BUCKETS + BUCKETS * (len(token) > 2 and token.isupper())
 
 
 def features(text: str | None) -> np.ndarray:
     """Sorted distinct buckets of a text."""
     found: set[int] = set()
-    if len(_CACHE) > CACHED_TOKENS:
-        _CACHE.clear()
     tokens = TOKEN.findall(text or "")
     distinct = set(tokens)
     if tokens:
         found.add(zlib.crc32(b"\x00varied%d" % (8 * len(distinct) // len(tokens) if len(tokens) >= 16 else 8)) % BUCKETS)
     for token in distinct:
-        known = _CACHE.get(token)
-        if known is None:
-            known = _CACHE[token] = _buckets(token)
-        found.update(known)
+        bucket = _CACHE.get(token)
+        if bucket is None:
+            bucket = _bucket(token)
+            if len(_CACHE) < CACHED_TOKENS:
+                _CACHE[token] = bucket
+        if bucket >= BUCKETS:
+            found.add(CAPITALS)
+            bucket -= BUCKETS
+        found.add(bucket)
     return np.sort(np.fromiter(found, dtype=np.int32, count=len(found)))
 
 
@@ -82,11 +86,13 @@ def training_rows(docs: DataFrame, ratings: DataFrame, grade: Column, doc_id: st
     return durable(rows.mapInArrow(work, T.StructType().add("grade", "integer").add("found", "binary")))
 
 
-def _unpack(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Grades, all buckets one after the other, and where each row begins."""
-    raw = batch.column(1).to_pylist()
-    sizes = np.array([len(x) // 4 for x in raw], dtype=np.int64)
-    return batch.column(0).to_numpy(zero_copy_only=False), np.frombuffer(b"".join(raw), dtype=np.int32), np.cumsum(sizes) - sizes
+def _unpacked(batches):
+    """By some rows: grades, all buckets one after the other, and where each row begins."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, 512):
+            grade, raw = batch.column(0).slice(low, 512), batch.column(1).slice(low, 512).to_pylist()
+            sizes = np.array([len(x) // 4 for x in raw], dtype=np.int64)
+            yield grade.to_numpy(zero_copy_only=False), np.frombuffer(b"".join(raw), dtype=np.int32), np.cumsum(sizes) - sizes
 
 
 def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -123,8 +129,7 @@ def _loss(rows: DataFrame, place: np.ndarray, scale: np.ndarray, grades: list[in
         n = len(point) - k
         thresholds = point[n] + np.concatenate([[0.0], np.cumsum(np.exp(point[n + 1 :]))])
         loss, count, slope, edges = 0.0, 0, np.zeros(n + 1), np.zeros(k)
-        for batch in batches:
-            grade, found, starts = _unpack(batch)
+        for grade, found, starts in _unpacked(batches):
             where = index[found]
             score = _sums(weights[where], starts)
             level = np.searchsorted(grades, grade)
@@ -161,8 +166,7 @@ def fit(rows: DataFrame, steps: int = STEPS) -> Model | None:
 
     def tally(batches):
         seen = np.zeros((BUCKETS, len(grades)), dtype=np.int64)
-        for batch in batches:
-            grade, found, starts = _unpack(batch)
+        for grade, found, starts in _unpacked(batches):
             level = np.repeat(np.searchsorted(grades, grade), np.diff(np.append(starts, len(found))))
             np.add.at(seen, (found, level), 1)
         at = np.flatnonzero(seen.sum(axis=1))
@@ -228,6 +232,7 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", prefix: str
             for part in shares(batch, at):
                 scores = np.array([own.dense[features(t)].sum() for t in part.column(at).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*columns_of(part, kept), *map(pa.array, own.grade(scores))], names=schema.names)
+        pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(work, schema)
 

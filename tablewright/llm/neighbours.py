@@ -5,10 +5,11 @@
 2. Descent: all vectors that are neighbours of one vector, in either direction, are compared; who is nearer than the last
    of a list enters it. This goes on until the lists hardly improve.
 3. Saturated lists, whose last entry still is near the threshold, are enlarged and refined again, until the families that the
-   near entries form no longer change.
+   near entries form no longer change. Lists that still are saturated may hold near copies only and tell nothing of the next
+   family: families with such lists are cut into balls, and those with balls that can reach each other are joined.
 4. Families are compared whole in double precision, large ones block by block: these give the links.
 
-Steps 1 to 3 use vectors rounded to bytes and only propose; step 4 decides. ``audit`` compares with brute force over a set
+Steps 1 and 2 use vectors rounded to bytes; steps 1 to 3 only propose, step 4 decides. ``audit`` compares with brute force over a set
 of queries and gives the recall.
 
 Only vectors of equal, non-null labels and equal length are compared. Null vectors and those that are zero or hold null or
@@ -174,26 +175,91 @@ def descend(reps: DataFrame, threshold: float) -> DataFrame:
         found = components(links).select("component").distinct().count()
         full = graph.where(near).groupBy("src").agg(F.count("*").alias("n"), F.first("room").alias("room")).where("n >= room").select("src")
         full = durable(full.withColumn("full", F.lit(True)))
-        if found == families or not full.take(1):
+        if not full.take(1):
             return links
+        if found == families:
+            return links.unionByName(reaching(reps, links, full, threshold))
         families = found
         graph = graph.join(full, "src", "left").withColumn("room", F.when(F.col("full"), F.col("room") * 4).otherwise(F.col("room"))).drop("full")
         graph = _refine(durable(graph), reps)
 
 
-def links(reps: DataFrame, near: DataFrame, threshold: float, task_rows: int = TASK_ROWS) -> DataFrame:
-    """``a``, ``b`` (enough links to hold the linked ones together, a = b for the rest) and ``links`` of a, from whole families."""
-    family = durable(components(near))
-    rows = reps.select("id", "unit", "weight").join(family.withColumnRenamed("node", "id"), "id")
-    sizes = family.groupBy("component").agg(F.count("*").alias("members"))
+def _dealt(rows: DataFrame, key: str, task_rows: int, pairs: bool = True) -> DataFrame:
+    """Add ``block`` and ``task``: small groups of ``key`` share tasks, large ones are cut into blocks of half a task.
+
+    pairs: every two blocks of a group meet in a task, so that rows of large groups come several times.
+    """
+    sizes = rows.groupBy(key).agg(F.count("*").alias("members"))
     total = sizes.agg(F.sum("members")).first()[0] or 0
     tasks = max(1, -(-2 * total // task_rows))
     half = task_rows // 2
-    sizes = sizes.select("component", F.ceil(F.col("members") / half).cast("int").alias("blocks"))
-    rows = rows.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int"))
-    small = F.array(F.concat_ws("-", F.lit("s"), F.pmod(F.xxhash64("component"), F.lit(tasks))))
-    met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.concat_ws("-", "component", F.least(k, F.col("block")), F.greatest(k, F.col("block"))))
-    rows = rows.select("id", "unit", "weight", "component", "block", F.explode(F.when(F.col("blocks") == 1, small).otherwise(met)).alias("task"))
+    sizes = sizes.select(key, F.ceil(F.col("members") / half).cast("int").alias("blocks"))
+    rows = rows.join(sizes, key).withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int"))
+    small = F.array(F.concat_ws("-", F.lit("s"), F.pmod(F.xxhash64(key), F.lit(tasks))))
+    alone = F.array(F.concat_ws("-", key, "block"))
+    met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.concat_ws("-", key, F.least(k, F.col("block")), F.greatest(k, F.col("block"))))
+    return rows.withColumn("task", F.explode(F.when(F.col("blocks") == 1, small).otherwise(met if pairs else alone))).drop("blocks")
+
+
+def _cuts(values: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of every run of equal values."""
+    cuts = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
+    return list(zip(cuts[:-1], cuts[1:]))
+
+
+def reaching(reps: DataFrame, near: DataFrame, full: DataFrame, threshold: float, task_rows: int = TASK_ROWS) -> DataFrame:
+    """``a``, ``b``: links that join the families with saturated lists (``src`` of full) whose members can be linked.
+
+    A ball is a block of a family, with its centre and the largest angle to it. By the triangle inequality members of two balls
+    are linked only if the angle of the centres is at most both radii and the angle of the threshold. All balls of a cell meet.
+    """
+    family = durable(components(near))
+    chosen = family.join(full.select(F.col("src").alias("node")), "node", "left_semi").select("component").distinct()
+    members = family.join(durable(chosen), "component", "left_semi")
+    rows = _dealt(reps.select("id", "cell", "unit").join(members.withColumnRenamed("node", "id"), "id"), "component", task_rows, pairs=False)
+
+    def balls(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("component", "ascending"), ("id", "ascending")])
+        ids, cell, unit = table.column("id").to_numpy(), table.column("cell").to_pylist(), table.column("unit").to_pylist()
+        out = []
+        for begin, end in _cuts(table.column("component").to_numpy()):
+            x = _matrix(unit[begin:end], "f8")
+            centre = x.sum(axis=0)
+            length = np.sqrt(centre @ centre)
+            centre = centre / length if length > 1e-6 else x[0]
+            out.append((ids[begin], cell[begin], centre.tobytes(), float(np.arccos(np.clip(x @ centre, -1, 1)).max())))
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.string(), pa.binary(), pa.float64()))], names=["id", "cell", "centre", "radius"])
+
+    found = durable(rows.groupBy("task").applyInArrow(balls, "id bigint, cell string, centre binary, radius double"))
+    limit = np.arccos(threshold) + 1e-6
+
+    def work(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("cell", "ascending"), ("id", "ascending")])
+        ids, radius, centre = table.column("id").to_numpy(), table.column("radius").to_numpy(), table.column("centre").to_pylist()
+        roots = np.arange(len(ids))
+        for begin, end in _cuts(np.array(table.column("cell").to_pylist())):
+            x, left = _matrix(centre[begin:end], "f8"), np.ones(end - begin, dtype=bool)
+            for first in range(end - begin):
+                if not left[first]:
+                    continue
+                left[first], todo = False, np.array([first])
+                while len(todo):
+                    now, todo = todo[:256], todo[256:]
+                    rest = np.flatnonzero(left)
+                    angle = np.arccos(np.clip(x[now] @ x[rest].T, -1, 1))
+                    met = rest[(angle <= radius[begin + now][:, None] + radius[begin + rest][None, :] + limit).any(axis=0)]
+                    left[met], roots[begin + met] = False, begin + first
+                    todo = np.concatenate([todo, met])
+        return pa.table({"a": pa.array(ids), "b": pa.array(ids[roots])})
+
+    met = _dealt(found, "cell", task_rows).groupBy("task").applyInArrow(work, "a bigint, b bigint")
+    return durable(met.where("a <> b"))
+
+
+def links(reps: DataFrame, near: DataFrame, threshold: float, task_rows: int = TASK_ROWS) -> DataFrame:
+    """``a``, ``b`` (enough links to hold the linked ones together, a = b for the rest) and ``links`` of a, from whole families."""
+    family = durable(components(near))
+    rows = _dealt(reps.select("id", "unit", "weight").join(family.withColumnRenamed("node", "id"), "id"), "component", task_rows)
 
     def work(table: pa.Table) -> pa.Table:
         table = table.sort_by([("component", "ascending"), ("id", "ascending")])
@@ -208,8 +274,7 @@ def links(reps: DataFrame, near: DataFrame, threshold: float, task_rows: int = T
                 x = root[x]
             return x
 
-        cuts = [0, *(np.flatnonzero(family[1:] != family[:-1]) + 1).tolist(), len(ids)]
-        for begin, end in zip(cuts[:-1], cuts[1:]):
+        for begin, end in _cuts(family):
             x = _matrix(unit[begin:end], "f8")
             for low in range(begin, end, 256):
                 high = min(end, low + 256)

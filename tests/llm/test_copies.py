@@ -164,3 +164,20 @@ def test_embeddings_equal_brute_force(spark, task_rows, monkeypatch):
     assert neighbours.audit(table, found, every=5) >= 0.99
     if task_rows == 4096:
         assert neighbours.near_duplicates(table.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("task_rows", [4096, 80])
+def test_dense_groups_just_over_the_threshold_are_linked(spark, task_rows, monkeypatch):
+    monkeypatch.setattr(neighbours.links, "__defaults__", (task_rows,))
+    monkeypatch.setattr(neighbours.reaching, "__defaults__", (task_rows,))
+    rng, axes, n = np.random.default_rng(2), np.linalg.qr(np.random.default_rng(1).normal(size=(64, 64)))[0], 300
+    angle = np.arccos(0.9865)
+    # the third group is 30 degrees from both
+    centres = [axes[0], np.cos(angle) * axes[0] + np.sin(angle) * axes[1], np.cos(np.pi / 6) * axes[0] + 0.5 * axes[2]]
+    x = np.repeat(centres, n, axis=0) + rng.normal(size=(3 * n, 64)) * np.sqrt(0.001 / 64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.98
+    assert near[:n, n : 2 * n].all() and not near[: 2 * n, 2 * n :].any()
+    table = spark.createDataFrame([(k, x[k].tolist(), 1) for k in range(len(x))], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in neighbours.near_duplicates(table).collect()}
+    assert got == {k: (int(near[k].sum()) - 1, 0 if k < 2 * n else 2 * n) for k in range(len(x))}

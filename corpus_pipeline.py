@@ -2,7 +2,7 @@
 
 Every stage takes the session, the documents and the folder of the other tables. All but the last return the columns
 of the documents, whatever further ones there are; ``n_chars``, if there, follows the text. Documents without a text go through
-as they are; empty tables give empty results.
+as they are, also the quality classifier; empty tables give empty results.
 """
 
 from __future__ import annotations

@@ -11,9 +11,13 @@ that the penalty on the weights holds back chance words and not telling ones.
 The fit takes at most about ``SAMPLE_ROWS`` ratings, chosen by hash; each step sums gradients over partitions in Spark
 and only the vectors of the buckets in use come to the driver. Every document is scored.
 
+A document is rejected if its tail probability is below ``cut``, which keeps ``KEEP_GOOD`` of the best ratings of a fifth that
+the fit does not see, but never above the probability of a document of which nothing is known: only what speaks against a
+document rejects it, not the mix of the grades.
+
 Ratings with a null grade or without a document are not used; several ratings of one document all count. Without
-ratings, or with ratings of one grade only, nothing is rejected: grade and probability are null. Null texts count as empty
-and have no features. Repeated rows are scored alike. Extra columns pass through unless called like a result column.
+ratings, or with ratings of one grade only, nothing is rejected: grade and probability are null. Null texts count as empty;
+these and texts none of whose words has a weight have no features and stay. Repeated rows are scored alike. Extra columns pass through unless called like a result column.
 """
 
 from __future__ import annotations
@@ -31,8 +35,8 @@ from tablewright.llm.arrow import columns_of, shares, with_fields
 from tablewright.plans.durable import durable
 
 BUCKETS, SAMPLE_ROWS, MIN_ROWS, PENALTY, STEPS = 1 << 18, 50_000, 5, 1e-3, 25
-#: Documents stay if the best grade is at least this likely.
-MIN_TAIL = 0.7
+#: Share of the best ratings that stay, and how many of them a fifth must hold to be set apart for the cut.
+KEEP_GOOD, MIN_HELD = 0.99, 20
 
 TOKEN = re.compile(r"[^\W\d_]+|[^\w\s]+|[\d_]+")
 #: Tokens that a task remembers; later ones are worked out whenever they come.
@@ -41,6 +45,10 @@ _CACHE: dict[str, int] = {}
 CAPITALS, DIGITS = zlib.crc32(b"\x00capitals") % BUCKETS, zlib.crc32(b"\x00digits") % BUCKETS
 
 
+#: Buckets that say nothing about the words of a text.
+MARKS = np.array([CAPITALS, DIGITS, *(zlib.crc32(b"\x00varied%d" % k) % BUCKETS for k in range(9))])
+
+
 def _bucket(token: str) -> int:
     """Bucket of a token as written; ``BUCKETS`` more for capitals."""
     if token[0].isdigit() or token[0] == "_":
@@ -105,12 +113,19 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Weights of the buckets in use, and ordered thresholds."""
+    """Weights of the buckets in use, ordered thresholds, and the tail probability from which documents stay."""
 
     def __init__(self, grades: list[int], used: np.ndarray, weights: np.ndarray, thresholds: np.ndarray):
         self.grades, self.used, self.thresholds = grades, used, thresholds
-        self.dense = np.zeros(BUCKETS)
+        self.dense, self.known = np.zeros(BUCKETS), np.zeros(BUCKETS, dtype=bool)
         self.dense[used] = weights
+        self.known[used] = True
+        self.known[MARKS] = False
+        self.cut = float(self.grade(np.zeros(1))[1][0]) - 1e-9
+
+    def score(self, found: np.ndarray) -> float:
+        """Weights of a text's buckets; 0 if none of its words has one."""
+        return self.dense[found].sum() if self.known[found].any() else 0.0
 
     def grade(self, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Expected grade and probability of the best grade."""
@@ -217,6 +232,28 @@ def fit(rows: DataFrame, steps: int = STEPS) -> Model | None:
     return Model(grades, used, scale * point[:-k], thresholds)
 
 
+def fit_with_cut(rows: DataFrame) -> Model | None:
+    """The model of four fifths of the rows with the cut of the last; of all rows if the fifth has few of the best ratings."""
+    held = F.pmod(F.xxhash64("found"), F.lit(5)) == 0
+    best = rows.agg(F.max("grade")).first()[0]
+    kept = rows.where(held & (F.col("grade") == best))
+    if best is None or kept.count() < MIN_HELD:
+        return fit(rows)
+    model = fit(rows.where(~held))
+    if model is None or model.grades[-1] != best:
+        return fit(rows)
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+
+    def work(batches):
+        for batch in batches:
+            scores = np.array([sent.value.score(np.frombuffer(x, dtype=np.int32)) for x in batch.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([pa.array(sent.value.grade(scores)[1])], names=["tail"])
+
+    tails = np.sort([r.tail for r in kept.mapInArrow(work, "tail double").collect()])
+    model.cut = min(model.cut, float(tails[int((1 - KEEP_GOOD) * len(tails))]) - 1e-9)
+    return model
+
+
 def score(docs: DataFrame, model: Model | None, text: str = "text", prefix: str = "") -> DataFrame:
     """Add ``expected_grade`` and ``tail_probability``, the probability of the best grade; ``prefix`` goes before their names."""
     made = {f"{prefix}expected_grade": T.DoubleType(), f"{prefix}tail_probability": T.DoubleType()}
@@ -230,7 +267,7 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", prefix: str
         own = sent.value
         for batch in batches:
             for part in shares(batch, at):
-                scores = np.array([own.dense[features(t)].sum() for t in part.column(at).to_pylist()])
+                scores = np.array([own.score(features(t)) for t in part.column(at).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*columns_of(part, kept), *map(pa.array, own.grade(scores))], names=schema.names)
         pa.default_memory_pool().release_unused()
 
@@ -244,8 +281,9 @@ def rating(quality: str = "quality", toxic: str = "toxic") -> Column:
 
 def judge(docs: DataFrame, labels: DataFrame, prefix: str = "") -> DataFrame:
     """Fit on the labels and score all documents; ``kept`` is false for those that are rejected."""
-    scored = score(docs, fit(training_rows(docs, labels, rating())), prefix=prefix)
-    return scored.withColumn(f"{prefix}kept", F.coalesce(F.col(f"{prefix}tail_probability") >= MIN_TAIL, F.lit(True)))
+    model = fit_with_cut(training_rows(docs, labels, rating()))
+    cut = model.cut if model else 0.0
+    return score(docs, model, prefix=prefix).withColumn(f"{prefix}kept", F.coalesce(F.col(f"{prefix}tail_probability") >= cut, F.lit(True)))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:

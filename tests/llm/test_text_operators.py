@@ -220,3 +220,23 @@ def test_quality_without_ratings_keeps_all(spark, docs):
     assert rows.columns == cases.with_clashes(docs).columns
     assert rows.where("kept <> 'own kept'").count() == 0
     assert quality.query(cases.nothing(spark), two).count() == 0
+
+
+@pytest.mark.parametrize("good", [300, 60])
+def test_quality_keeps_what_it_knows_nothing_about(spark, good):
+    rng = random.Random(4)
+    words = {g: [f"{g}{k}".translate(str.maketrans("0123456789", "abcdefghij")) for k in range(30)] for g in ("fine", "junk")}
+    docs = [(k, " ".join(rng.choices(words["fine" if k < good else "junk"], k=20))) for k in range(400)]
+    odd = [(1000, None), (1001, ""), (1002, " \n"), (1003, "entirely unfamiliar prose"), (1004, "brief"), (1005, "42 AND 17"), (None, None)]
+    labels = spark.createDataFrame([(k, int(k < good), 0) for k in range(400)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.kept for r in quality.query(spark.createDataFrame([*docs, *odd], "doc_id long, text string"), labels).collect()}
+    assert all(got[k] for k, _ in odd)
+    assert sum(got[k] for k in range(good)) >= 0.97 * good and not any(got[k] for k in range(good, 400))
+
+
+def test_quality_cut_on_ratings_apart(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    held = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(5)) == 0
+    rows = quality.judge(docs, labels.where(~held)).join(labels.where(held), "doc_id").withColumn("grade", quality.rating())
+    kept = {r.grade: r.kept for r in rows.groupBy("grade").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
+    assert kept[2] > 0.97 and kept[0] < 0.1 and kept[1] < 0.5

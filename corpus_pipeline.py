@@ -36,9 +36,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the boilerplate lines of each source."""
+    """Without the boilerplate lines of each source, copies of a whole text counted once: they go in the next stage but for one."""
     ship(spark)
-    return _counted(lines.drop_boilerplate(docs), docs)
+    return _counted(lines.drop_boilerplate(docs, copies=False), docs)
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

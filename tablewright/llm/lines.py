@@ -5,7 +5,8 @@ above ``ratio`` on at least ``min_pages`` pages are boilerplate and go from all
 
 Lines end at line feeds and are compared without the blanks around them; blank lines always stay. A line counts once
 per page. Pages without a host form one host of their own. Null texts stay null, empty ones empty. Repeated rows count
-as pages of their own. A host has fewer boilerplate lines than its mean number of lines per page divided by ``ratio``,
+as pages of their own, unless ``copies`` is false: then pages with the same whole text count once, in the lines and in the host, so
+that many copies of one page do not make boilerplate of its text. A host has fewer boilerplate lines than its mean number of lines per page divided by ``ratio``,
 so one array per host holds them. Only 128-bit digests of lines are shuffled; a hot host is folded before its shuffle.
 Extra columns pass through; the operator's own columns have names that begin with ``__``.
 """
@@ -30,12 +31,15 @@ def split_lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def boilerplate(df: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(df: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, copies: bool = True) -> DataFrame:
     """One row per host: ``__host``, ``__pages`` and ``__lines``, the digests of its boilerplate."""
-    pages = df.groupBy(F.col(host).alias("__host")).agg(F.count("*").alias("__pages"))
+    pages = df.select(F.col(host).alias("__host"), digest(F.col(text)).alias("__page"))
+    pages = (pages if copies else pages.distinct()).groupBy("__host").agg(F.count("*").alias("__pages"))
     own = F.array_distinct(F.transform(split_lines(F.col(text)), lambda x: F.trim(x)))
-    lines = df.select(F.col(host).alias("__host"), F.explode(F.filter(own, lambda x: x != "")).alias("__line"))
-    counts = lines.groupBy("__host", digest(F.col("__line")).alias("__key")).agg(F.count("*").alias("__n")).where(F.col("__n") >= min_pages)
+    page = [] if copies else [digest(F.col(text)).alias("__page")]
+    lines = df.select(F.col(host).alias("__host"), *page, F.explode(F.filter(own, lambda x: x != "")).alias("__line"))
+    lines = lines.select("__host", *["__page" for _ in page], digest(F.col("__line")).alias("__key"))
+    counts = (lines if copies else lines.distinct()).groupBy("__host", "__key").agg(F.count("*").alias("__n")).where(F.col("__n") >= min_pages)
     frequent = (
         counts.join(pages, counts["__host"].eqNullSafe(pages["__host"]))
         .where(F.col("__n") > F.lit(float(ratio)) * F.col("__pages"))
@@ -44,9 +48,9 @@ def boilerplate(df: DataFrame, host: str = "source", text: str = "text", ratio:
     return frequent.groupBy("__host").agg(F.first("__pages").alias("__pages"), F.sort_array(F.collect_list("__key")).alias("__lines"))
 
 
-def drop_boilerplate(df: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_boilerplate(df: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, copies: bool = True) -> DataFrame:
     """The rows with ``text`` without boilerplate, and ``__found`` and ``__dropped``, the numbers of lines."""
-    found = durable(boilerplate(df, host, text, ratio, min_pages).select("__host", "__lines"))
+    found = durable(boilerplate(df, host, text, ratio, min_pages, copies).select("__host", "__lines"))
     size = found.agg(F.count("*") + F.coalesce(F.sum(F.size("__lines")), F.lit(0))).first()[0]
     found = F.broadcast(found) if size <= BROADCAST_DIGESTS else found
     rows = df.join(found, df[host].eqNullSafe(found["__host"]), "left")

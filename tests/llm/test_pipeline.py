@@ -65,3 +65,11 @@ def test_run_equals_the_stages(spark):
         docs = stage(spark, docs, FOLDER)
     assert {r.doc_id: r.ids_sha256 for r in docs.collect()} == got
     assert all(len(x) == len(hashlib.sha256().hexdigest()) for x in got.values())
+
+
+def test_copies_of_a_clean_document_keep_their_lines(spark):
+    clean = "A first line.\nA second one.\nfooter"
+    rows = [(k, clean if k % 3 == 0 else f"page {k}\nown {k}\nfooter", "en", "s", 1) for k in range(30)] + [(30, None, "en", "s", None)]
+    docs = spark.createDataFrame(rows, cases.DOCS)
+    after = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, FOLDER).collect()}
+    assert after == {k: t and t.removesuffix("\nfooter") for k, t, *_ in rows}

@@ -1,7 +1,8 @@
 """Main text of web pages by consensus of their host on container paths.
 
 1. Every page's containers are scored: characters of text outside links against those inside, in paragraphs above all, less for
-   names that speak of furniture. The best container votes with its generalised path: tags and classes from the root, without
+   names that speak of furniture. Of a chain of containers the innermost counts that leaves out nothing but links, furniture and signs
+   without letters or digits; a title or lead beside an inner container belongs to the text. The best container votes with its generalised path: tags and classes from the root, without
    numbers and other parts that change from page to page.
 2. Votes are summed per host in Spark. The paths of a host are ranked by votes.
 3. Every page is extracted again by the best path of its host that it has; a page that has none, and pages without a host, use
@@ -51,12 +52,15 @@ FURNITURE_WORDS = frozenset(
 )
 #: Elements that may be the main container.
 CONTAINERS = frozenset("article main section div td body".split())
+#: Elements that hold text of the container that they are in.
+OWN_TEXT = frozenset("h1 h2 h3 h4 h5 h6 p pre blockquote".split())
 MAIN_WORDS = frozenset("article content main post entry story text body".split())
 
 MARK = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.DOTALL)
 NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 WORD = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
+SAYS = re.compile(r"[^\W_]")
 
 
 class Node:
@@ -159,6 +163,8 @@ def measure(root: Node) -> None:
                 stack.append((child, linked, paragraph, skipped))
             elif not skipped:
                 n = len(child.strip())
+                if n < 20 and not SAYS.search(html.unescape(child)):
+                    continue
                 if linked:
                     node.linked += n
                 else:
@@ -173,20 +179,29 @@ def measure(root: Node) -> None:
 
 def containers(root: Node) -> list[tuple[float, Node]]:
     """Score and node of all containers, best first; of a chain around the same text, the innermost."""
-    found, stack = [], [root]
+    order, stack = [], [root]
     while stack:
         node = stack.pop()
-        if node.furniture:
+        if not node.furniture:
+            order.append(node)
+            stack.extend(c for c in node.children if isinstance(c, Node))
+    found, factors = [], {}
+    for node in reversed(order):
+        if node.tag not in CONTAINERS or not node.plain:
             continue
-        children = [c for c in node.children if isinstance(c, Node)]
-        stack.extend(children)
-        if node.tag in CONTAINERS and node.plain:
-            words = set(WORD.findall(node.names))
-            score = node.plain + node.paragraphs - 2 * node.linked
-            inner = max((c.plain for c in children if c.tag in CONTAINERS and not c.furniture), default=0)
-            score *= {"article": 1.5, "main": 1.3, "body": 0.7}.get(node.tag, 1.0) * (1.2 if words & MAIN_WORDS else 1.0)
-            found.append((score * (0.8 if inner > 0.8 * node.plain else 1.0), node))
-    return sorted(found, key=lambda x: -x[0])
+        words = set(WORD.findall(node.names))
+        score = node.plain + node.paragraphs - 2 * node.linked
+        inner = max((c for c in node.children if isinstance(c, Node) and c.tag in CONTAINERS and not c.furniture), key=lambda c: c.plain, default=None)
+        factor = {"article": 1.5, "main": 1.3, "body": 0.7}.get(node.tag, 1.0) * (1.2 if words & MAIN_WORDS else 1.0)
+        if inner is not None and inner.plain > 0.8 * node.plain:
+            if inner.plain == node.plain:
+                score *= 0.8
+            elif inner.tag not in ("article", "main") and any(isinstance(c, Node) and c.tag in OWN_TEXT and c.plain and not c.furniture for c in node.children):
+                # its own title and paragraphs go on in the inner container, whatever that is called
+                factor = max(factor, factors[id(inner)])
+        factors[id(node)] = factor
+        found.append((score * factor, node))
+    return sorted(reversed(found), key=lambda x: -x[0])
 
 
 def text_of(node: Node) -> str:

@@ -240,3 +240,22 @@ def test_quality_cut_on_ratings_apart(spark):
     rows = quality.judge(docs, labels.where(~held)).join(labels.where(held), "doc_id").withColumn("grade", quality.rating())
     kept = {r.grade: r.kept for r in rows.groupBy("grade").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
     assert kept[2] > 0.97 and kept[0] < 0.1 and kept[1] < 0.5
+
+
+@pytest.mark.parametrize("outer", ["<div class=content>", "<div class=wrap>", "<section>", ""])
+def test_html_keeps_title_lead_and_close_outside_the_inner_container(spark, outer):
+    lead, close = "The lead says what it is about. ", "Written by the staff of the paper."
+    around = "<html><body><div class=page><nav><a href=/>Home</a></nav>{}<h1>A title</h1><p>{}</p><div class=body>{}</div><p>{}</p>{}<div class=footer>All rights</div></div></body></html>"
+    end = f"</{outer[1:].split()[0].strip('>')}>" if outer else ""
+    rows, expected = [], {}
+    for k in range(4):
+        body = f"Sentence {k} of the long inner part. " * 20
+        rows.append((k, f"http://h.example/{k}", around.format(outer, lead, f"<p>{body}</p>", close, end)))
+        expected[k] = " ".join(("A title " + lead + body + close).split())
+    got = html.query(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == expected
+
+
+def test_html_leaves_wrappers_of_links_for_the_inner_container():
+    page = "<body><div class=wrap><a href=/>Home</a> | <a href=/x>More</a> &raquo; <div class=text><p>" + "The story goes on. " * 20 + "</p></div></div></body>"
+    assert html.extract(page, None) == ("The story goes on. " * 20).strip()

@@ -64,14 +64,16 @@ def _lookup(key: Column, bounds: list[Column]) -> Column:
     return F.when(group < 0, 0).otherwise(group * step + at_or_below(inner))
 
 
-def chunked(df: DataFrame, order_by: Sequence[str], partition_by: Sequence[str] = (), rows: int | None = None) -> Chunks:
-    """Cut ``df`` into chunks of about ``CHUNK_ROWS`` consecutive rows (at most ``MAX_CHUNKS``) in (partition, order) order."""
+def chunked(
+    df: DataFrame, order_by: Sequence[str], partition_by: Sequence[str] = (), rows: int | None = None, chunk_rows: int | None = None
+) -> Chunks:
+    """Cut ``df`` into chunks of about ``chunk_rows`` (``CHUNK_ROWS``) consecutive rows, at most ``MAX_CHUNKS``, in (partition, order) order."""
     partition = [f"_p{i}" for i in range(len(partition_by))]
     order = [f"_o{i}" for i in range(len(order_by))]
     names = [*partition, *order]
     data = df.withColumns({n: _key(df, c) for n, c in zip(names, [*partition_by, *order_by])})
     total = df.count() if rows is None else rows
-    wanted = min(MAX_CHUNKS, math.ceil(total / CHUNK_ROWS))
+    wanted = min(MAX_CHUNKS, math.ceil(total / (chunk_rows or CHUNK_ROWS)))
     if wanted <= 1:
         return Chunks(data.withColumn("_chunk", F.lit(0)), partition, order, 1, None)
     # about wanted * _SAMPLE_PER_CHUNK rows whatever the size of the table, so the driver gets a bounded sample
@@ -177,12 +179,13 @@ def windowed(
     before: int = 0,
     after: int = 0,
     rows: int | None = None,
+    chunk_rows: int | None = None,
 ) -> DataFrame:
     """Add window columns that look at most ``before`` rows back and ``after`` rows ahead.
 
     ``columns(window)`` returns the columns by name; partitions of any size are spread over chunks.
     """
-    chunks = chunked(df, order_by, partition_by, rows)
+    chunks = chunked(df, order_by, partition_by, rows, chunk_rows)
     data = chunks.data.withColumn("_copy", F.lit(False))
     if chunks.count > 1:
         for reach, forward in ((before, True), (after, False)):

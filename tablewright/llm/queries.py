@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.llm import bpe, decontaminate, html, jaccard, lines, neighbours, quality, secrets, substring, suffix
+from tablewright.llm import align, bpe, decontaminate, html, jaccard, lines, neighbours, quality, secrets, substring, suffix, whiten, winnow
 from tablewright.plans.ship import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -16,6 +16,7 @@ ORACLES: dict[str, str] = {}
 
 #: Place of the vocabulary and its pattern.
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+JSON, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
 def query(name: str, *tables: str, sql: str | None = None):
@@ -82,3 +83,18 @@ def nn_descent(embeddings: DataFrame) -> DataFrame:
 @query("op5_host_paths", "pages")
 def host_paths(pages: DataFrame) -> DataFrame:
     return html.query(pages)
+
+
+@query("op11_whitening", "embeddings")
+def whitening(embeddings: DataFrame) -> DataFrame:
+    return whiten.query(embeddings)
+
+
+@query("op12_winnowing", "documents")
+def winnowing(documents: DataFrame) -> DataFrame:
+    return winnow.query(documents)
+
+
+@query("op13_token_alignment", "documents")
+def token_alignment(documents: DataFrame) -> DataFrame:
+    return align.query(documents, JSON, PIECES)

@@ -1,4 +1,4 @@
-"""Density clustering (DBSCAN) of low-dimensional points, exact, without comparing all pairs.
+"""Density clustering (DBSCAN), exact, without comparing all pairs; points of up to four dimensions use a grid.
 
 Equal points are folded into one with a weight.  Space is cut into cells whose diagonal is ``eps``, so the
 points of a cell are all neighbours: a cell that holds ``min_samples`` rows needs no comparison at all, however
@@ -14,7 +14,9 @@ from itertools import product
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tablewright.operators.metric import dbscan_any
 from tablewright.plans.durable import durable
+from tablewright.plans.graph import components
 from tablewright.plans.ordered import join_back, row_numbers
 
 PAIRS_AT_ONCE = 2500
@@ -120,36 +122,16 @@ def _edges(core: DataFrame, eps: float, side: float, d: int) -> DataFrame:
     return found
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node reachable over the undirected edges (a, b).
-
-    Every round takes the smallest root among the neighbours and then the root of that root, so long chains
-    shrink geometrically.  Degrees are bounded by the grid; the many nodes under one root are joined hot-key safe.
-    """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = durable(both)
-    state = durable(nodes.select("node", F.col("node").alias("root")))
-    while True:
-        offered = both.join(state.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("best"))
-        stepped = durable(
-            state.join(offered, "node", "left").select("node", "root", F.least("root", F.coalesce("best", "root")).alias("new"))
-        )
-        weights = stepped.groupBy(F.col("new")).agg(F.count("*").alias("n"))
-        roots = weights.join(stepped.select(F.col("node").alias("new"), F.col("new").alias("top")), "new")
-        jumped = durable(join_back(stepped, roots, ["new"], "n").select("node", F.col("top").alias("root"), (F.col("top") != F.col("root")).alias("moved")))
-        state = jumped.select("node", "root")
-        if jumped.where("moved").isEmpty():
-            return state
-
-
 def dbscan(df: DataFrame, eps: float, min_samples: int) -> DataFrame:
     """(id, cluster) of (id, point): clusters from 0 by their smallest core id, noise -1.
 
-    A border point between clusters joins the one with the smallest number.
+    A border point between clusters joins the one with the smallest number.  Beyond ``MAX_DIMENSIONS`` points meet around
+    pivots instead of in a grid.
     """
-    d = len(df.select("point").first()["point"])
-    if d > MAX_DIMENSIONS:
-        raise ValueError(f"density clustering works on at most {MAX_DIMENSIONS} dimensions, not {d}")
+    first = df.where(F.col("point").isNotNull()).select(F.size("point").alias("d")).first()
+    d = first["d"] if first else 0
+    if not 0 < d <= MAX_DIMENSIONS:
+        return dbscan_any(df, eps, min_samples)
     names = [f"x{i}" for i in range(d)]
     side = eps / math.sqrt(d) * (1 - 1e-9)
     rows = df.select("id", *[F.col("point")[i].cast("double").alias(n) for i, n in enumerate(names)])

@@ -139,14 +139,14 @@ def with_next(documents: DataFrame) -> DataFrame:
     rows = documents.select("doc_id").count()
     chunks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     previous = windowed(
-        docs, [], ["doc_id", "_hash"], lambda win: {"_next": F.lag(F.struct(F.col("text").alias("text"))).over(win)},
+        docs, [], ["doc_id", "_hash"], lambda win: {"_next": F.lag("text").over(win)},
         before=1, rows=rows, chunk_rows=max(1, -(-rows // chunks)),
     )
     largest = documents.agg(F.max("doc_id")).first()[0]
     top = docs.where(F.col("doc_id").eqNullSafe(F.lit(largest).cast(docs.schema["doc_id"].dataType)))
-    top = top.agg(F.max_by("text", "_hash").alias("_top")).withColumn("_open", F.lit(True))  # one row
-    joined = previous.withColumn("_open", F.col("_next").isNull()).join(F.broadcast(top), "_open", "left")
-    return joined.select("doc_id", "text", F.coalesce("_next.text", "_top").alias("next_text"))
+    # the text has no nulls, so the one row without a next text is that of the smallest id
+    top = top.agg(F.max_by("text", "_hash"))
+    return previous.select("doc_id", "text", F.coalesce("_next", top.scalar()).alias("next_text"))
 
 
 def query(documents: DataFrame) -> DataFrame:

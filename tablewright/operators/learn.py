@@ -25,9 +25,10 @@ from tablewright.operators.blocks import nearest
 from tablewright.operators.detection import require_valid_target, suggest_target, task_type
 from tablewright.operators.prep import (
     TEST_SHARE, Preparation, assign_folds, can_stratify, class_sizes, fit_preparation, hash_position, split_random,
-    split_stratified, test_sizes,
+    split_stratified, training_sizes,
 )
 from tablewright.plans import wide
+from tablewright.plans.grouped import group_sizes
 from tablewright.plans.ordered import row_numbers
 from tablewright.plans.selection import first_rows_bound
 from tablewright.plans.types import known, quoted
@@ -150,11 +151,11 @@ def prepare(
     require_valid_target(needed, target, task)
     rows = needed.where(known(needed, target).isNotNull())
     if task == "classification":
-        sizes = class_sizes(rows, target)
+        table = group_sizes(rows, target)
+        sizes = class_sizes(rows, target, table)
         classes, total = list(sizes), sum(sizes.values())
-        split = split_stratified(rows, keys, target, sizes=sizes)
-        left = {v: n - t for (v, n), t in zip(sizes.items(), test_sizes(sizes, TEST_SHARE).values())}
-        left = left if can_stratify(sizes, TEST_SHARE) else None
+        split = split_stratified(rows, keys, target, sizes=table)
+        left = training_sizes(table) if can_stratify(table, TEST_SHARE) else None
         dealt = assign_folds(split.where(~F.col("is_test")), keys, folds, target, SEED + 1, left)
     else:
         classes, total = [], rows.count()

@@ -15,13 +15,14 @@ from tablewright.operators.profile import column_kinds
 from tablewright.plans import wide
 from tablewright.plans.counts import modes_and_categories
 from tablewright.plans.durable import durable
+from tablewright.plans.grouped import entry, group_sizes, grouped_cuts, with_cuts
 from tablewright.plans.ordered import join_back
 from tablewright.plans.selection import first_rows_bound, order_statistics, quantiles
 from tablewright.plans.types import epoch_micros, is_date, is_numeric, known, quoted, text_columns
 
 SEED = 42
 TEST_SHARE = 0.2
-#: Classes that can be split or weighted one by one.
+#: Classes that a model can name; splits, folds and weights take any number.
 CLASS_LIMIT = 1000
 #: Categories of a feature whose list the driver holds.
 CATEGORY_LIMIT = 200_000
@@ -42,58 +43,45 @@ def split_random(df: DataFrame, keys: Sequence[str], share: float = TEST_SHARE,
     return df.withColumn("is_test", first_rows_bound(df, [place, *[quoted(c) for c in keys]], k, rows))
 
 
-def class_sizes(df: DataFrame, target: str) -> dict:
-    """Rows per known class, in class order; more than ``CLASS_LIMIT`` classes are an error."""
-    rows = df.where(known(df, target).isNotNull()).groupBy(quoted(target).alias("v")).agg(F.count("*").alias("n")).limit(CLASS_LIMIT + 1).collect()
+def class_sizes(df: DataFrame, target: str, sizes: DataFrame | None = None) -> dict:
+    """Rows per known class, in class order, for models that name their classes; more than ``CLASS_LIMIT`` are an error."""
+    rows = (group_sizes(df, target) if sizes is None else sizes).limit(CLASS_LIMIT + 1).collect()
     if len(rows) > CLASS_LIMIT:
         raise ValueError(f"target {target!r} has more than {CLASS_LIMIT} classes")
-    return {r["v"]: r["n"] for r in sorted(rows, key=lambda r: r["v"])}
+    return {r["_g"]: r["_size"] for r in sorted(rows, key=lambda r: r["_g"])}
 
 
-def _class_cuts(
-    df: DataFrame, target: str, place: Column, ranks: Mapping[object, Sequence[int]], sizes: Mapping[object, int]
-) -> dict:
-    """Hash values at the given ranks inside each class; all classes are searched in the same scans."""
-    labels = list(ranks)
-    wanted = {str(i): (F.when(quoted(target) == F.lit(v), place), ranks[v]) for i, v in enumerate(labels)}
-    got = order_statistics(df, wanted, {str(i): sizes[v] for i, v in enumerate(labels)})
-    return {v: got[str(i)] for i, v in enumerate(labels)}
+def _test_size(share: float) -> Column:
+    """Test rows of a class of ``_size`` rows: the rounded share, at least one and never all."""
+    n = F.col("_size")
+    return F.least(F.greatest(F.floor(F.lit(share) * n + 0.5), F.lit(1)), n - 1).cast("bigint")
 
 
-def test_sizes(sizes: Mapping[object, int], share: float) -> dict:
-    """Test rows of every class: the rounded share, at least one and never all."""
-    return {v: min(max(math.floor(share * n + 0.5), 1), n - 1) for v, n in sizes.items()}
+def can_stratify(sizes: DataFrame, share: float) -> bool:
+    """Whether every class of (_g, _size) can have rows on both sides."""
+    classes, least, total = sizes.agg(F.count("*"), F.min("_size"), F.sum("_size")).first()
+    return classes > 1 and least > 1 and total * (1 - share) >= classes
 
 
-def can_stratify(sizes: Mapping[object, int], share: float) -> bool:
-    return len(sizes) > 1 and min(sizes.values()) > 1 and sum(sizes.values()) * (1 - share) >= len(sizes)
+def training_sizes(sizes: DataFrame, share: float = TEST_SHARE) -> DataFrame:
+    """Sizes of the classes of (_g, _size) after a stratified split."""
+    return sizes.withColumn("_size", F.col("_size") - _test_size(share))
 
 
 def split_stratified(
-    df: DataFrame, keys: Sequence[str], target: str, share: float = TEST_SHARE, seed: int = SEED, sizes: Mapping[object, int] | None = None
+    df: DataFrame, keys: Sequence[str], target: str, share: float = TEST_SHARE, seed: int = SEED, sizes: DataFrame | None = None
 ) -> DataFrame:
     """Add ``is_test`` with the share kept inside every class (at least one row of a class on each side).
 
     Falls back to :func:`split_random` when a class has a single row or the training side could not hold all
-    classes.  Classes of any size are cut by hash value, not by a window over the class.
+    classes.  Classes of any size and number are cut by hash value, then key; ``sizes`` are known (_g, _size).
     """
-    sizes = class_sizes(df, target) if sizes is None else sizes
+    sizes = group_sizes(df, target) if sizes is None else sizes
     if not can_stratify(sizes, share):
         return split_random(df, keys, share, seed)
     place = hash_position(keys, seed)
-    take = test_sizes(sizes, share)
-    cuts = _class_cuts(df, target, place, {v: [k - 1] for v, k in take.items()}, sizes)
-    reached = wide.fetch(
-        df, {str(i): F.count_if((quoted(target) == F.lit(v)) & (place <= F.lit(cuts[v][0]))) for i, v in enumerate(take)}
-    )
-    is_test = F.lit(False)
-    for i, (v, k) in enumerate(take.items()):
-        mine = quoted(target) == F.lit(v)
-        inside = place <= F.lit(cuts[v][0])
-        if reached[str(i)] != k:  # equal hashes at the cut: decide by key
-            inside = first_rows_bound(df.where(mine), [place, *[quoted(c) for c in keys]], k)
-        is_test = is_test | (mine & inside)
-    return df.withColumn("is_test", F.coalesce(is_test, F.lit(False)))
+    cuts = grouped_cuts(df, target, place, keys, sizes.select("_g", (_test_size(share) - 1).alias("_rank"), "_size"))
+    return with_cuts(df, target, cuts, {"is_test": F.coalesce(entry(place, keys) <= F.col("_cuts")[0], F.lit(False))})
 
 
 def split_temporal(df: DataFrame, order_by: Sequence[str], share: float = TEST_SHARE) -> DataFrame:
@@ -103,36 +91,34 @@ def split_temporal(df: DataFrame, order_by: Sequence[str], share: float = TEST_S
     return df.withColumn("is_test", ~first_rows_bound(df, order, k))
 
 
-def safe_folds(sizes: Mapping[object, int], folds: int) -> int:
-    return max(2, min(folds, 10, min(sizes.values(), default=folds)))
+def safe_folds(smallest: int | None, folds: int) -> int:
+    return max(2, min(folds, 10, folds if smallest is None else smallest))
 
 
 def assign_folds(
-    df: DataFrame, keys: Sequence[str], folds: int = 5, target: str | None = None, seed: int = SEED, sizes: Mapping[object, int] | None = None
+    df: DataFrame, keys: Sequence[str], folds: int = 5, target: str | None = None, seed: int = SEED, sizes: DataFrame | None = None
 ) -> DataFrame:
     """Add ``fold`` (0..k-1), balanced over the table or, with a target, inside every class.
 
-    The number of folds is clamped to 2..10 and to the smallest class.
+    The number of folds is clamped to 2..10 and to the smallest class; ``sizes`` are known (_g, _size).
     """
     place = hash_position(keys, seed)
-
-    def cuts(n: int, k: int) -> list[int]:
-        return [i * (n // k) + min(i, n % k) for i in range(1, k)]
-
     if target is None:
         n = df.count()
-        k = safe_folds({}, min(folds, n))
-        at = order_statistics(df, {"x": (place, [c - 1 for c in cuts(n, k)])}, {"x": n})["x"]
+        k = safe_folds(None, min(folds, n))
+        cuts = [i * (n // k) + min(i, n % k) for i in range(1, k)]
+        at = order_statistics(df, {"x": (place, [c - 1 for c in cuts])}, {"x": n})["x"]
         fold = F.size(F.filter(F.array(*[F.lit(v) for v in at]), lambda t: t < place))
         return df.withColumn("fold", fold.cast("int"))
-    sizes = class_sizes(df, target) if sizes is None else sizes
-    k = safe_folds(sizes, folds)
-    at = _class_cuts(df, target, place, {v: [c - 1 for c in cuts(n, k)] for v, n in sizes.items()}, sizes)
-    fold = F.lit(None).cast("int")
-    for v, values in at.items():
-        inside = F.size(F.filter(F.array(*[F.lit(x) for x in values]), lambda t: t < place)).cast("int")
-        fold = F.when(quoted(target) == F.lit(v), inside).otherwise(fold)
-    return df.withColumn("fold", fold)
+    sizes = group_sizes(df, target) if sizes is None else sizes
+    k = safe_folds(sizes.agg(F.min("_size")).first()[0], folds)
+    n, i = F.col("_size"), F.col("_i")
+    rank = i * F.floor(n / k) + F.least(i, n % k) - 1
+    wanted = sizes.withColumn("_i", F.explode(F.array(*[F.lit(j).cast("bigint") for j in range(1, k)])))
+    cuts = grouped_cuts(df, target, place, keys, wanted.select("_g", rank.alias("_rank"), "_size"))
+    mine = entry(place, keys)
+    fold = F.when(F.col("_cuts").isNotNull(), F.size(F.filter("_cuts", lambda cut: cut < mine)).cast("int"))
+    return with_cuts(df, target, cuts, {"fold": fold})
 
 
 # --- fitted preparation -----------------------------------------------------------------------------
@@ -299,12 +285,11 @@ def reconcile_labels(df: DataFrame, column: str, mapping: DataFrame) -> DataFram
 
 def class_weights(df: DataFrame, target: str) -> DataFrame:
     """Add ``weight`` = rows / (classes * rows of the class)."""
-    sizes = class_sizes(df, target)
-    total = sum(sizes.values())
-    weight = F.lit(None).cast("double")
-    for v, n in sizes.items():
-        weight = F.when(quoted(target) == F.lit(v), total / (len(sizes) * n)).otherwise(weight)
-    return df.withColumn("weight", weight)
+    sizes = group_sizes(df, target)
+    classes, total = sizes.agg(F.count("*"), F.sum("_size")).first()
+    weights = sizes.withColumn("_weight", F.lit(float(total or 0)) / (F.lit(classes) * F.col("_size")))
+    joined = join_back(df.withColumn("_g", known(df, target)), weights, ["_g"], "_size", how="left", size=classes)
+    return joined.select(*[quoted(c) for c in df.columns], F.col("_weight").alias("weight"))
 
 
 def pca_share(df: DataFrame, features: Sequence[str], keep: Sequence[str] = (), share: float = 0.95) -> tuple[DataFrame, list[float]]:

@@ -63,6 +63,23 @@ def _(t):
     return p.assign_folds(t("orders"), ["o_orderkey"], 7).select("o_orderkey", "fold")
 
 
+_BY_USER = f"""SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id) AS n,
+    row_number() OVER (PARTITION BY user_id ORDER BY {place('event_id')}, event_id) AS rn FROM events"""
+
+
+@query("split_by_user", f"SELECT event_id, user_id, rn <= least(greatest(floor(0.2 * n + 0.5), 1), n - 1) AS is_test FROM ({_BY_USER})")
+def _(t):
+    return p.split_stratified(t("events").select("event_id", "user_id"), ["event_id"], "user_id")
+
+
+@query(
+    "fold_by_user",
+    f"WITH n AS ({_BY_USER}), f AS (SELECT greatest(2, least(5, min(n))) AS k FROM n) SELECT event_id, user_id, {_fold('rn', 'n', 'k')} AS fold FROM n, f",
+)
+def _(t):
+    return p.assign_folds(t("events").select("event_id", "user_id"), ["event_id"], 5, "user_id")
+
+
 TRAINING = """SELECT event_id, CASE WHEN value < 150 THEN value END AS amount, NULLIF(event_type, 'error') AS kind,
     CAST(regexp_extract(props, '[0-9]+', 0) AS DOUBLE) AS k, user_id > 75 AS late, ts FROM events"""
 _KINDS = ["click", "purchase", "signup", "view"]

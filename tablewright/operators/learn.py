@@ -468,7 +468,7 @@ def oversample(df: DataFrame, target: str, key: str, features: Sequence[str], k:
 
 
 def save(path: str, model: Transformer, data: TrainingData, extra: Mapping[str, object] | None = None) -> None:
-    """The fitted model and a one-row table of what is needed to use it."""
+    """The fitted model, a one-row table of what is needed to use it, and the dictionary of columns with many categories."""
     model.write().save(f"{path}/model")
     p = data.preparation
     meta = {
@@ -480,8 +480,11 @@ def save(path: str, model: Transformer, data: TrainingData, extra: Mapping[str,
         "categorical": {c: [f, v] for c, (f, v) in p.categorical.items()},
         "dates": sorted(p.dates),
         "encoding": p.encoding,
+        "sizes": p.sizes,
         **(extra or {}),
     }
+    if p.dictionary is not None:
+        p.dictionary.write.parquet(f"{path}/dictionary")
     frame = data.train.sparkSession.createDataFrame([(json.dumps(meta, default=str),)], "metadata string")
     frame.coalesce(1).write.json(f"{path}/metadata")
 
@@ -499,6 +502,8 @@ def load(spark, path: str) -> tuple[Transformer, Preparation, dict]:
         {c: (f, v) for c, (f, v) in meta["categorical"].items()},
         set(meta["dates"]),
         meta["encoding"],
+        meta["sizes"],
+        spark.read.parquet(f"{path}/dictionary") if meta["sizes"] else None,
     )
     return model, prep, meta
 

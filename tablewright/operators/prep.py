@@ -6,17 +6,18 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml.feature import PCA, OneHotEncoder, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tablewright.operators.clean import clip, drop_constants, drop_high_cardinality, drop_ids, fences, label_codes
 from tablewright.operators.profile import column_kinds
-from tablewright.plans import wide
-from tablewright.plans.counts import modes_and_categories
+from tablewright.plans import ordered, wide
+from tablewright.plans.counts import value_counts
 from tablewright.plans.durable import durable
 from tablewright.plans.grouped import entry, group_sizes, grouped_cuts, with_cuts
-from tablewright.plans.ordered import join_back
+from tablewright.plans.ordered import join_back, row_numbers
 from tablewright.plans.selection import first_rows_bound, order_statistics, quantiles
 from tablewright.plans.types import epoch_micros, is_date, is_numeric, known, quoted, text_columns
 
@@ -24,9 +25,9 @@ SEED = 42
 TEST_SHARE = 0.2
 #: Classes that a model can name; splits, folds and weights take any number.
 CLASS_LIMIT = 1000
-#: Categories of a feature whose list the driver holds.
-CATEGORY_LIMIT = 200_000
-#: Categories beyond which a feature becomes one sparse vector instead of a column each.
+#: Categories of a feature that are listed one by one; beyond, they live in a table only.
+LISTED = 1000
+#: Categories beyond which a feature takes its places in the feature vector from that table.
 SPARSE_FROM = 50
 
 
@@ -126,61 +127,127 @@ def assign_folds(
 
 @dataclass
 class Preparation:
-    """What was learnt from the training rows: fill values, centres, spreads and categories."""
+    """What was learnt from the training rows: fill values, centres, spreads and categories.
+
+    ``dictionary`` has (column_name, value, position from 0, cnt) of the text columns with more than ``SPARSE_FROM``
+    categories; those with more than ``LISTED`` are in it alone.
+    """
 
     numeric: dict[str, tuple[float, float, float]]  # column -> fill, centre, spread
-    categorical: dict[str, tuple[object, list]]  # column -> fill, categories
+    categorical: dict[str, tuple[object, list | None]]  # column -> fill, categories if they are listed
     dates: set[str] = field(default_factory=set)
     encoding: str = "one_hot"
+    sizes: dict[str, int] = field(default_factory=dict)  # categories of the columns in the dictionary
+    dictionary: DataFrame | None = None
+
+    def size(self, column: str) -> int:
+        values = self.categorical[column][1]
+        return self.sizes[column] if values is None else len(values)
+
+    @property
+    def unlisted(self) -> list[str]:
+        return [c for c, (_, values) in self.categorical.items() if values is None]
 
     @property
     def feature_names(self) -> list[str]:
+        """Names of all places of the vector; categories that are not listed are named by their position."""
         names = list(self.numeric)
         for c, (_, values) in self.categorical.items():
-            names += [f"{c}_{v}" for v in values] if self.encoding == "one_hot" else [c]
+            names += [f"{c}_{v}" for v in (range(self.sizes[c]) if values is None else values)] if self.encoding == "one_hot" else [c]
         return names
 
-    def feature_columns(self, df: DataFrame) -> list[Column]:
-        out = []
+    def _filled(self, c: str) -> Column:
+        return F.coalesce(quoted(c).cast("string"), F.lit(self.categorical[c][0]))
+
+    def _numbers(self, df: DataFrame) -> dict[str, Column]:
+        out = {}
         for c, (fill, centre, spread) in self.numeric.items():
             value = F.coalesce(_numeric_value(df, c, c in self.dates), F.lit(fill))
-            out.append(((value - F.lit(centre)) / F.lit(spread)).alias(c))
-        for c, (fill, values) in self.categorical.items():
-            value = F.coalesce(quoted(c).cast("string"), F.lit(fill))
-            if self.encoding == "one_hot":
-                out += [F.when(value == F.lit(v), 1.0).otherwise(0.0).alias(f"{c}_{v}") for v in values]
+            out[c] = (value - F.lit(centre)) / F.lit(spread)
+        return out
+
+    def _place(self, c: str) -> Column:
+        """Position of the row's category from 0, null if it is unknown; from the list, or from the joined dictionary."""
+        values = self.categorical[c][1]
+        if values is None:
+            return F.col(f"_p_{c}")
+        place = F.array_position(F.array(*[F.lit(v) for v in values]), self._filled(c))
+        return F.when(place > 0, place - 1)
+
+    def feature_columns(self, df: DataFrame) -> list[Column]:
+        out = [value.alias(c) for c, value in self._numbers(df).items()]
+        for c, (_, values) in self.categorical.items():
+            if self.encoding != "one_hot":
+                out.append(F.coalesce(self._place(c), F.lit(-1)).cast("double").alias(c))  # unseen: -1
+            elif values is None:
+                out.append(sparse_vector([(self._place(c), F.lit(1.0))], self.sizes[c]).alias(c))
             else:
-                place = F.array_position(F.array(*[F.lit(v) for v in values]), value)
-                out.append((place - 1).cast("double").alias(c))  # unseen: -1
+                out += [F.when(self._filled(c) == F.lit(v), 1.0).otherwise(0.0).alias(f"{c}_{v}") for v in values]
         return out
 
+    def with_places(self, df: DataFrame, columns: Sequence[str]) -> DataFrame:
+        """Add ``_p_<column>``, the position of the row's category in the dictionary (null if unknown).
+
+        A dictionary within the limits of a broadcast is looked up column by column.  Otherwise rows are numbered, one
+        join takes all columns of a row to their positions, and these are folded back to the row.
+        """
+        if not columns:
+            return df
+        words = self.dictionary.where(F.col("column_name").isin(*columns))
+        texts = {f"_t{i}": self._filled(c) for i, c in enumerate(columns)}
+        rows = df.withColumns(texts)
+        if sum(self.sizes[c] for c in columns) <= ordered.BROADCAST_ROWS:
+            for i, c in enumerate(columns):
+                mine = words.where(F.col("column_name") == c).select(F.col("value").alias(f"_t{i}"), F.col("position").alias(f"_p_{c}"), "cnt")
+                rows = join_back(rows, mine, [f"_t{i}"], "cnt", how="left", size=self.sizes[c])
+            return rows.drop(*texts)
+        rows = durable(rows.withColumn("_row", F.monotonically_increasing_id()))
+        pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(t).alias("value")) for c, t in zip(columns, texts)])
+        met = join_back(rows.select("_row", F.inline(pairs)), words.select("column_name", "value", "position", "cnt"), ["column_name", "value"], "cnt")
+        folded = met.groupBy("_row").agg(*[F.max(F.when(F.col("column_name") == c, F.col("position"))).alias(f"_p_{c}") for c in columns])
+        return rows.join(folded, "_row", "left").drop("_row", *texts)
+
     def transform(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-        """The kept columns followed by one double column per feature."""
-        return df.select(*[quoted(c) for c in keep], *self.feature_columns(df))
+        """The kept columns followed by one double column per feature; categories that are not listed share a sparse vector."""
+        return self.with_places(df, self.unlisted).select(*[quoted(c) for c in keep], *self.feature_columns(df))
 
     def vectors(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-        """The kept columns followed by one ``features`` vector."""
-        many = {c for c, (_, values) in self.categorical.items() if self.encoding == "one_hot" and len(values) > SPARSE_FROM}
-        few = Preparation(self.numeric, {c: v for c, v in self.categorical.items() if c not in many}, self.dates, self.encoding)
-        plain = iter([c.alias(f"_f{i}") for i, c in enumerate(few.feature_columns(df))])
-        named, inputs = [], []
-        for c in [*self.numeric, *self.categorical]:
-            if c in many:
-                named.append(F.coalesce(quoted(c).cast("string"), F.lit(self.categorical[c][0])).alias(f"_t{len(inputs)}"))
-                inputs.append((c, f"_t{len(inputs)}"))
-                continue
-            values = self.categorical[c][1] if c in self.categorical and self.encoding == "one_hot" else [c]
-            for column in (next(plain) for _ in values):
-                named.append(column.alias(f"_v{len(inputs)}"))
-                inputs.append((c, f"_v{len(inputs)}"))
-        out = df.select(*[quoted(c) for c in keep], *named)
-        for i, (c, name) in enumerate(inputs):
-            if name.startswith("_t"):  # the index past the last category, of unseen values, is the vector of zeros
-                index = StringIndexerModel.from_labels([str(v) for v in self.categorical[c][1]], name, f"_i{i}", handleInvalid="keep")
-                out = index.transform(out)
-                out = OneHotEncoder(inputCol=f"_i{i}", outputCol=f"_v{i}", dropLast=True).fit(out).transform(out).drop(name, f"_i{i}")
-        names = [f"_v{i}" for i in range(len(inputs))]
-        return VectorAssembler(inputCols=names, outputCol="features").transform(out).drop(*names)
+        """The kept columns followed by one ``features`` vector.
+
+        With a dictionary the vector is sparse and gets one entry per column, whatever the number of categories.
+        """
+        many = [c for c in self.categorical if self.size(c) > SPARSE_FROM] if self.encoding == "one_hot" else []
+        if not many and not self.unlisted:
+            named = [c.alias(f"_v{i}") for i, c in enumerate(self.feature_columns(df))]
+            names = [f"_v{i}" for i in range(len(named))]
+            return VectorAssembler(inputCols=names, outputCol="features").transform(df.select(*[quoted(c) for c in keep], *named)).drop(*names)
+        joined = many if self.encoding == "one_hot" else self.unlisted
+        entries, offset = [], 0
+        for value in self._numbers(df).values():
+            entries.append((F.lit(offset), value))
+            offset += 1
+        for c in self.categorical:
+            place = F.col(f"_p_{c}") if c in joined else self._place(c)
+            if self.encoding == "one_hot":
+                entries.append((place + offset, F.lit(1.0)))
+                offset += self.size(c)
+            else:
+                entries.append((F.lit(offset), F.coalesce(place, F.lit(-1)).cast("double")))
+                offset += 1
+        return self.with_places(df, joined).select(*[quoted(c) for c in keep], sparse_vector(entries, offset).alias("features"))
+
+
+def sparse_vector(entries: Sequence[tuple[Column, Column]], size: int) -> Column:
+    """A sparse vector of (index, value) entries in ascending order; null indices and zeros are left out.
+
+    It is parsed from its fields: that needs no name for each place, which assembling would give it.
+    """
+    all_ = F.array(*[F.struct(i.cast("int").alias("i"), v.cast("double").alias("v")) for i, v in entries])
+    held = F.filter(all_, lambda e: e["i"].isNotNull() & (e["v"] != 0))
+    fields = F.struct(
+        F.lit(0).alias("type"), F.lit(size).alias("size"), F.transform(held, lambda e: e["i"]).alias("indices"), F.transform(held, lambda e: e["v"]).alias("values")
+    )
+    return F.from_json(F.to_json(F.struct(fields.alias("vector"))), T.StructType([T.StructField("vector", VectorUDT())]))["vector"]
 
 
 def _numeric_value(df: DataFrame, c: str, date: bool) -> Column:
@@ -224,9 +291,28 @@ def fit_preparation(
         numeric = {c: (fills[c], got[f"m|{c}"], got[f"s|{c}"] or 1.0) for c in numbers}
     elif numbers:
         numeric = {c: (fills[c], 0.0, 1.0) for c in numbers}
-    found = modes_and_categories(chosen, texts, CATEGORY_LIMIT)
-    categorical = {c: ("unknown" if mode is None else mode, values) for c, (mode, values) in found.items()}
-    return Preparation(numeric, categorical, dates, encoding)
+    categorical, sizes, dictionary = _fit_categories(chosen, texts)
+    return Preparation(numeric, categorical, dates, encoding, sizes, dictionary)
+
+
+def _fit_categories(df: DataFrame, texts: Sequence[str]) -> tuple[dict, dict[str, int], DataFrame | None]:
+    """Fill values and listed categories per column, sizes and dictionary of the columns with many."""
+    if not texts:
+        return {}, {}, None
+    counts = durable(value_counts(df, texts))
+    best = F.min(F.struct((-F.col("cnt")).alias("n"), F.col("value"))).alias("best")
+    found = {r["column_name"]: r for r in counts.groupBy("column_name").agg(F.count("*").alias("n"), best).collect()}
+    sizes = {c: found[c]["n"] for c in texts if c in found and found[c]["n"] > SPARSE_FROM}
+    few = [c for c in texts if c in found and found[c]["n"] <= LISTED]
+    listed: dict[str, list] = {c: [] for c in texts if c not in sizes or c in few}
+    for r in counts.where(F.col("column_name").isin(*few)).collect() if few else []:  # at most LISTED values a column
+        listed[r["column_name"]].append(r["value"])
+    fills = {c: found[c]["best"]["value"] if c in found else "unknown" for c in texts}
+    categorical = {c: (fills[c], sorted(listed[c]) if c in listed else None) for c in texts}
+    if not sizes:
+        return categorical, {}, None
+    placed = row_numbers(counts.where(F.col("column_name").isin(*sizes)), ["value"], "position", partition_by=["column_name"], rows=sum(sizes.values()))
+    return categorical, sizes, durable(placed.withColumn("position", F.col("position") - 1))
 
 
 def engine_clean(

@@ -64,12 +64,6 @@ def counted_categories(df: DataFrame, columns: Sequence[str], limit: int) -> dic
     return {c: dict(sorted(v.items())) for c, v in found.items()}
 
 
-def modes_and_categories(df: DataFrame, columns: Sequence[str], limit: int) -> dict[str, tuple[object, list]]:
-    """Mode and sorted distinct values of each column."""
-    found = counted_categories(df, columns, limit)
-    return {c: (min(n, key=lambda v: (-n[v], v)) if n else None, list(n)) for c, n in found.items()}
-
-
 def categories(df: DataFrame, column: str, limit: int) -> list:
     """Distinct non-null values in order; raises when there are more than ``limit`` of them."""
     return list(counted_categories(df, [column], limit)[column])

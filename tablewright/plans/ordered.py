@@ -16,7 +16,7 @@ import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tablewright.plans.durable import durable
 from tablewright.plans.types import epoch_micros, is_date, quoted
@@ -26,6 +26,8 @@ MAX_CHUNKS = 4096  # beyond it chunks grow instead: every border is a literal in
 _SAMPLE_PER_CHUNK = 20
 _FLAT_LOOKUP = 64
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
+_FEW_ROWS = 64
 HOT_ROWS = 1_000_000
 
 
@@ -222,15 +224,38 @@ def fill(
     return out.select(*[F.coalesce(quoted(c), before[c]).alias(c) if c in before else quoted(c) for c in df.columns])
 
 
+def _width(lookup: DataFrame) -> Column | None:
+    """Bytes of a row of text and lists, as far as they vary; None where all columns are plain."""
+    parts = []
+    for f in lookup.schema:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            parts.append(F.octet_length(quoted(f.name)))
+        elif isinstance(f.dataType, T.ArrayType) and not isinstance(f.dataType.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType)):
+            parts.append(F.size(quoted(f.name)) * 8 * len(getattr(f.dataType.elementType, "fields", [0])))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            parts.append(F.octet_length(F.to_json(F.struct(quoted(f.name)))))
+    return sum((F.coalesce(p, F.lit(0)) for p in parts), F.lit(0)).cast("bigint") if parts else None
+
+
+def _broadcastable(lookup: DataFrame, size: int | None) -> bool:
+    """Whether rows and bytes of the lookup are within the limits of a broadcast."""
+    width, plain = _width(lookup), 16 * len(lookup.columns)
+    if size is None or (width is not None and _FEW_ROWS < size <= BROADCAST_ROWS):
+        size, bytes_ = lookup.agg(F.count("*"), F.sum(F.lit(0) if width is None else width)).first()
+    else:
+        bytes_ = 0
+    return size <= BROADCAST_ROWS and size * plain + (bytes_ or 0) <= BROADCAST_BYTES
+
+
 def join_back(
     df: DataFrame, lookup: DataFrame, keys: Sequence[str], weight: str, how: str = "inner", size: int | None = None
 ) -> DataFrame:
     """Join ``df`` (inner or left) with one row per key, safe against hot keys.
 
-    ``weight`` is the number of rows of ``df`` behind each key, ``size`` the rows of the lookup if known.  A small lookup is broadcast after its size
-    is checked.  Otherwise the few keys heavier than ``HOT_ROWS`` are broadcast and the rest is shuffled.
+    ``weight`` is the number of rows of ``df`` behind each key, ``size`` the rows of the lookup if known.  A small lookup is broadcast after its rows
+    and bytes are checked.  Otherwise the few keys heavier than ``HOT_ROWS`` are broadcast and the rest is shuffled.
     """
-    size = lookup.count() if size is None else size
+    small = _broadcastable(lookup, size)
     match = {k: f"_k{i}" for i, k in enumerate(keys)}
     lookup = lookup.withColumnsRenamed(match)
     same = F.lit(True)
@@ -240,7 +265,7 @@ def join_back(
     def joined(left: DataFrame, right: DataFrame, kind: str) -> DataFrame:
         return left.join(right, same, kind).drop(*match.values())
 
-    if size <= BROADCAST_ROWS:
+    if small:
         return joined(df, F.broadcast(lookup.drop(weight)), how)
     hot = lookup.where(F.col(weight) > HOT_ROWS)
     cold = lookup.where(F.col(weight) <= HOT_ROWS)

@@ -3,7 +3,7 @@
 The merges come from a rank file (base64 token, rank). The library works on characters that stand for bytes, so a
 byte-to-character table links both sides; decoding reverses it. Text is cut before every space that follows a
 character other than white space: no match of the pattern spans that place. Each piece is encoded by the library
-once per task and looked up afterwards; texts with white space before a space go through the library whole.
+once and looked up afterwards, the common ones by later tasks too; texts with white space before a space go through the library whole.
 
 Null texts count as empty: no ids, decoded to zero bytes. Empty tables give empty results. Rows are independent: ties,
 repeated rows and extra columns pass through; a column called like a result column is replaced by it.
@@ -28,6 +28,10 @@ from tablewright.llm.arrow import columns_of, lists, shares, with_fields
 KEPT_PIECES = 150_000
 #: Ids of pieces that a task remembers; beyond, it starts anew.
 KEPT_IDS = 1 << 21
+#: Pieces that stay for the next task of the same process.
+KEPT_AFTER = 50_000
+#: The pattern that the library has built in.
+USUAL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def byte_characters() -> dict[int, str]:
@@ -74,7 +78,7 @@ class Codec:
         spell = {token: "".join(shown[b] for b in token) for token in ranks}
         model = models.BPE(vocab={spell[t]: r for t, r in ranks.items()}, merges=[(spell[a], spell[b]) for a, b in merge_list(ranks)])
         self.library = Tokenizer(model)
-        if pattern is None:
+        if pattern in (None, USUAL):
             self.library.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
         else:
             steps = [pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
@@ -96,7 +100,8 @@ class Codec:
         joined = [x for x, p in zip(pieces, plain) if p]
         for low in range(0, len(joined), 4096):
             some = joined[low : low + 4096]
-            ids = np.array(self.library.encode("".join(some), add_special_tokens=False).ids, dtype=np.int32)
+            (joined_up,) = self.library.encode_batch_fast(["".join(some)], add_special_tokens=False)
+            ids = np.array(joined_up.ids, dtype=np.int32)
             ends = np.cumsum(self.sizes[ids])
             borders = np.searchsorted(ends, np.cumsum([len(x.encode()) for x in some])) + 1
             self._keep(some, ids, np.diff(borders, prepend=0))
@@ -120,9 +125,8 @@ class Codec:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and how many each text has."""
-        if len(self.known) > KEPT_PIECES:  # the first that came are the common ones
-            self.known = dict(islice(self.known.items(), KEPT_PIECES))
-            self.used = int(self.at[:, KEPT_PIECES - 1].sum())
+        if len(self.known) > KEPT_PIECES:
+            self._shorten(KEPT_PIECES)
         pieces, counts = [], []
         for text in texts:
             if not text:
@@ -147,10 +151,18 @@ class Codec:
             self.known, self.used = {}, 0
         return ids, np.diff(before[of_text])
 
+    def _shorten(self, most: int) -> None:
+        """Keep the first pieces that came: they are the common ones."""
+        self.known = dict(islice(self.known.items(), most))
+        self.used = int(self.at[:, most - 1].sum())
+
     def forget(self) -> None:
-        """Drop the pieces, whose memory the next work of the same process may need."""
-        self.known, self.used = {}, 0
-        self.flat, self.at = np.zeros(1 << 16, dtype=np.int32), np.zeros((2, 1 << 12), dtype=np.int64)
+        """Drop all but the common pieces, whose memory the next work of the same process may need."""
+        if len(self.known) > KEPT_AFTER:
+            self._shorten(KEPT_AFTER)
+        n = len(self.known)
+        self.flat = np.concatenate([self.flat[: self.used], np.zeros(1 << 16, dtype=np.int32)])
+        self.at = np.concatenate([self.at[:, :n], np.zeros((2, 1 << 12), dtype=np.int64)], axis=1)
         pa.default_memory_pool().release_unused()
 
     def decode(self, ids: np.ndarray) -> np.ndarray:

@@ -8,11 +8,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
+from tablewright.plans.durable import durable
+
 BLOCK_ROWS = 4000
 MAX_PIVOTS = 2048
 
@@ -74,6 +77,95 @@ def _reachable(k: int, point: str, pivots: np.ndarray, radius: np.ndarray, size:
     return run
 
 
+@dataclass
+class Index:
+    """Rows (id, point, label) grouped around pivots: the fitted state of every search for neighbours.
+
+    ``rows`` has the cell of each row; radius and size are known per cell.
+    """
+
+    rows: DataFrame
+    pivots: np.ndarray
+    radius: np.ndarray
+    size: np.ndarray
+
+    @staticmethod
+    def build(train: DataFrame, keep: bool = False) -> Index:
+        """Group the rows of ``train``; with ``keep`` the grouped rows are written, for many searches."""
+        pivots = _pivots(train, "point", train.count())
+        placed = _with_cell(train.select("id", "point", "label"), "point", pivots)
+        placed = durable(placed) if keep else placed
+        size, radius = np.zeros(len(pivots), dtype="int64"), np.zeros(len(pivots))
+        for c in placed.groupBy("_cell").agg(F.count("*").alias("n"), F.max("_gap").alias("r")).collect():
+            size[c["_cell"]], radius[c["_cell"]] = c["n"], c["r"]
+        return Index(placed, pivots, radius, size)
+
+    def save(self, path: str) -> None:
+        """The rows, cell by cell, and what is known of the cells."""
+        self.rows.repartition("_cell").sortWithinPartitions("_cell").write.parquet(f"{path}/rows")
+        cells = [(i, [float(v) for v in p], float(r), int(n)) for i, (p, r, n) in enumerate(zip(self.pivots, self.radius, self.size))]
+        self.rows.sparkSession.createDataFrame(cells, "cell int, pivot array<double>, radius double, size bigint").coalesce(1).write.parquet(f"{path}/cells")
+
+    @staticmethod
+    def load(spark, path: str) -> Index:
+        cells = sorted(spark.read.parquet(f"{path}/cells").collect())
+        return Index(
+            spark.read.parquet(f"{path}/rows"), np.array([c["pivot"] for c in cells]),
+            np.array([c["radius"] for c in cells]), np.array([c["size"] for c in cells], dtype="int64"),
+        )
+
+    def nearest(self, test: DataFrame, k: int, same: bool = False) -> DataFrame:
+        """The exact ``k`` nearest rows of every row (id, point) of ``test``, as :func:`nearest` gives them."""
+        pivots, size = self.pivots, self.size
+        blocks = [max(1, math.ceil(n / BLOCK_ROWS)) for n in size.tolist()]
+        per_cell = F.element_at(F.array(*[F.lit(b) for b in blocks]), F.col("_cell") + 1)
+        right = self.rows.select("_cell", F.pmod(F.xxhash64("id"), per_cell).cast("int").alias("_block"), "id", "point", "label")
+        reach = _reachable(k, "point", pivots, self.radius, size, 1 if same else 0)
+        probe_schema = T.StructType([*test.select("id", "point").schema.fields, T.StructField("_cells", T.ArrayType(T.IntegerType()))])
+        probes = test.select("id", "point").mapInPandas(reach, probe_schema)
+        probes = durable(probes).withColumn("_cell", F.explode("_cells")).drop("_cells")  # placed once
+        slices = [1] * len(pivots)
+        for c in probes.groupBy("_cell").agg(F.count("*").alias("n")).collect():
+            slices[c["_cell"]] = max(1, math.ceil(c["n"] / BLOCK_ROWS))
+        per_slice = F.element_at(F.array(*[F.lit(s) for s in slices]), F.col("_cell") + 1)
+        right = right.withColumn("_slice", F.explode(F.sequence(F.lit(0), per_slice - 1)))
+        left = probes.withColumn("_slice", F.pmod(F.xxhash64("id"), per_slice).cast("int"))
+        left = left.withColumn("_block", F.explode(F.sequence(F.lit(0), per_cell - 1)))
+        schema = T.StructType(
+            [
+                T.StructField("test_id", test.schema["id"].dataType),
+                T.StructField("train_id", self.rows.schema["id"].dataType),
+                T.StructField("distance", T.DoubleType()),
+                T.StructField("label", self.rows.schema["label"].dataType),
+            ]
+        )
+
+        def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            if not len(a) or not len(b):
+                return pd.DataFrame(columns=["test_id", "train_id", "distance", "label"])
+            b = b.sort_values("id", kind="stable")
+            d = distances(_matrix(a["point"]), _matrix(b["point"]))
+            if same:
+                d[a["id"].to_numpy()[:, None] == b["id"].to_numpy()[None, :]] = np.inf
+            order = d.argsort(axis=1, kind="stable")[:, :k]
+            gaps = np.take_along_axis(d, order, 1)
+            out = pd.DataFrame(
+                {
+                    "test_id": np.repeat(a["id"].to_numpy(), order.shape[1]),
+                    "train_id": b["id"].to_numpy()[order.ravel()],
+                    "distance": gaps.ravel(),
+                    "label": b["label"].to_numpy()[order.ravel()],
+                }
+            )
+            return out[np.isfinite(out["distance"])]
+
+        keys = ["_cell", "_block", "_slice"]
+        found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, schema)
+        # a test row has at most k candidates per block it met
+        order = Window.partitionBy("test_id").orderBy("distance", "train_id")
+        return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+
+
 def nearest(train: DataFrame, test: DataFrame, k: int, same: bool = False) -> DataFrame:
     """The exact ``k`` nearest train rows of every test row: (test_id, train_id, distance, label, place).
 
@@ -83,63 +175,7 @@ def nearest(train: DataFrame, test: DataFrame, k: int, same: bool = False) -> Da
     into blocks by a hash of the id and the test rows that meet a block are cut likewise, so that no task holds
     more than a block of either side.
     """
-    count = train.count()
-    pivots = _pivots(train, "point", count)
-    placed = _with_cell(train.select("id", "point", "label"), "point", pivots)
-    cells = placed.groupBy("_cell").agg(F.count("*").alias("n"), F.max("_gap").alias("r")).collect()
-    size, radius = np.zeros(len(pivots), dtype="int64"), np.zeros(len(pivots))
-    for c in cells:
-        size[c["_cell"]], radius[c["_cell"]] = c["n"], c["r"]
-    blocks = [max(1, math.ceil(n / BLOCK_ROWS)) for n in size.tolist()]
-    per_cell = F.element_at(F.array(*[F.lit(b) for b in blocks]), F.col("_cell") + 1)
-    right = placed.select(
-        "_cell", F.pmod(F.xxhash64("id"), per_cell).cast("int").alias("_block"), "id", "point", "label"
-    )
-    reach = _reachable(k, "point", pivots, radius, size, 1 if same else 0)
-    probe_schema = T.StructType([*test.select("id", "point").schema.fields, T.StructField("_cells", T.ArrayType(T.IntegerType()))])
-    probes = test.select("id", "point").mapInPandas(reach, probe_schema).withColumn("_cell", F.explode("_cells")).drop("_cells")
-    met = probes.groupBy("_cell").agg(F.count("*").alias("n")).collect()
-    slices = [1] * len(pivots)
-    for c in met:
-        slices[c["_cell"]] = max(1, math.ceil(c["n"] / BLOCK_ROWS))
-    per_slice = F.element_at(F.array(*[F.lit(s) for s in slices]), F.col("_cell") + 1)
-    right = right.withColumn("_slice", F.explode(F.sequence(F.lit(0), per_slice - 1)))
-    left = probes.withColumn("_slice", F.pmod(F.xxhash64("id"), per_slice).cast("int"))
-    left = left.withColumn("_block", F.explode(F.sequence(F.lit(0), per_cell - 1)))
-    id_type, label_type = train.schema["id"].dataType, train.schema["label"].dataType
-    schema = T.StructType(
-        [
-            T.StructField("test_id", test.schema["id"].dataType),
-            T.StructField("train_id", id_type),
-            T.StructField("distance", T.DoubleType()),
-            T.StructField("label", label_type),
-        ]
-    )
-
-    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame(columns=["test_id", "train_id", "distance", "label"])
-        b = b.sort_values("id", kind="stable")
-        d = distances(_matrix(a["point"]), _matrix(b["point"]))
-        if same:
-            d[a["id"].to_numpy()[:, None] == b["id"].to_numpy()[None, :]] = np.inf
-        order = d.argsort(axis=1, kind="stable")[:, :k]
-        gaps = np.take_along_axis(d, order, 1)
-        out = pd.DataFrame(
-            {
-                "test_id": np.repeat(a["id"].to_numpy(), order.shape[1]),
-                "train_id": b["id"].to_numpy()[order.ravel()],
-                "distance": gaps.ravel(),
-                "label": b["label"].to_numpy()[order.ravel()],
-            }
-        )
-        return out[np.isfinite(out["distance"])]
-
-    keys = ["_cell", "_block", "_slice"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, schema)
-    # a test row has at most k candidates per block it met
-    order = Window.partitionBy("test_id").orderBy("distance", "train_id")
-    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    return Index.build(train).nearest(test, k, same)
 
 
 def block_sums(

@@ -12,7 +12,7 @@ from itertools import product
 
 from pyspark.ml import Estimator, Transformer
 from pyspark.ml.classification import (
-    DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, OneVsRest, RandomForestClassifier,
+    DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier,
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.functions import vector_to_array
@@ -22,6 +22,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tablewright.operators import evaluate
 from tablewright.operators.blocks import nearest
+from tablewright.operators.models import (
+    NEIGHBOURS, SMOOTHING, GaussianBayes, NearestNeighbours, bayes_scores, neighbour_scores, voted,
+)
 from tablewright.operators.detection import require_valid_target, suggest_target, task_type
 from tablewright.operators.prep import (
     TEST_SHARE, Preparation, assign_folds, can_stratify, class_sizes, fit_preparation, hash_position, split_random,
@@ -45,13 +48,40 @@ GRIDS = {
     "GradientBoosting": {"n_estimators": [50, 100], "learning_rate": [0.01, 0.1], "max_depth": [3, 5]},
     "DecisionTree": {"max_depth": [None, 5, 10, 20], "min_samples_split": [2, 5, 10]},
     "LinearSVM": {"C": [0.1, 1, 10]},
-    "NaiveBayes": {},  # Spark smooths Gaussian variances by a fixed share, so there is nothing to search
+    "KNN": {"n_neighbors": [3, 5, 7, 11], "weights": ["uniform", "distance"]},
+    "NaiveBayes": {"var_smoothing": [1e-09, 1e-08, 1e-07]},
     "Ridge": {"alpha": [0.01, 0.1, 1, 10, 100]},
     "Lasso": {"alpha": [0.001, 0.01, 0.1, 1]},
     "Linear": {},
 }
-CLASSIFIERS = ["LogisticRegression", "RandomForest", "GradientBoosting", "DecisionTree", "LinearSVM", "NaiveBayes"]
-REGRESSORS = ["Linear", "Ridge", "Lasso", "RandomForest", "GradientBoosting", "DecisionTree"]
+CLASSIFIERS = ["LogisticRegression", "RandomForest", "GradientBoosting", "DecisionTree", "LinearSVM", "KNN", "NaiveBayes"]
+REGRESSORS = ["Linear", "Ridge", "Lasso", "RandomForest", "GradientBoosting", "DecisionTree", "KNN"]
+# The ranges of a search without a grid
+RANGES = {
+    "LogisticRegression": {"C": {"low": 0.001, "high": 100, "log": True}},
+    "RandomForest": {
+        "n_estimators": {"low": 10, "high": 300, "step": 1},
+        "max_depth": {"low": 2, "high": 50, "step": 1},
+        "min_samples_split": {"low": 2, "high": 20, "step": 1},
+        "min_samples_leaf": {"low": 1, "high": 10, "step": 1},
+    },
+    "GradientBoosting": {
+        "n_estimators": {"low": 10, "high": 300, "step": 1},
+        "learning_rate": {"low": 0.001, "high": 0.5, "log": True},
+        "max_depth": {"low": 2, "high": 10, "step": 1},
+        "subsample": {"low": 0.5, "high": 1.0},
+    },
+    "DecisionTree": {
+        "max_depth": {"low": 2, "high": 30, "step": 1},
+        "min_samples_split": {"low": 2, "high": 20, "step": 1},
+        "min_samples_leaf": {"low": 1, "high": 10, "step": 1},
+    },
+    "LinearSVM": {"C": {"low": 0.001, "high": 100, "log": True}},
+    "KNN": {"n_neighbors": {"low": 1, "high": 30, "step": 1}, "weights": {"values": ["uniform", "distance"]}},
+    "NaiveBayes": {"var_smoothing": {"low": 1e-12, "high": 1e-6, "log": True}},
+    "Ridge": {"alpha": {"low": 0.001, "high": 100, "log": True}},
+    "Lasso": {"alpha": {"low": 0.0001, "high": 10, "log": True}},
+}
 # Parameter swept by a validation curve
 SWEEPS = {
     "n_estimators": [10, 25, 50, 75, 100, 150, 200],
@@ -81,7 +111,9 @@ def estimator(
         svm = LinearSVC(regParam=c_penalty, standardization=False, maxIter=50, tol=TOLERANCE)
         return svm if classes == 2 else OneVsRest(classifier=svm, parallelism=4)
     if name == "NaiveBayes":
-        return NaiveBayes(modelType="gaussian")
+        return GaussianBayes(float(p.get("var_smoothing", SMOOTHING)), classes)
+    if name == "KNN":
+        return NearestNeighbours(int(p.get("n_neighbors", NEIGHBOURS)), str(p.get("weights", "uniform")), task, classes)
     if name == "RandomForest":
         kind = RandomForestClassifier if classify else RandomForestRegressor
         return kind(numTrees=int(p.get("n_estimators", 100)), maxDepth=depth(None), minInstancesPerNode=leaf, seed=SEED)
@@ -190,11 +222,28 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def metrics(predictions: DataFrame, task: str) -> dict[str, float]:
+    """Measures of predictions; where the model gives probabilities also log loss and ROC area.
+
+    The area is that of class 1 of two, else the mean of all classes weighted by their rows; without rows of every class there is none.
+    """
     if task == "classification":
-        return evaluate.classification_metrics(predictions, "label", "prediction").first().asDict()
+        found = evaluate.classification_metrics(predictions, "label", "prediction").first().asDict()
+        return found | (_probability_metrics(predictions) if "probability" in predictions.columns else {})
     return evaluate.regression_metrics(predictions, "label", "prediction").first().asDict()
 
 
+def _probability_metrics(predictions: DataFrame) -> dict[str, float | None]:
+    rows = predictions.select(F.col("label").cast("int").alias("label"), vector_to_array("probability").alias("shares"))
+    own = F.least(F.greatest(F.col("shares")[F.col("label")], F.lit(evaluate.EPSILON)), F.lit(1 - evaluate.EPSILON))
+    loss, classes, found = rows.agg(-F.avg(F.ln(own)), F.max(F.size("shares")), F.count_distinct("label")).first()
+    if found != classes or classes < 2:
+        return {"log_loss": loss, "roc_auc": None}
+    judged = [1] if classes == 2 else range(classes)
+    wide_rows = rows.select("label", *[F.col("shares")[i].alias(f"p{i}") for i in judged])
+    per_label = evaluate.roc_auc(wide_rows, "label", {i: f"p{i}" for i in judged})
+    return {"log_loss": loss, "roc_auc": evaluate.average_auc(per_label).first()["weighted_auc"]}
+
+
 def main_metric(task: str) -> str:
     return {"classification": "accuracy", "regression": "r2", "clustering": "silhouette"}[task]
 
@@ -252,7 +301,18 @@ class Found:
 
 
 def search(data: TrainingData, name: str, candidates: Sequence[Mapping], parallelism: int = 4) -> Found:
-    """Cross-validate the candidates on the prepared folds and refit the best on all training rows."""
+    """Cross-validate the candidates on the prepared folds and refit the best on all training rows.
+
+    Bayes and neighbours score all candidates of a fold from shared work.
+    """
+    if name in ("NaiveBayes", "KNN"):
+        classes = max(2, len(data.classes))
+        if name == "NaiveBayes":
+            scores = bayes_scores(data.train, [float(c.get("var_smoothing", SMOOTHING)) for c in candidates], classes)
+        else:
+            scores = neighbour_scores(data.train, candidates, data.task, classes)
+        best = max(range(len(scores)), key=lambda i: scores[i])
+        return Found(name, dict(candidates[best]), scores[best], fit(data, name, candidates[best]), list(zip(map(dict, candidates), scores)))
     base = _new(data, name, candidates[0])
     if data.task == "classification":
         judge = MulticlassClassificationEvaluator(metricName="accuracy")
@@ -282,6 +342,28 @@ def random_search(data: TrainingData, name: str, n: int = 5, grid: Mapping[str,
     return search(data, name, random_combinations(GRIDS[name] if grid is None else grid, n))
 
 
+def draws(ranges: Mapping[str, Mapping], n: int, seed: int = SEED) -> list[dict]:
+    """``n`` seeded draws: evenly from listed values, whole steps and intervals, by their logarithm where ``log`` is set."""
+    pick = random.Random(seed)
+
+    def one(r: Mapping):
+        if "values" in r:
+            return pick.choice(list(r["values"]))
+        low, high = r["low"], r["high"]
+        if r.get("log"):
+            return min(high, max(low, math.exp(pick.uniform(math.log(low), math.log(high)))))
+        if "step" in r:
+            return low + r["step"] * pick.randrange(int((high - low) // r["step"]) + 1)
+        return pick.uniform(low, high)
+
+    return [{k: one(r) for k, r in ranges.items()} for _ in range(n)]
+
+
+def range_search(data: TrainingData, name: str, n: int = 10, ranges: Mapping[str, Mapping] | None = None, seed: int = SEED) -> Found:
+    """Search ``n`` draws from the ranges of a model instead of the points of a grid."""
+    return search(data, name, draws(RANGES[name] if ranges is None else ranges, n, seed))
+
+
 def tried_frame(data: TrainingData, found: Found) -> DataFrame:
     rows = [(found.name, json.dumps(p), float(s), p == found.params) for p, s in found.tried]
     return wide.rows_frame(data.train.sparkSession, rows, "model string, params string, cv_score double, best boolean")
@@ -416,18 +498,7 @@ def predict_knn(train: DataFrame, test: DataFrame, k: int = 5, task: str = "clas
     ``train`` has (id, point, label), ``test`` (id, point).  Votes are equal or weighted by 1 / distance, where
     exact matches silence the others; ties go to the smaller label.
     """
-    found = nearest(train, test, k)
-    if weights == "distance":
-        closest = Window.partitionBy("test_id")
-        hit = F.min("distance").over(closest) == 0
-        weight = F.when(hit, (F.col("distance") == 0).cast("double")).otherwise(F.try_divide(F.lit(1.0), F.col("distance")))
-        found = found.withColumn("w", weight)
-    else:
-        found = found.withColumn("w", F.lit(1.0))
-    if task == "regression":
-        return found.groupBy("test_id").agg((F.sum(F.col("w") * F.col("label")) / F.sum("w")).alias("prediction"))
-    votes = found.groupBy("test_id", "label").agg(F.sum("w").alias("w"))
-    return votes.groupBy("test_id").agg(F.min(F.struct((-F.col("w")).alias("w"), F.col("label")))["label"].alias("prediction"))
+    return voted(nearest(train, test, k), task, weights).drop("votes")
 
 
 def oversample(df: DataFrame, target: str, key: str, features: Sequence[str], k: int = 5, seed: int = SEED) -> DataFrame:
@@ -494,8 +565,8 @@ def load(spark, path: str) -> tuple[Transformer, Preparation, dict]:
 
     meta = json.loads(spark.read.schema("metadata string").json(f"{path}/metadata").first()[0])
     module, name = meta["kind"].rsplit(".", 1)
-    if not module.startswith("pyspark.ml."):
-        raise ValueError(f"not an MLlib model: {meta['kind']}")
+    if not module.startswith("pyspark.ml.") and module != "tablewright.operators.models":
+        raise ValueError(f"not a model of MLlib or of this package: {meta['kind']}")
     model = getattr(import_module(module), name).load(f"{path}/model")
     prep = Preparation(
         {c: tuple(v) for c, v in meta["numeric"].items()},

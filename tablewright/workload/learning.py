@@ -55,25 +55,35 @@ fitted("fit_linear_svm_classes", tiers, "LinearSVM", {"C": 0.1})
 BAYES = "SELECT event_id, value, CAST(regexp_extract(props, '[0-9]+', 0) AS DOUBLE) AS k, event_type FROM events"
 
 
-@query(
-    "fit_naive_bayes",
-    f"""WITH t AS ({BAYES}), e AS (SELECT 1e-9 * greatest(var_pop(value), var_pop(k)) AS eps FROM t),
+def _bayes(smoothing):
+    return f"""WITH t AS ({BAYES}), e AS (SELECT {smoothing} * greatest(var_pop(value), var_pop(k)) AS eps FROM t),
     c AS (SELECT event_type AS label, ln(count(*) / (SELECT count(*) FROM t)) AS prior, avg(value) AS m1, var_pop(value) + any_value(eps) AS v1, avg(k) AS m2, var_pop(k) + any_value(eps) AS v2 FROM t, e GROUP BY event_type),
     s AS (SELECT event_id, label, prior - 0.5 * (ln(v1) + power(value - m1, 2) / v1 + ln(v2) + power(k - m2, 2) / v2) AS score FROM t, c)
-    SELECT event_id, arg_max(label, score) AS prediction FROM s GROUP BY event_id""",
-)
-def _(t):
+    SELECT event_id, arg_max(label, score) AS prediction FROM s GROUP BY event_id"""
+
+
+def _bayes_predictions(t, smoothing):
     from pyspark.ml.feature import VectorAssembler
 
     df = t.sql(BAYES, "events")
     classes = categories(df, "event_type", 100)
     rows = df.withColumn("label", ml.label_column(df, "event_type", classes))
     vectors = VectorAssembler(inputCols=["value", "k"], outputCol="features").transform(rows)
-    model = ml.estimator("NaiveBayes", "classification", df.count(), len(classes)).fit(vectors)
+    model = ml.estimator("NaiveBayes", "classification", df.count(), len(classes), {"var_smoothing": smoothing}).fit(vectors)
     names = F.array(*[F.lit(c) for c in classes])
     return model.transform(vectors).select("event_id", F.element_at(names, F.col("prediction").cast("int") + 1).alias("prediction"))
 
 
+@query("fit_naive_bayes", _bayes("1e-9"))
+def _(t):
+    return _bayes_predictions(t, 1e-9)
+
+
+@query("fit_naive_bayes_smoothed", _bayes("0.5"))
+def _(t):
+    return _bayes_predictions(t, 0.5)
+
+
 LINE = "SELECT l_quantity AS x, l_extendedprice AS y FROM lineitem"
 
 
@@ -128,6 +138,34 @@ def _(t):
     return ml.predict_knn(*_points(t), k=7)
 
 
+@query(
+    "fit_knn",
+    _knn(5, "1 / distance", """, v AS (SELECT test_id, label, sum(w) AS w FROM w GROUP BY ALL),
+    o AS (SELECT *, row_number() OVER (PARTITION BY test_id ORDER BY w DESC, label) AS at_, sum(w) OVER (PARTITION BY test_id) AS whole FROM v)
+    SELECT test_id, CAST(label AS DOUBLE) AS prediction, round(w / whole, 6) AS confidence FROM o WHERE at_ = 1"""),
+)
+def _(t):
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    train, test = (side.select("id", array_to_vector("point").alias("features"), "label") for side in _points(t))
+    classes = train.agg(F.max("label")).first()[0] + 1
+    model = ml.estimator("KNN", "classification", 1, classes, {"n_neighbors": 5, "weights": "distance"}).fit(train)
+    found = model.transform(test)
+    return found.select(F.col("id").alias("test_id"), "prediction", rounded(F.array_max(vector_to_array("probability"))).alias("confidence"))
+
+
+@query("knn_search")
+def _(t):
+    data = leads(t)
+    return ml.tried_frame(data, ml.grid_search(data, "KNN"))
+
+
+@query("bayes_range_search")
+def _(t):
+    data = tiers(t)
+    return ml.tried_frame(data, ml.range_search(data, "NaiveBayes", 10))
+
+
 @query("predict_knn_distance", _knn(5, "1 / distance", f"SELECT test_id, {r('sum(w * label) / sum(w)')} AS prediction FROM w GROUP BY test_id"))
 def _(t):
     df = ml.predict_knn(*_points(t), k=5, task="regression", weights="distance")
@@ -156,14 +194,14 @@ def _(t):
 _SMALL = {
     "LogisticRegression": {"C": [0.1, 1]},
     "DecisionTree": {"max_depth": [4, 8]},
-    "NaiveBayes": {},
+    "NaiveBayes": {"var_smoothing": [1e-9, 1e-8, 1e-7]},
     "RandomForest": {"n_estimators": [50], "max_depth": [5]},
 }
 
 
 @query("train_ranked")
 def _(t):
-    return ml.train_ranked(leads(t), list(_SMALL), 2, _SMALL)[0]
+    return ml.train_ranked(leads(t), list(_SMALL), 3, _SMALL)[0]
 
 
 @query("train_ranked_values")

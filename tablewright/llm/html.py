@@ -5,13 +5,15 @@
    without letters or digits; a title or lead beside an inner container belongs to the text. The best container votes with its generalised path: tags and classes from the root, without
    numbers and other parts that change from page to page.
 2. Votes are summed per host in Spark. The paths of a host are ranked by votes.
-3. Every page is extracted again by the best path of its host that it has; a page that has none, and pages without a host, use
-   their own best container.
+3. Every page is extracted again by the best path of its host that it has, of all paths on which two pages or more agree; a page that
+   has none, and pages without a host, use their own best path.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, markup and reader comments inside the container are left
-out. Character references are decoded, white space inside a block becomes one space, blocks are joined in page order by one space.
+out. Scripts, controls and the like always are. Other elements are only suspected, by their tag or by a word in class, id or role: one that
+holds the page's ``article`` or ``main``, or most of its text, is a wrapper and stays, whatever it is called. A class that is such a word
+weighs more than one that contains it, and headings and paragraphs are not judged by their id. Character references are decoded, white space inside a block becomes one space, blocks are joined in page order by one space.
 
-Null and empty pages give empty text. A page without any container of text gives the text of its body. Unclosed and stray tags are
+Null, empty and very long pages are taken whole, one page at a time; null and empty ones empty text. An empty table gives no rows. A page without any container of text gives the text of its body. Unclosed and stray tags are
 taken as browsers do for paragraphs, list items, table cells and the like; what is never closed ends with the page. Repeated rows
 vote once each. Ties of votes go to the longer path, then to the alphabetically first. Extra columns are not read.
 """
@@ -24,7 +26,6 @@ import re
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tablewright.llm.arrow import shares
 from tablewright.plans.durable import durable
@@ -43,13 +44,21 @@ ENDS = {
 }
 ENDS_PARAGRAPH = BLOCKS - {"br", "option", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "html", "body"}
 
-#: Elements that are never main text, and words in class, id or role that say so.
-FURNITURE_TAGS = frozenset("nav footer aside form script style noscript template svg math button select input textarea iframe object head menu dialog canvas audio video".split())
+#: Elements that are never text.
+NEVER_TEXT = frozenset("script style noscript template svg math button select input textarea iframe object head canvas audio video".split())
+#: Elements that are seldom main text, and words in class, id or role that say so.
+FURNITURE_TAGS = frozenset("nav footer aside form menu dialog".split())
 FURNITURE_WORDS = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs footer sidebar side widget ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion "
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login share sharing social related recommended comment comments "
     "discussion disqus reply replies respond masthead topbar toolbar pagination pager search form skip complementary contentinfo".split()
 )
+#: Those of them that speak of what readers wrote.
+READER_WORDS = frozenset("comment comments discussion disqus reply replies respond".split())
+#: Share of the page's text that makes a wrapper of an element whose class contains such a word, is one, or is one of readers.
+WRAPS, WRAPS_NAMED, WRAPS_READERS = 0.5, 0.8, 0.95
+#: Elements that are not judged by their id.
+NOT_BY_ID = frozenset("h1 h2 h3 h4 h5 h6 p pre blockquote".split())
 #: Elements that may be the main container.
 CONTAINERS = frozenset("article main section div td body".split())
 #: Elements that hold text of the container that they are in.
@@ -57,22 +66,35 @@ OWN_TEXT = frozenset("h1 h2 h3 h4 h5 h6 p pre blockquote".split())
 MAIN_WORDS = frozenset("article content main post entry story text body".split())
 
 MARK = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.DOTALL)
-NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
+NAMES = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 WORD = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
 SAYS = re.compile(r"[^\W_]")
 
 
 class Node:
-    __slots__ = ("tag", "names", "parent", "furniture", "children", "plain", "linked", "paragraphs")
+    __slots__ = ("tag", "names", "parent", "furniture", "suspect", "children", "plain", "linked", "paragraphs")
 
-    def __init__(self, tag: str, names: str, parent: Node | None):
+    def __init__(self, tag: str, names: str, parent: Node | None, judged: str | None = None):
         self.tag, self.names, self.parent = tag, names, parent
         self.children: list[Node | str] = []
         self.plain = self.linked = self.paragraphs = 0
-        words = set(WORD.findall(names))
-        top = tag in ("html", "body", "article", "main")
-        self.furniture = not top and (tag in FURNITURE_TAGS or bool(words & FURNITURE_WORDS) or (tag == "header" and not _inside(parent, "article")))
+        self.furniture = tag in NEVER_TEXT
+        #: Share of the page's text from which on a suspected element is taken for a wrapper; None without a suspicion.
+        self.suspect = self._suspicion(names if judged is None else judged)
+
+    def _suspicion(self, names: str) -> float | None:
+        if self.tag in ("html", "body", "article", "main"):
+            return None
+        words = set(WORD.findall(names)) & FURNITURE_WORDS
+        named = words & set(names.split())
+        if words & READER_WORDS and (named or words - READER_WORDS):
+            return WRAPS_READERS
+        if self.tag == "form":
+            return WRAPS
+        if named or self.tag in FURNITURE_TAGS or (self.tag == "header" and not _inside(self.parent, "article")):
+            return WRAPS_NAMED
+        return WRAPS if words else None
 
     def step(self) -> str:
         kinds = sorted({w for w in re.split(r"[^a-z]+", self.names.lower()) if len(w) > 2})
@@ -136,8 +158,10 @@ def parse(page: str) -> Node:
                 if tag in ("tr", "tbody", "tfoot"):
                     while at.tag in ENDS[tag]:
                         at = at.parent
-        names = " ".join(n for found in NAMES.findall(mark[4]) for n in found[1:] if n) if mark[4] else ""
-        node = Node(tag, names.lower(), at)
+        found = NAMES.findall(mark[4]) if mark[4] else ()
+        names = " ".join(n for f in found for n in f[1:] if n).lower()
+        judged = " ".join(n for f in found if f[0].lower() != "id" for n in f[1:] if n).lower() if tag in NOT_BY_ID else names
+        node = Node(tag, names, at, judged)
         at.children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.IGNORECASE).search(page, place)
@@ -149,12 +173,13 @@ def parse(page: str) -> Node:
     return root
 
 
-def measure(root: Node) -> None:
-    """Characters in every node, below furniture none: plain, linked and in paragraphs."""
+def _measure(root: Node) -> list[Node]:
+    """Characters in every node, below furniture none: plain, linked and in paragraphs. Returns all nodes, parents first."""
     stack: list[tuple[Node, bool, bool, bool]] = [(root, False, False, False)]
     order = []
     while stack:
         node, linked, paragraph, skipped = stack.pop()
+        node.plain = node.linked = node.paragraphs = 0
         skipped = skipped or node.furniture
         linked, paragraph = linked or node.tag == "a", paragraph or node.tag in ("p", "pre", "blockquote")
         order.append(node)
@@ -175,6 +200,27 @@ def measure(root: Node) -> None:
             node.parent.plain += node.plain
             node.parent.linked += node.linked
             node.parent.paragraphs += node.paragraphs
+    return order
+
+
+def measure(root: Node) -> None:
+    """Find the furniture among the suspected elements, then measure what is left."""
+    order = _measure(root)
+    if not any(n.suspect for n in order):
+        return
+    total = root.plain
+    holds: dict[int, int] = {}  # the longest article or main text inside, that is not suspected itself
+    for node in reversed(order):
+        own = node.plain if node.tag in ("article", "main") else 0
+        if node.parent is not None and not node.furniture and node.suspect != WRAPS_READERS:
+            holds[id(node.parent)] = max(holds.get(id(node.parent), 0), own, holds.get(id(node), 0))
+    longest = holds.get(id(root), 0)
+    for node in order:
+        if node.suspect is not None and not node.furniture:
+            main = holds.get(id(node), 0)
+            wraps = main > 0 and (main == longest if node.suspect == WRAPS_READERS else main >= longest / 2)
+            node.furniture = not wraps and (node.plain < node.suspect * total or node.linked > node.plain or not node.plain)
+    _measure(root)
 
 
 def containers(root: Node) -> list[tuple[float, Node]]:
@@ -192,7 +238,7 @@ def containers(root: Node) -> list[tuple[float, Node]]:
         words = set(WORD.findall(node.names))
         score = node.plain + node.paragraphs - 2 * node.linked
         inner = max((c for c in node.children if isinstance(c, Node) and c.tag in CONTAINERS and not c.furniture), key=lambda c: c.plain, default=None)
-        factor = {"article": 1.5, "main": 1.3, "body": 0.7}.get(node.tag, 1.0) * (1.2 if words & MAIN_WORDS else 1.0)
+        factor = {"article": 1.5, "main": 1.3, "body": 0.7}.get(node.tag, 1.0) * (1.2 if words & MAIN_WORDS else 1.0) * (0.9 if node.suspect else 1.0)
         if inner is not None and inner.plain > 0.8 * node.plain:
             if inner.plain == node.plain:
                 score *= 0.8
@@ -236,18 +282,20 @@ def best_path(page: str | None) -> str | None:
 
 
 def extract(page: str | None, paths: list[str] | None) -> str:
-    """Main text by the first path that the page has, else by its own best container."""
+    """Main text by the first path that the page has, else by its own best path."""
     if not page:
         return ""
     root = parse(page)
     measure(root)
     found = containers(root)
-    for path in paths or []:
-        own = [node for _, node in found if node.path() == path]
-        own = [n for n in own if not any(m is not n and _below(n, m) for m in own)]
-        if own:
-            return " ".join(t for t in map(text_of, _in_order(root, own)) if t)
-    return text_of(found[0][1] if found else root)
+    if not found:
+        return text_of(root)
+    at: dict[str, list[Node]] = {}
+    for _, node in found:
+        at.setdefault(node.path(), []).append(node)
+    own = at[next((p for p in paths or () if p in at), found[0][1].path())]
+    own = [n for n in own if not any(m is not n and _below(n, m) for m in own)]
+    return " ".join(t for t in map(text_of, _in_order(root, own)) if t)
 
 
 def _below(node: Node, other: Node) -> bool:
@@ -284,25 +332,26 @@ def votes(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
     return found.where("host <> '' AND path IS NOT NULL").groupBy("host", "path").agg(F.count("*").alias("votes"))
 
 
-#: Paths of a host that are tried, in the order of their votes; a page that has none of them uses its own best container.
-TRIED = 3
+#: Votes from which on a path is one that pages agree on.
+AGREED = 2
 
 
-def winners(counted: DataFrame, tried: int = TRIED) -> DataFrame:
-    """Per host its paths with the most votes."""
-    order = Window.partitionBy("host").orderBy(F.desc("votes"), F.desc(F.length("path")), "path")
-    ranked = counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= tried)
-    return ranked.groupBy("host").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "path"))), lambda x: x["path"]).alias("paths"))
+def winners(counted: DataFrame) -> DataFrame:
+    """Per host the paths that pages agree on, most votes first."""
+    first = F.struct((-F.col("votes")).alias("v"), (-F.length("path")).alias("n"), "path")
+    listed = counted.where(F.col("votes") >= AGREED).groupBy("host").agg(F.sort_array(F.collect_list(first)).alias("ranked"))
+    return listed.select("host", F.transform("ranked", lambda x: x["path"]).alias("paths"))
 
 
-#: Hosts up to which the winning paths are broadcast.
-BROADCAST_HOSTS = 100_000
+#: Bytes up to which the winning paths are broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """``page_id``, ``url`` and ``text`` of every page."""
     paths = durable(winners(votes(pages, url, page)))
-    if paths.count() <= BROADCAST_HOSTS:
+    held = paths.agg(F.sum(F.octet_length("host") + F.aggregate("paths", F.lit(32), lambda n, p: n + F.octet_length(p) + 16))).first()[0]
+    if (held or 0) <= BROADCAST_BYTES:
         paths = F.broadcast(paths)
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(page).alias("page"), host(F.col(url)).alias("host"))
     rows = rows.join(paths, "host", "left").select("page_id", "url", "page", "paths")

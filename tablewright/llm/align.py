@@ -147,7 +147,8 @@ class Aligner:
         """Align pieces that follow each other in one text; False if a tokenizer changes bytes or reaches over a border."""
         text = "".join(pieces)
         raw = text.encode()
-        ids_a = np.array(self.a.encode(text, add_special_tokens=False).ids, dtype=np.int64)
+        (encoded,) = self.a.encode_batch_fast([text], add_special_tokens=False)
+        ids_a = np.array(encoded.ids, dtype=np.int64)
         ids_b = np.array(self.b.encode(text[1:], num_threads=1) if len(text) > 1 else [self.space], dtype=np.int64)
         if self.of_a.spell(ids_a) != raw or self.of_b.spell(ids_b) != raw:
             return False

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tablewright.operators import evaluate
 from tablewright.operators.blocks import nearest
+from tablewright.operators.boosting import SoftmaxBoosting
 from tablewright.operators.models import (
     NEIGHBOURS, SMOOTHING, GaussianBayes, NearestNeighbours, bayes_scores, neighbour_scores, voted,
 )
@@ -120,13 +121,17 @@ def estimator(
     if name == "DecisionTree":
         kind = DecisionTreeClassifier if classify else DecisionTreeRegressor
         return kind(maxDepth=depth(None), minInstancesPerNode=leaf, seed=SEED)
+    if name == "GradientBoosting" and classify and classes > 2:
+        return SoftmaxBoosting(
+            p.get("n_estimators", 100), p.get("learning_rate", 0.1), depth(3), p.get("subsample", 1.0), leaf, classes, SEED
+        )
     if name == "GradientBoosting":
         kind = GBTClassifier if classify else GBTRegressor
         gbt = kind(
             maxIter=int(p.get("n_estimators", 100)), stepSize=float(p.get("learning_rate", 0.1)), maxDepth=depth(3),
             subsamplingRate=float(p.get("subsample", 1.0)), minInstancesPerNode=leaf, seed=SEED,
         )
-        return gbt if not classify or classes == 2 else OneVsRest(classifier=gbt)
+        return gbt
     if name in ("Linear", "Ridge", "Lasso"):
         alpha = float(p.get("alpha", 1.0))
         penalty = {"Linear": COLLINEAR, "Ridge": alpha * label_std / rows, "Lasso": alpha}[name]
@@ -314,6 +319,10 @@ def search(data: TrainingData, name: str, candidates: Sequence[Mapping], paralle
         best = max(range(len(scores)), key=lambda i: scores[i])
         return Found(name, dict(candidates[best]), scores[best], fit(data, name, candidates[best]), list(zip(map(dict, candidates), scores)))
     base = _new(data, name, candidates[0])
+    if isinstance(base, SoftmaxBoosting):
+        scores = [sum(s) / len(s) for s in (fold_scores(data, name, c) for c in candidates)]
+        best = max(range(len(scores)), key=lambda i: scores[i])
+        return Found(name, dict(candidates[best]), scores[best], fit(data, name, candidates[best]), list(zip(map(dict, candidates), scores)))
     if data.task == "classification":
         judge = MulticlassClassificationEvaluator(metricName="accuracy")
     else:
@@ -565,7 +574,7 @@ def load(spark, path: str) -> tuple[Transformer, Preparation, dict]:
 
     meta = json.loads(spark.read.schema("metadata string").json(f"{path}/metadata").first()[0])
     module, name = meta["kind"].rsplit(".", 1)
-    if not module.startswith("pyspark.ml.") and module != "tablewright.operators.models":
+    if not module.startswith("pyspark.ml.") and module not in ("tablewright.operators.models", "tablewright.operators.boosting"):
         raise ValueError(f"not a model of MLlib or of this package: {meta['kind']}")
     model = getattr(import_module(module), name).load(f"{path}/model")
     prep = Preparation(

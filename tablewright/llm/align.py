@@ -36,6 +36,8 @@ from tablewright.plans.durable import durable
 
 #: Pieces that a task remembers between shares, and the links of them.
 KEPT_PIECES, KEPT_LINKS = 250_000, 1 << 21
+#: Pieces that stay for the next task of the same process.
+KEPT_AFTER = 50_000
 #: Characters of a long text that are worked on at once.
 PART = 1 << 20
 #: Pairs of ids in the broadcast at most, 17 bytes each.
@@ -118,9 +120,10 @@ class Aligner:
         self.space = self.b.piece_to_id("▁")
         reaching = any("▁" in p.lstrip("▁") for p in pieces)
         self.border = None if reaching else re.compile(r"(?<=\S) ")
-        self.forget()
+        self.blanks = re.compile(r"\s ")
+        self.clear()
 
-    def forget(self) -> None:
+    def clear(self) -> None:
         """Drop the remembered pieces."""
         self.known: dict[str, int] = {}
         self.said: list[str | None] = []
@@ -128,10 +131,28 @@ class Aligner:
         self.at = np.zeros(1 << 12, dtype=np.int64)
         self.pairs, self.times, self.used = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64), 0
 
+    def _shorten(self, most: int) -> None:
+        """Keep the first pieces that came: they are the common ones."""
+        if len(self.known) > most:
+            self.known = dict(islice(self.known.items(), most))
+            self.said = self.said[:most]
+            self.used = int(self.at[most - 1] + self.stats[most - 1, 4])
+
+    def forget(self) -> None:
+        """Drop all but the common pieces, whose memory the next work of the same process may need."""
+        self._shorten(KEPT_AFTER)
+        n, more = len(self.known), 1 << 12
+        self.stats = np.concatenate([self.stats[:n], np.zeros((more, 5), dtype=np.int64)])
+        self.at = np.concatenate([self.at[:n], np.zeros(more, dtype=np.int64)])
+        self.pairs, self.times = (np.concatenate([x[: self.used], np.zeros(1 << 16, dtype=np.int64)]) for x in (self.pairs, self.times))
+
     def cut(self, text: str) -> list[str]:
         """The text at its borders."""
         if self.border is None:
             return [text]
+        if not self.blanks.search(text):  # every space but the first is a border
+            first, *rest = text.split(" ")
+            return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
         places = [m.start() for m in self.border.finditer(text)]
         return [text[i:j] for i, j in zip([0, *places], [*places, len(text)])]
 
@@ -199,12 +220,9 @@ class Aligner:
     def measure(self, texts: list[str]) -> tuple[np.ndarray, list[str | None], np.ndarray, np.ndarray, np.ndarray]:
         """Of texts that begin with a space: numbers of tokens, groups and links, the groups as text (None where bytes
         differ), then text number, pair and times, ordered, of every pair of ids in a text."""
-        if len(self.known) > KEPT_PIECES:  # the first that came are the common ones
-            self.known = dict(islice(self.known.items(), KEPT_PIECES))
-            self.said = self.said[:KEPT_PIECES]
-            self.used = int(self.at[KEPT_PIECES - 1] + self.stats[KEPT_PIECES - 1, 4])
+        self._shorten(KEPT_PIECES)
         if self.used > KEPT_LINKS:
-            self.forget()
+            self.clear()
         cuts = [self.cut(t) for t in texts]
         flat = [p for c in cuts for p in c]
         self._learn([p for p in dict.fromkeys(flat) if p not in self.known])

@@ -250,6 +250,14 @@ def sparse_vector(entries: Sequence[tuple[Column, Column]], size: int) -> Column
     return F.from_json(F.to_json(F.struct(fields.alias("vector"))), T.StructType([T.StructField("vector", VectorUDT())]))["vector"]
 
 
+def first_place(vector: Column, value: float) -> Column:
+    """Place from 1 of the first ``value`` (not zero) in a vector, 0 if there is none; a sparse vector is never filled up."""
+    fields = F.unwrap_udt(vector)
+    at = F.array_position(fields["values"], F.lit(value))
+    sparse = F.coalesce(F.try_element_at(fields["indices"], F.nullif(at, F.lit(0)).cast("int")) + 1, F.lit(0))
+    return F.when(fields["type"] == 0, sparse).otherwise(at).cast("bigint")
+
+
 def _numeric_value(df: DataFrame, c: str, date: bool) -> Column:
     kind = df.schema[c].dataType
     if date:

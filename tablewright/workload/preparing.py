@@ -1,6 +1,5 @@
 """Split, fold and preparation queries."""
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tablewright.operators import prep as p
@@ -157,4 +156,4 @@ def _(t):
 def _(t):
     df = t("orders").select("o_orderkey", F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("customer"))
     found = p.fit_preparation(df, ["customer"], drop_id_text=False).vectors(df, ["o_orderkey"])
-    return found.select("o_orderkey", F.array_position(vector_to_array("features"), 1.0).cast("bigint").alias("place"))
+    return found.select("o_orderkey", p.first_place(F.col("features"), 1.0).alias("place"))

@@ -80,3 +80,13 @@ def test_a_million_categories_reach_a_model(spark, monkeypatch, tmp_path):
     assert loaded.categorical == small.categorical and loaded.sizes == {"user": 3000}
     scored = learn.batch_score(df.where("id < 3000"), ["id"], again, loaded, meta["classes"])
     assert scored.count() == 3000 and scored.where("prediction is null").isEmpty()
+
+
+def test_the_place_of_a_category_is_read_without_filling_the_vector(spark):
+    from pyspark.ml.linalg import SparseVector, Vectors
+
+    # two billion places: a dense copy of one such vector would take 16 GB
+    vectors = [SparseVector(2_000_000_000, {1_999_999_998: 1.0}), SparseVector(5, {1: 2.0, 3: 1.0}), SparseVector(5, {}), Vectors.dense([0.0, 1.0, 1.0]), Vectors.dense([0.0, 3.0])]
+    df = spark.createDataFrame([*enumerate(vectors), (5, None)], ["id", "v"])
+    got = {r.id: r.place for r in df.select("id", prep.first_place(F.col("v"), 1.0).alias("place")).collect()}
+    assert got == {0: 1_999_999_999, 1: 4, 2: 0, 3: 2, 4: 0, 5: None}

@@ -7,7 +7,7 @@ sums or the nearest few, never the pairs.  Numpy does the arithmetic of one bloc
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,26 +20,117 @@ BLOCK_ROWS = 4000
 MAX_PIVOTS = 2048
 
 
-def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances between the rows of two matrices, without the cancellation of the expanded square."""
+#: Entries of a distance matrix held at once.
+ENTRIES = 4_000_000
+#: Squares below this share of the squared lengths lose digits to cancellation and are taken from the differences instead.
+CANCELLED = 1e-2
+
+
+def _gaps(a: np.ndarray, b: np.ndarray, i: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Squared distances of the row pairs (i, k), from their differences."""
+    out = np.empty(len(i))
+    step = max(1, ENTRIES // max(1, a.shape[1]))
+    for at in range(0, len(i), step):
+        gap = a[i[at : at + step]] - b[k[at : at + step]]
+        out[at : at + step] = np.einsum("ij,ij->i", gap, gap)
+    return out
+
+
+def _centred(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Both matrices moved to the middle of the second, which shortens their rows, and the squared lengths of the rows."""
+    whole = b[np.isfinite(b).all(axis=1)]
+    middle = whole.mean(axis=0) if len(whole) else 0.0
+    a, b = a - middle, b - middle
+    return a, b, np.einsum("ij,ij->i", a, a), np.einsum("ij,ij->i", b, b)
+
+
+def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances between the rows of two matrices, from a matrix product: fast, and good to about 13 digits.
+
+    Where the product cancels, and among entries that are not finite, the differences are squared instead.
+    """
+    a, b = np.ascontiguousarray(a, dtype="float64"), np.ascontiguousarray(b, dtype="float64")
+    with np.errstate(all="ignore"):
+        x, y, xx, yy = _centred(a, b)
+        out = x @ y.T
+        out *= -2
+        out += xx[:, None]
+        out += yy[None, :]
+        lengths = xx[:, None] + yy[None, :]
+        lengths *= CANCELLED
+        i, k = np.nonzero(~(out > lengths))
+        out[i, k] = _gaps(a, b, i, k)
+    return out
+
+
+def distances(a: np.ndarray, b: np.ndarray, edges: Sequence[float] = ()) -> np.ndarray:
+    """Euclidean distances between the rows of two matrices, good to about 13 digits.
+
+    Those next to one of ``edges`` are taken from the differences, so that a comparison with it tells what the plain formula tells.
+    """
     out = np.empty((len(a), len(b)))
-    step = max(1, 4_000_000 // max(1, len(b) * a.shape[1]))
-    for i in range(0, len(a), step):
-        gap = a[i : i + step, None, :] - b[None, :, :]
-        out[i : i + step] = np.sqrt(np.einsum("ijk,ijk->ij", gap, gap))
+    step = max(1, ENTRIES // max(1, len(b)))
+    for at in range(0, len(a), step):
+        part = squares(a[at : at + step], b)
+        np.sqrt(part, out=part)
+        if len(edges):
+            close = np.zeros(part.shape, dtype=bool)
+            for e in edges:
+                close |= np.abs(part - e) <= 1e-9 * max(1.0, abs(e))
+            i, k = np.nonzero(close)
+            part[i, k] = np.sqrt(_gaps(a[at : at + step], b, i, k))
+        out[at : at + step] = part
     return out
 
 
+def nearest_few(a: np.ndarray, b: np.ndarray, k: int, barred: Callable[[int, int], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of a, row of b, distance) of the ``k`` nearest rows of b for every row of a; ties go to the earlier row of b.
+
+    The product proposes, the plain formula decides. ``barred(from, to)`` masks pairs that do not count; rows that are not finite have no neighbours.
+    """
+    found = []
+    step = max(1, ENTRIES // max(1, len(b)))
+    for at in range(0, len(a), step):
+        part = a[at : at + step]
+        with np.errstate(all="ignore"):
+            x, y, xx, yy = _centred(part, b)
+            near = x @ y.T
+            near *= -2
+            near += xx[:, None]
+            near += yy[None, :]
+            near[~np.isfinite(near)] = np.inf
+        if barred is not None:
+            near[barred(at, at + len(part))] = np.inf
+        usable = yy[np.isfinite(yy)]
+        error = 1e-12 * (xx + (usable.max() if len(usable) else 0.0))  # far above what the product can be off
+        bound = np.partition(near, k - 1, axis=1)[:, k - 1] if k < len(b) else np.full(len(part), np.inf)
+        i, j = np.nonzero((near <= (bound + 2 * error)[:, None]) & np.isfinite(near))
+        d = np.sqrt(_gaps(part, b, i, j))
+        order = np.lexsort((j, d, i))
+        i, j, d = i[order], j[order], d[order]
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        keep = (place < k) & np.isfinite(d)
+        found.append((i[keep] + at, j[keep], d[keep]))
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), dtype="float64")
 
 
+def block_rows(n: int, width: int) -> int:
+    """Rows of a block: of wide points, whose cells rule out little, up to eight times ``BLOCK_ROWS``, so that fewer copies meet."""
+    return min(BLOCK_ROWS * max(1, min(8, width // 8)), max(BLOCK_ROWS, n // 16))
+
+
 def _pivots(train: DataFrame, point: str, n: int) -> np.ndarray:
     """Random rows as cell centres; at most ``MAX_PIVOTS`` of them reach the driver."""
     wanted = min(MAX_PIVOTS, max(1, math.ceil(n / BLOCK_ROWS)))
     points = train.select(point)
     rows = points.sample(min(1.0, wanted / max(n, 1)), 11).collect() or points.limit(1).collect()
-    return np.array([r[0] for r in rows], dtype="float64")
+    found = np.array([r[0] for r in rows], dtype="float64")
+    few = math.ceil(n / block_rows(n, found.shape[1])) if found.ndim == 2 else len(found)
+    return found if few >= len(found) else found[np.arange(few) * len(found) // few]
 
 
 def _with_cell(df: DataFrame, point: str, pivots: np.ndarray) -> DataFrame:
@@ -55,24 +146,47 @@ def _with_cell(df: DataFrame, point: str, pivots: np.ndarray) -> DataFrame:
     return df.mapInPandas(assign, schema)
 
 
-def _reachable(k: int, point: str, pivots: np.ndarray, radius: np.ndarray, size: np.ndarray, extra: int):
-    """Cells that can hold one of the k nearest rows of a point.
+def _homes(k: int, pivots: np.ndarray, radius: np.ndarray, size: np.ndarray, extra: int):
+    """The nearest cell with rows of every point, and a distance that its k-th nearest row does not exceed.
 
     The k-th distance is at most that of the cell at which the far ends (distance to the pivot plus radius),
-    taken in order, have gathered k rows; cells whose near end lies beyond it are left out.
+    taken in order, have gathered k rows.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if not len(batch):
                 continue
-            d = distances(_matrix(batch[point]), pivots)
+            d = distances(_matrix(batch["point"]), pivots)
             far = d + radius
             order = far.argsort(axis=1)
-            enough = (size[order].cumsum(axis=1) >= k + extra).argmax(axis=1)
-            bound = np.take_along_axis(far, np.take_along_axis(order, enough[:, None], 1), 1)
-            near = (d - radius <= bound * (1 + 1e-12)) & (size > 0)
-            yield batch.assign(_cells=[np.flatnonzero(row).astype("int32").tolist() for row in near])
+            gathered = size[order].cumsum(axis=1) >= k + extra
+            bound = np.take_along_axis(far, np.take_along_axis(order, gathered.argmax(axis=1)[:, None], 1), 1)[:, 0]
+            home = np.where(size > 0, d, np.inf).argmin(axis=1)
+            yield batch.assign(_cell=home.astype("int32"), _bound=np.where(gathered[:, -1], bound, np.inf))
+
+    return run
+
+
+def _reachable(pivots: np.ndarray, radius: np.ndarray, size: np.ndarray):
+    """Cells besides the own one that can hold a row within ``_bound`` of a point.
+
+    Left out are cells whose near end lies beyond it, and those whose pivot is farther than the own one by more than twice
+    the bound: every row of a cell is nearer to its pivot than to the others.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            d = distances(_matrix(batch["point"]), pivots)
+            own, bound = batch["_cell"].to_numpy(), batch["_bound"].to_numpy()[:, None]
+            slack = 1e-9 * (d + radius)
+            at_home = np.take_along_axis(d, own[:, None].astype("int64"), 1)
+            near = (d - radius <= bound + slack) & (d - at_home <= 2 * bound + slack) & (size > 0)
+            near[np.arange(len(batch)), own] = False
+            cells = [np.flatnonzero(row).astype("int32").tolist() for row in near]
+            yield batch.drop(columns=["_cell", "_bound"]).assign(_cells=cells)
 
     return run
 
@@ -115,25 +229,42 @@ class Index:
         )
 
     def nearest(self, test: DataFrame, k: int, same: bool = False) -> DataFrame:
-        """The exact ``k`` nearest rows of every row (id, point) of ``test``, as :func:`nearest` gives them."""
-        pivots, size = self.pivots, self.size
-        blocks = [max(1, math.ceil(n / BLOCK_ROWS)) for n in size.tolist()]
-        per_cell = F.element_at(F.array(*[F.lit(b) for b in blocks]), F.col("_cell") + 1)
-        right = self.rows.select("_cell", F.pmod(F.xxhash64("id"), per_cell).cast("int").alias("_block"), "id", "point", "label")
-        reach = _reachable(k, "point", pivots, self.radius, size, 1 if same else 0)
-        probe_schema = T.StructType([*test.select("id", "point").schema.fields, T.StructField("_cells", T.ArrayType(T.IntegerType()))])
-        probes = test.select("id", "point").mapInPandas(reach, probe_schema)
-        probes = durable(probes).withColumn("_cell", F.explode("_cells")).drop("_cells")  # placed once
-        slices = [1] * len(pivots)
+        """The exact ``k`` nearest rows of every row (id, point) of ``test``, as :func:`nearest` gives them.
+
+        Every row searches its own cell first; what it finds there bounds the cells that it has to visit.
+        """
+        pivots, size, radius = self.pivots, self.size, self.radius
+        kind = test.schema["id"].dataType
+        plain = [T.StructField("id", kind), test.schema["point"]]
+        homes = T.StructType([*plain, T.StructField("_cell", T.IntegerType()), T.StructField("_bound", T.DoubleType())])
+        probes = durable(test.select("id", "point").mapInPandas(_homes(k, pivots, radius, size, 1 if same else 0), homes))
+        order = Window.partitionBy("test_id").orderBy("distance", "train_id")
+        few = lambda found: found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+        first = durable(few(self._meet(probes.drop("_bound"), k, same, kind)))
+        reached = first.where(F.col("place") == k).select(F.col("test_id").alias("id"), F.col("distance").alias("_found"))
+        bounded = probes.join(reached, "id", "left").withColumn("_bound", F.least("_bound", "_found")).select(*homes.fieldNames())
+        visits = T.StructType([*plain, T.StructField("_cells", T.ArrayType(T.IntegerType()))])
+        visiting = durable(bounded.mapInPandas(_reachable(pivots, radius, size), visits))  # placed once
+        more = self._meet(visiting.withColumn("_cell", F.explode("_cells")).drop("_cells"), k, same, kind)
+        # a test row has at most k candidates per block it met
+        return few(first.drop("place").unionByName(more))
+
+    def _meet(self, probes: DataFrame, k: int, same: bool, kind: T.DataType) -> DataFrame:
+        """Candidates (test_id, train_id, distance, label): the nearest rows in each block of the cells (_cell) of the probes."""
+        limit = block_rows(int(self.size.sum()), self.pivots.shape[1])
+        blocks = [max(1, math.ceil(n / limit)) for n in self.size.tolist()]
+        slices = [0] * len(self.pivots)
         for c in probes.groupBy("_cell").agg(F.count("*").alias("n")).collect():
-            slices[c["_cell"]] = max(1, math.ceil(c["n"] / BLOCK_ROWS))
-        per_slice = F.element_at(F.array(*[F.lit(s) for s in slices]), F.col("_cell") + 1)
-        right = right.withColumn("_slice", F.explode(F.sequence(F.lit(0), per_slice - 1)))
-        left = probes.withColumn("_slice", F.pmod(F.xxhash64("id"), per_slice).cast("int"))
-        left = left.withColumn("_block", F.explode(F.sequence(F.lit(0), per_cell - 1)))
+            slices[c["_cell"]] = max(1, math.ceil(c["n"] / limit))
+        of = lambda counts: F.element_at(F.array(*[F.lit(c) for c in counts]), F.col("_cell") + 1)
+        every = lambda count: F.explode(F.sequence(F.lit(0), count - 1))
+        dealt = lambda count: F.pmod(F.xxhash64("id"), count).cast("int")
+        right = self.rows.where(of(slices) > 0).select("_cell", dealt(of(blocks)).alias("_block"), "id", "point", "label")
+        right = right.withColumn("_slice", every(of(slices)))
+        left = probes.withColumn("_slice", dealt(of(slices))).withColumn("_block", every(of(blocks)))
         schema = T.StructType(
             [
-                T.StructField("test_id", test.schema["id"].dataType),
+                T.StructField("test_id", kind),
                 T.StructField("train_id", self.rows.schema["id"].dataType),
                 T.StructField("distance", T.DoubleType()),
                 T.StructField("label", self.rows.schema["label"].dataType),
@@ -144,26 +275,13 @@ class Index:
             if not len(a) or not len(b):
                 return pd.DataFrame(columns=["test_id", "train_id", "distance", "label"])
             b = b.sort_values("id", kind="stable")
-            d = distances(_matrix(a["point"]), _matrix(b["point"]))
-            if same:
-                d[a["id"].to_numpy()[:, None] == b["id"].to_numpy()[None, :]] = np.inf
-            order = d.argsort(axis=1, kind="stable")[:, :k]
-            gaps = np.take_along_axis(d, order, 1)
-            out = pd.DataFrame(
-                {
-                    "test_id": np.repeat(a["id"].to_numpy(), order.shape[1]),
-                    "train_id": b["id"].to_numpy()[order.ravel()],
-                    "distance": gaps.ravel(),
-                    "label": b["label"].to_numpy()[order.ravel()],
-                }
-            )
-            return out[np.isfinite(out["distance"])]
+            here, there = a["id"].to_numpy(), b["id"].to_numpy()
+            itself = lambda low, high: here[low:high, None] == there[None, :]
+            i, j, d = nearest_few(_matrix(a["point"]), _matrix(b["point"]), k, itself if same else None)
+            return pd.DataFrame({"test_id": here[i], "train_id": there[j], "distance": d, "label": b["label"].to_numpy()[j]})
 
         keys = ["_cell", "_block", "_slice"]
-        found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, schema)
-        # a test row has at most k candidates per block it met
-        order = Window.partitionBy("test_id").orderBy("distance", "train_id")
-        return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, schema)
 
 
 def nearest(train: DataFrame, test: DataFrame, k: int, same: bool = False) -> DataFrame:
@@ -175,7 +293,7 @@ def nearest(train: DataFrame, test: DataFrame, k: int, same: bool = False) -> Da
     into blocks by a hash of the id and the test rows that meet a block are cut likewise, so that no task holds
     more than a block of either side.
     """
-    return Index.build(train).nearest(test, k, same)
+    return Index.build(train, keep=True).nearest(test, k, same)
 
 
 def block_sums(

@@ -226,18 +226,38 @@ class _Writer:
         spark.createDataFrame([(json.dumps(meta),)], "settings string").coalesce(1).write.text(f"{path}/settings")
 
 
+def _voted_all(found: DataFrame, candidates: Sequence[Mapping], task: str) -> DataFrame:
+    """(test_id, p0, p1, ...): what :func:`voted` predicts under every setting, from one pass over the neighbours."""
+    # where the nearest is an exact match it is one for any number of neighbours
+    rows = found.withColumn("hit", F.min("distance").over(Window.partitionBy("test_id")) == 0)
+    exact = F.when(F.col("hit"), (F.col("distance") == 0).cast("double")).otherwise(F.try_divide(F.lit(1.0), F.col("distance")))
+    weights = {}
+    for i, c in enumerate(candidates):
+        weight = exact if c.get("weights", "uniform") == "distance" else F.lit(1.0)
+        weights[f"w{i}"] = F.when(F.col("place") <= int(c.get("n_neighbors", NEIGHBOURS)), weight)
+    rows = rows.select("test_id", "label", *[w.alias(n) for n, w in weights.items()])
+    if task == "regression":
+        return rows.groupBy("test_id").agg(*[(F.sum(F.col(w) * F.col("label")) / F.sum(w)).alias(f"p{i}") for i, w in enumerate(weights)])
+    votes = rows.groupBy("test_id", "label").agg(*[F.sum(w).alias(w) for w in weights])
+    best = lambda w: F.min(F.when(F.col(w).isNotNull(), F.struct((-F.col(w)).alias("w"), F.col("label"))))["label"]
+    return votes.groupBy("test_id").agg(*[best(w).alias(f"p{i}") for i, w in enumerate(weights)])
+
+
 def neighbour_scores(train: DataFrame, candidates: Sequence[Mapping], task: str, classes: int) -> list[float]:
     """Mean over the folds of accuracy or R2 of every setting: one search for the most neighbours per fold serves all."""
     most = max(int(c.get("n_neighbors", NEIGHBOURS)) for c in candidates)
     totals = [0.0] * len(candidates)
     folds = sorted(r["fold"] for r in train.select("fold").distinct().collect())
+    y = F.col("truth")
     for f in folds:
         model = NearestNeighbours(most, task=task, classes=classes).fit(train.where(F.col("fold") != f))
         rows, found = model.neighbours(train.where(F.col("fold") == f).select("features", F.col("label").alias("truth")), most)
-        found, truth = durable(found), rows.select(F.col("_probe").alias("test_id"), "truth")
-        for i, c in enumerate(candidates):
-            some = voted(found.where(F.col("place") <= int(c.get("n_neighbors", NEIGHBOURS))), task, str(c.get("weights", "uniform")))
-            y, p = F.col("truth"), F.col("prediction").cast("double")
-            score = F.avg((y == p).cast("double")) if task == "classification" else 1 - F.avg((y - p) * (y - p)) / F.var_pop(y)
-            totals[i] += float(truth.join(some, "test_id").agg(score).first()[0])
+        truth = rows.select(F.col("_probe").alias("test_id"), "truth")
+        answers = truth.join(_voted_all(found, candidates, task), "test_id")
+        scores = []
+        for i in range(len(candidates)):
+            p = F.col(f"p{i}").cast("double")
+            scores.append(F.avg((y == p).cast("double")) if task == "classification" else 1 - F.avg((y - p) * (y - p)) / F.var_pop(y))
+        for i, score in enumerate(answers.agg(*[s.alias(f"s{i}") for i, s in enumerate(scores)]).first()):
+            totals[i] += float(score)
     return [t / len(folds) for t in totals]

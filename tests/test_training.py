@@ -3,7 +3,7 @@ import pytest
 from frames import labelled, skewed
 from pyspark.sql import functions as F
 
-from tablewright.operators import cluster, density, detection, evaluate, learn, prep
+from tablewright.operators import blocks, cluster, density, detection, evaluate, learn, prep
 from tablewright.operators.blocks import nearest
 from tablewright.operators.series import series_features
 
@@ -110,6 +110,38 @@ def test_nearest_is_exact(spark, small_limits):
     assert np.allclose(got.sort_values(["test_id", "place"])["distance"].to_numpy().reshape(-1, 4), want)
 
 
+@pytest.mark.parametrize("width", [2, 64])
+def test_own_cells_bound_the_search_and_ties_go_to_the_smaller_id(spark, small_limits, monkeypatch, width):
+    rng = np.random.default_rng(3)
+    m = np.round(rng.uniform(0, 40, (3000, width)), 1 if width > 2 else 0)  # a plane of 41 x 41 places: many ties
+    train = spark.createDataFrame([(i, p.tolist(), i % 3) for i, p in enumerate(m)], "id bigint, point array<double>, label bigint").repartition(4)
+    asked = m[:200] + (0.0 if width > 2 else 0.5)
+    test = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(asked)], "id bigint, point array<double>")
+    met, plain = [], blocks.Index._meet
+    monkeypatch.setattr(blocks.Index, "_meet", lambda self, probes, *rest: (met.append((probes.count(), len(self.pivots))), plain(self, probes, *rest))[1])
+    got = nearest(train, test, 6).orderBy("test_id", "place").toPandas()
+    gaps = np.sqrt(((asked[:, None] - m[None, :]) ** 2).sum(-1))
+    want = gaps.argsort(axis=1, kind="stable")[:, :6]
+    assert (got["train_id"].to_numpy().reshape(-1, 6) == want).all()
+    assert (got["label"] == got["train_id"] % 3).all()
+    (home, cells), (more, _) = met
+    assert home == 200
+    if width == 2:  # the far ends of the cells alone let a point visit several times as many
+        assert cells > 30 and more < 4 * 200
+
+
+def test_fast_distances_keep_their_digits():
+    rng = np.random.default_rng(4)
+    a = rng.normal(size=(300, 20)) + 1e6  # far from the origin: a plain product would lose ten digits
+    b = np.vstack([a[:100], a[100:200] + 1e-7, rng.normal(size=(100, 20)) + 1e6, np.full((1, 20), np.nan)])
+    want = np.sqrt(((a[:, None] - b[None, :]) ** 2).sum(-1))
+    assert np.allclose(blocks.distances(a, b)[:, :-1], want[:, :-1], rtol=1e-11, atol=0) and np.isnan(blocks.distances(a, b)[:, -1]).all()
+    edge = float(want[7, 250])
+    assert ((blocks.distances(a, b, [edge]) <= edge) == (want <= edge)).all()
+    i, j, d = blocks.nearest_few(a, b, 3)
+    assert (j.reshape(-1, 3) == want[:, :-1].argsort(axis=1, kind="stable")[:, :3]).all() and d[0] == 0
+
+
 def brute_dbscan(m, eps, k):
     near = ((m[:, None] - m[None, :]) ** 2).sum(-1) <= eps * eps
     core, label = near.sum(1) >= k, np.full(len(m), -1)

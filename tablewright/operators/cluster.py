@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from py4j.protocol import Py4JJavaError
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans, PowerIterationClustering
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -134,12 +133,8 @@ def silhouette_rows(df: DataFrame) -> DataFrame:
     """Exact Euclidean silhouette of every row of (id, point, cluster).  Quadratic work in bounded blocks."""
     labels = sorted(_centres(df))
 
-    def totals(d: np.ndarray, cluster: pd.Series) -> pd.DataFrame:
-        by = {c: d[:, (cluster == c).to_numpy()].sum(axis=1) for c in labels}
-        return pd.DataFrame({"sums": list(np.stack([by[c] for c in labels], axis=1))})
-
     kind = df.schema["id"].dataType.simpleString()
-    parts = block_sums(df.select("id", "point", "cluster"), "cluster", totals, f"id {kind}, sums array<double>")
+    parts = block_sums(df.select("id", "point", F.col("cluster").alias("group")), labels, f"id {kind}, sums array<double>")
     summed = parts.groupBy("id").agg(*[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(len(labels))])
     sizes = {r["cluster"]: r["n"] for r in df.groupBy("cluster").agg(F.count("*").alias("n")).collect()}
     joined = df.select("id", "cluster").join(summed, "id")

@@ -130,6 +130,24 @@ def test_own_cells_bound_the_search_and_ties_go_to_the_smaller_id(spark, small_l
         assert cells > 30 and more < 4 * 200
 
 
+def test_silhouettes_meet_every_two_blocks_once(spark, small_limits, monkeypatch):
+    rng = np.random.default_rng(6)
+    m, group = rng.normal(size=(400, 16)), rng.integers(0, 3, 400)
+    m[:40] = m[40:80]
+    df = spark.createDataFrame([(i, p.tolist(), int(g)) for i, (p, g) in enumerate(zip(m, group))], "id bigint, point array<double>, cluster int")
+    parts = blocks.block_sums(df.withColumnRenamed("cluster", "group"), [0, 1, 2], "id bigint, sums array<double>")
+    at_most = int(np.ceil(400 / blocks.block_rows(400, 16)))
+    assert at_most > 3 and parts.count() == 400 * at_most  # each row once a block, though two blocks share one task
+    gaps = np.sqrt(((m[:, None] - m[None, :]) ** 2).sum(-1))
+    sums = np.stack([gaps[:, group == g].sum(axis=1) for g in range(3)], axis=1)
+    own, sizes = sums[np.arange(400), group] / (np.bincount(group)[group] - 1), np.bincount(group)
+    means = sums / sizes
+    means[np.arange(400), group] = np.inf
+    want = (means.min(axis=1) - own) / np.maximum(means.min(axis=1), own)
+    got = {r.id: r.silhouette for r in cluster.silhouette_rows(df).collect()}
+    assert np.allclose([got[i] for i in range(400)], want, rtol=1e-10)
+
+
 def test_fast_distances_keep_their_digits():
     rng = np.random.default_rng(4)
     a = rng.normal(size=(300, 20)) + 1e6  # far from the origin: a plain product would lose ten digits

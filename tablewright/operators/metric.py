@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tablewright.operators.blocks import MAX_PIVOTS, distances
+from tablewright.operators.blocks import ENTRIES, block_rows, distances, random_pivots
 from tablewright.plans import wide
 from tablewright.plans.durable import durable
 from tablewright.plans.graph import components
@@ -39,13 +39,6 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), dtype="float64")
 
 
-def _pivots(points: DataFrame, n: int) -> np.ndarray:
-    """Random points; at most about ``MAX_PIVOTS`` of them reach the driver."""
-    wanted = min(MAX_PIVOTS, max(1, math.ceil(n / BLOCK_ROWS)))
-    rows = points.select("point").sample(min(1.0, wanted / max(n, 1)), 11).collect() or points.select("point").limit(1).collect()
-    return np.unique(np.array([r[0] for r in rows], dtype="float64"), axis=0)
-
-
 def _at_home(points: DataFrame, pivots: np.ndarray) -> DataFrame:
     """Add the cell of the nearest pivot and the distance to it."""
 
@@ -83,22 +76,28 @@ class Neighbourhoods:
         self.empty = n == 0
         if self.empty:
             return
-        pivots = _pivots(self.points, n)
+        pivots = np.unique(random_pivots(self.points, "point", n, BLOCK_ROWS), axis=0)
+        self.limit = block_rows(n, pivots.shape[1], BLOCK_ROWS)
         placed = _at_home(self.points, pivots)
         self.size, extent = np.zeros(len(pivots), dtype="int64"), np.zeros(len(pivots))
         for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("gap").alias("r")).collect():  # one row per pivot
             self.size[r["cell"]], extent[r["cell"]] = r["n"], r["r"]
         self.placed = durable(_visiting(placed, pivots, extent, self.size, radius).drop("gap"))
 
-    def meet(self, state: DataFrame, columns: Sequence[str], compare: Callable[[np.ndarray, pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    def meet(
+        self, state: DataFrame, columns: Sequence[str], compare: Callable[[np.ndarray, pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, radii: Sequence[float],
+        finish: Callable[[pd.DataFrame], pd.DataFrame] = lambda made: made,
+    ) -> DataFrame:
         """Let every point of ``state`` (pid and columns) meet those of the cells that it visits.
 
-        ``compare(distances, visitors, residents)`` runs on at most ``BLOCK_ROWS`` rows of either side.
+        ``compare(distances, visitors, residents)`` runs on some rows of a slice and a block; the distances are sharp at ``radii``.
+        ``finish`` gets what all rows of the slice made.
         """
+        limit = self.limit
         here = self.placed.join(state.select("pid", *columns), "pid") if columns else self.placed
         here = here.select("pid", "point", "weight", "cell", "visits", *columns)
         visitors = here.withColumn("cell", F.explode("visits")).drop("visits")
-        pieces = lambda counts: F.element_at(F.array(*[F.lit(max(1, math.ceil(int(n) / BLOCK_ROWS))) for n in counts]), F.col("cell") + 1)
+        pieces = lambda counts: F.element_at(F.array(*[F.lit(max(1, math.ceil(int(n) / limit))) for n in counts]), F.col("cell") + 1)
         seen = np.zeros(len(self.size), dtype="int64")
         for r in visitors.groupBy("cell").agg(F.count("*").alias("n")).collect():
             seen[r["cell"]] = r["n"]
@@ -113,7 +112,10 @@ class Neighbourhoods:
         def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
             if not len(a) or not len(b):
                 return pd.DataFrame(columns=names)
-            return compare(distances(_matrix(a["point"]), _matrix(b["point"])), a, b)
+            x, y = _matrix(a["point"]), _matrix(b["point"])
+            a, b = a.drop(columns="point"), b.drop(columns="point")
+            step = max(1, ENTRIES // len(b))
+            return finish(pd.concat([compare(distances(x[i : i + step], y, radii), a.iloc[i : i + step], b) for i in range(0, len(a), step)]))
 
         keys = ["cell", "block", "slice"]
         return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, schema)
@@ -126,6 +128,12 @@ def spanning_forest(levels: np.ndarray, a: np.ndarray, b: np.ndarray, top: int)
     """
     root = np.arange(int(max(a.max(), b.max())) + 1)
 
+    def tops() -> np.ndarray:
+        up = root
+        while (higher := up[up]).tobytes() != up.tobytes():
+            up = higher
+        return up
+
     def find(x: int) -> int:
         while root[x] != x:
             root[x] = root[root[x]]
@@ -134,14 +142,13 @@ def spanning_forest(levels: np.ndarray, a: np.ndarray, b: np.ndarray, top: int)
 
     out: list[tuple[int, int, int]] = []
     for level in range(top):
-        near = levels <= level
-        while True:
-            tops = np.array([find(x) for x in range(len(root))])
-            apart = near & (tops[a][:, None] != tops[b][None, :])
-            rows = np.flatnonzero(apart.any(axis=1))
-            if not len(rows):
-                break
-            for i, k in zip(rows.tolist(), apart[rows].argmax(axis=1).tolist()):
+        i_near, k_near = np.nonzero(levels <= level)
+        while len(i_near):
+            up = tops()
+            apart = up[a[i_near]] != up[b[k_near]]
+            i_near, k_near = i_near[apart], k_near[apart]  # what is connected stays so
+            rows, first = np.unique(i_near, return_index=True)
+            for i, k in zip(rows.tolist(), k_near[first].tolist()):
                 x, y = find(a[i]), find(b[k])
                 if x != y:
                     root[max(x, y)] = min(x, y)
@@ -150,6 +157,24 @@ def spanning_forest(levels: np.ndarray, a: np.ndarray, b: np.ndarray, top: int)
     return made[:, 0], made[:, 1], made[:, 2]
 
 
+def thinned(edges: pd.DataFrame) -> pd.DataFrame:
+    """Those of the edges (m, level, a, b) that connect, for every m and at every level, what all of them connect."""
+    parts = []
+    for _, mine in edges.groupby("m"):
+        mine = mine.sort_values("level", kind="stable")
+        nodes, number = np.unique(np.concatenate([mine["a"].to_numpy(), mine["b"].to_numpy()]), return_inverse=True)
+        root, keep = list(range(len(nodes))), []
+        for x, y in zip(number[: len(mine)].tolist(), number[len(mine) :].tolist()):
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            while root[y] != y:
+                root[y] = y = root[root[y]]
+            keep.append(x != y)
+            root[max(x, y)] = min(x, y)
+        parts.append(mine[keep])
+    return pd.concat(parts) if parts else edges
+
+
 def density_labels(df: DataFrame, eps: Sequence[float], min_samples: Sequence[int]) -> DataFrame:
     """(id, labels) of (id, point): a cluster number for every radius and, inside it, every minimum count.
 
@@ -160,7 +185,6 @@ def density_labels(df: DataFrame, eps: Sequence[float], min_samples: Sequence[in
     if sorted(set(radii)) != radii:
         raise ValueError("radii have to ascend")
     top, cases = len(radii), [(j, m) for j in range(len(radii)) for m in range(len(counts))]
-    bounds = np.array(radii)
     around = Neighbourhoods(df, radii[-1])
     if around.empty:
         return df.select("id", F.array_repeat(F.lit(-1), len(cases)).alias("labels"))
@@ -170,7 +194,7 @@ def density_labels(df: DataFrame, eps: Sequence[float], min_samples: Sequence[in
         weights = b["weight"].to_numpy(dtype="float64")
         return pd.DataFrame({"pid": a["pid"], **{f"n{j}": ((d <= e) @ weights).astype("int64") for j, e in enumerate(radii)}})
 
-    near = around.meet(around.points, [], count, ", ".join([f"pid {kind}", *[f"n{j} bigint" for j in range(top)]]))
+    near = around.meet(around.points, [], count, ", ".join([f"pid {kind}", *[f"n{j} bigint" for j in range(top)]]), radii)
     sums = near.groupBy("pid").agg(*[F.sum(f"n{j}").alias(f"n{j}") for j in range(top)])
     # the first radius at which a point is core: as many radii as hold too few
     too_few = lambda m: sum(((F.col(f"n{j}") < m).cast("int") for j in range(top)), F.lit(0))
@@ -179,18 +203,20 @@ def density_labels(df: DataFrame, eps: Sequence[float], min_samples: Sequence[in
     core = durable(sums.select("pid", *first))
 
     def forest(d: np.ndarray, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        reach = np.searchsorted(bounds, d, side="left")
+        reach = np.zeros(d.shape, dtype="int16")
+        for e in radii:
+            reach += ~(d <= e)
         _, number = np.unique(np.concatenate([a["pid"].to_numpy(), b["pid"].to_numpy()]), return_inverse=True)
         na, nb = number[: len(a)], number[len(a) :]
         parts = []
         for i, name in enumerate(firsts):
-            levels = np.maximum(reach, np.maximum(a[name].to_numpy()[:, None], b[name].to_numpy()[None, :]))
+            levels = np.maximum(reach, np.maximum(a[name].to_numpy(dtype="int16")[:, None], b[name].to_numpy(dtype="int16")[None, :]))
             x, y, level = spanning_forest(levels, na, nb, top)
             parts.append(pd.DataFrame({"m": i, "level": level, "a": a["pid"].to_numpy()[x], "b": b["pid"].to_numpy()[y]}))
         return pd.concat(parts)
 
     some_core = core.where(F.least(*firsts, F.lit(top)) < top)
-    edges = durable(around.meet(some_core, firsts, forest, f"m int, level int, a {kind}, b {kind}"))
+    edges = durable(around.meet(some_core, firsts, forest, f"m int, level int, a {kind}, b {kind}", radii, thinned))
     node = lambda j, m, pid: F.struct((j * len(counts) + m).cast("int").alias("case"), pid.alias("pid"))
     j = F.col("j")
     wide_edges = edges.withColumn("j", F.explode(F.sequence("level", F.lit(top - 1)))).select(node(j, F.col("m"), F.col("a")).alias("a"), node(j, F.col("m"), F.col("b")).alias("b"))
@@ -210,7 +236,7 @@ def density_labels(df: DataFrame, eps: Sequence[float], min_samples: Sequence[in
             out[name] = np.where(d <= radii[k], b[name].to_numpy()[None, :], _FAR).min(axis=1)
         return pd.DataFrame(out)
 
-    touched = around.meet(mine, names, touch, ", ".join([f"pid {kind}", *[f"{n} int" for n in names]]))
+    touched = around.meet(mine, names, touch, ", ".join([f"pid {kind}", *[f"{n} int" for n in names]]), radii)
     touched = touched.groupBy("pid").agg(*[F.min(n).alias(f"t{n}") for n in names])
     label = lambda n: F.when(F.col(n) < _FAR, F.col(n)).when(F.col(f"t{n}") < _FAR, F.col(f"t{n}")).otherwise(-1)
     final = mine.join(touched, "pid").select("pid", F.array(*[label(n) for n in names]).alias("labels"))

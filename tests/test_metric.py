@@ -109,3 +109,37 @@ def test_forest_connects_like_the_whole_graph():
 
             every = [(a[i], b[k]) for i, k in zip(*np.nonzero(levels <= top))]
             assert parts(every) == parts([(a[i], b[k]) for i, k, e in zip(x, y, level) if e <= top])
+
+
+def test_the_parts_of_a_block_share_one_forest():
+    import pandas as pd
+
+    rng = np.random.default_rng(8)
+    edges = pd.DataFrame({"m": rng.integers(0, 2, 4000), "level": rng.integers(0, 3, 4000), "a": rng.integers(0, 300, 4000), "b": rng.integers(0, 300, 4000)})
+    got = metric.thinned(edges)
+
+    def groups(e):
+        top = np.arange(300)
+        for _ in range(300):
+            low = top.copy()
+            np.minimum.at(low, e["a"], top[e["b"]])
+            np.minimum.at(low, e["b"], top[e["a"]])
+            if (low == top).all():
+                return top.tolist()
+            top = low
+        raise AssertionError
+
+    for m in (0, 1):
+        assert (got["m"] == m).sum() < 300
+        for level in range(3):
+            mine = lambda e: e[(e["m"] == m) & (e["level"] <= level)]
+            assert groups(mine(got)) == groups(mine(edges))
+    assert len(metric.thinned(edges[:0])) == 0
+
+
+def test_sharp_distances_at_a_radius(spark, monkeypatch):
+    monkeypatch.setattr(metric, "ENTRIES", 300)
+    points = np.array([[0.1 * i + 1e4, 0.0, 0.0, 0.0, 0.0] for i in range(60)])
+    want = brute(points, 0.1, 3)
+    got = {r.id: r.cluster for r in metric.dbscan_any(frame(spark, points), 0.1, 3).collect()}
+    assert [got[i] for i in range(60)] == want.tolist()

@@ -231,3 +231,14 @@ def test_series_leak_switch(spark):
     assert past["rolling_mean_3"].iloc[0] == pytest.approx((16 + 25 + 36) / 3)
     with pytest.raises(ValueError):
         cluster.supervised_series(df.limit(10), "y", ["at"])
+
+
+def test_fits_walk_pieces_of_bounded_size(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(learn, "MOST_ROWS_PER_TASK", 500)
+    sizes = lambda df: [r["n"] for r in df.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    cores = spark.sparkContext.defaultParallelism
+    many = spark.range(500 * (cores + 8)).coalesce(cores)  # a piece for every core, but pieces too large
+    assert max(sizes(learn.spread(many))) <= 1000 and sum(sizes(learn.spread(many))) == many.count()
+    hollow = spark.range(30_000).repartition(2 * cores, F.col("id") * 0)  # one piece holds all
+    assert hollow.rdd.getNumPartitions() > cores and max(sizes(learn.spread(hollow))) < 30_000
+    assert learn.spread(spark.range(0)).count() == 0

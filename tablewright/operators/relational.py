@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tablewright.operators.prep import hash_position
-from tablewright.plans.ordered import row_numbers
+from tablewright.plans.ordered import row_numbers, rows_between
 from tablewright.plans.selection import first_rows_bound
 from tablewright.plans.types import known, quoted
 
@@ -108,7 +108,7 @@ def page(df: DataFrame, order_by: Sequence[str], number: int, size: int, cap: in
     if high <= TOP_ROWS:
         rows = df.orderBy(*order_by).limit(max(high, 0)).offset(low)
     else:
-        rows = row_numbers(df, order_by, "_row", rows=total).where((F.col("_row") > low) & (F.col("_row") <= high)).drop("_row")
+        rows = rows_between(df, order_by, low, high, total)
     return rows.withColumns({"total": F.lit(total).cast("bigint"), "truncated": F.lit(cap is not None and total > cap)})
 
 

@@ -29,6 +29,7 @@ BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 << 20
 _FEW_ROWS = 64
 HOT_ROWS = 1_000_000
+SPAN_SAMPLE = 20_000
 
 
 @dataclass
@@ -160,6 +161,33 @@ def row_numbers(
     return running_sums(df, order_by, {name: F.lit(1).cast("bigint")}, descending, partition_by, rows)
 
 
+def rows_between(df: DataFrame, order_by: Sequence[str], low: int, high: int, rows: int) -> DataFrame:
+    """The rows at positions ``low`` + 1 to ``high`` of a table of ``rows`` rows in the given total order, without sorting the table.
+
+    A sample proposes a span of keys around the positions, a scan counts the rows before and inside it, and only those inside are numbered.
+    """
+    order = [f"_o{i}" for i in range(len(order_by))]
+    data = df.withColumns({o: _key(df, c) for o, c in zip(order, order_by)})
+    sample = data.select(*order).sample(min(1.0, SPAN_SAMPLE / max(rows, 1)), 7).orderBy(*order).collect()
+    fields = [data.schema[o] for o in order]
+
+    def spot(position: int, side: int) -> int:
+        share = min(1.0, position / max(rows, 1))
+        return math.floor(share * len(sample) + side * (10 + 5 * math.sqrt(len(sample) * share * (1 - share))))
+
+    def bound(at: int) -> Column:
+        return F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(sample[at], fields)])
+
+    key, first, last = F.struct(*order), spot(low, -1), spot(high, 1)
+    above = key >= bound(first) if first >= 0 and sample else F.lit(True)
+    below = key < bound(last) if last < len(sample) else F.lit(True)
+    before, inside = data.agg(F.count_if(~above), F.count_if(above & below)).first()
+    if before > low or before + inside < min(high, rows):  # the sample was far off
+        above, below, before, inside = F.lit(True), F.lit(True), 0, rows
+    numbered = row_numbers(data.where(above & below).drop(*order), order_by, "_row", rows=inside)
+    return numbered.where((F.col("_row") > low - before) & (F.col("_row") <= high - before)).drop("_row")
+
+
 def _neighbours(chunks: Chunks, reach: int, forward: bool) -> DataFrame:
     """Copies of the rows within ``reach`` of a chunk border, re-labelled with the chunk that needs them."""
     rank = F.row_number().over(chunks.window(descending=forward))

@@ -163,7 +163,8 @@ def supervised_series(
     total = df.count()
     if total < 20:
         raise ValueError("a series needs at least 20 rows")
-    made = series_features(df.select(*order_by, quoted(target)), target, order_by, exclude_current=exclude_current)
+    made = series_features(df.select(*order_by, quoted(target)), target, order_by, exclude_current=exclude_current, rows=total)
+    made = durable(made)  # the split, the preparation, the fit and the metrics all read it
     split = split_temporal(made, order_by)
     names = [c for c in made.columns if c not in order_by and c != target]
     train = split.where(~F.col("is_test"))

@@ -6,10 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tablewright.plans import ordered
 from tablewright.plans.ordered import fill, join_back, ranks, row_numbers, windowed
 from tablewright.plans.types import quoted
 
 LAGS = (1, 2, 3, 5, 7)
+#: Rows of a chunk where many columns look back: small, so that their sorts fill all cores evenly.
+SERIES_CHUNK_ROWS = 250_000
 
 
 def lag_features(df: DataFrame, target: str, order_by: Sequence[str], partition_by: Sequence[str] = (), lags: Sequence[int] = LAGS) -> DataFrame:
@@ -44,15 +47,15 @@ def rolling_features(
 
 
 def series_features(
-    df: DataFrame, target: str, order_by: Sequence[str], partition_by: Sequence[str] = (), exclude_current: bool = False
+    df: DataFrame, target: str, order_by: Sequence[str], partition_by: Sequence[str] = (), exclude_current: bool = False, rows: int | None = None
 ) -> DataFrame:
-    """Lags and rolling statistics; rows without a full history are dropped."""
+    """Lags and rolling statistics; rows without a full history are dropped.  ``rows`` is the number of rows if known."""
     rolling = _rolling(df, target, exclude_current)
 
     def columns(w):
         return {**{f"lag_{k}": F.lag(quoted(target), k).over(w) for k in LAGS}, **rolling(w)}
 
-    out = windowed(df, partition_by, order_by, columns, before=7)
+    out = windowed(df, partition_by, order_by, columns, before=7, rows=rows, chunk_rows=min(ordered.CHUNK_ROWS, SERIES_CHUNK_ROWS))
     return out.dropna(subset=[c for c in out.columns if c not in df.columns])
 
 

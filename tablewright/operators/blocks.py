@@ -24,6 +24,11 @@ MAX_PIVOTS = 2048
 ENTRIES = 4_000_000
 #: Squares below this share of the squared lengths lose digits to cancellation and are taken from the differences instead.
 CANCELLED = 1e-2
+#: Entries of a product searched at once, and columns of it whose least entry is looked at first.
+TILE = 4_000_000
+GROUP = 32
+#: Points of this width and more are proposed in single precision.
+SINGLE_WIDTH = 16
 
 
 def _gaps(a: np.ndarray, b: np.ndarray, i: np.ndarray, k: np.ndarray) -> np.ndarray:
@@ -83,37 +88,84 @@ def distances(a: np.ndarray, b: np.ndarray, edges: Sequence[float] = ()) -> np.n
     return out
 
 
-def nearest_few(a: np.ndarray, b: np.ndarray, k: int, barred: Callable[[int, int], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _proposed(left: np.ndarray, right: np.ndarray, group: int, k: int, error: np.ndarray, own: tuple | None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the entries of a product that can be among the ``k`` least of their row, when entries are off by ``error`` at most.
+
+    The least entries of groups of columns come first: the k-th of them bounds the k-th entry, and only groups below it are looked at.
+    """
+    near = left @ right
+    if own is not None:
+        near[own] = np.inf
+    parted = near.reshape(len(near), group, -1)
+    least = parted.min(axis=1) if group > 1 else near
+    bound = np.partition(least, k - 1, axis=1)[:, k - 1] if k < least.shape[1] else np.full(len(near), np.inf)
+    bound = bound + 2 * error
+    i, c = np.nonzero((least <= bound[:, None]) & (least < np.inf))
+    if group == 1:
+        return i, c
+    entries = parted[i, :, c]
+    at, member = np.nonzero((entries <= bound[i][:, None]) & (entries < np.inf))
+    return i[at], member * parted.shape[2] + c[at]
+
+
+def nearest_few(a: np.ndarray, b: np.ndarray, k: int, barred: Callable[[int, int], tuple] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of a, row of b, distance) of the ``k`` nearest rows of b for every row of a; ties go to the earlier row of b.
 
-    The product proposes, the plain formula decides. ``barred(from, to)`` masks pairs that do not count; rows that are not finite have no neighbours.
+    The product proposes, the plain formula decides. Wide points are proposed in single precision, unless that leaves too many.
+    ``barred(from, to)`` gives the pairs (row from ``from`` on, row of b) that do not count; rows that are not finite have no neighbours.
     """
+    a, b = np.ascontiguousarray(a, dtype="float64"), np.ascontiguousarray(b, dtype="float64")
+    with np.errstate(all="ignore"):
+        x, y, xx, yy = _centred(a, b)
+    lost, usable = ~np.isfinite(xx), np.isfinite(yy)
+    x[lost], y[~usable], yy[~usable] = 0.0, 0.0, np.inf
+    longest = yy[usable].max() if usable.any() else 0.0
+    lengths = np.where(lost, 0.0, xx) + longest
+    width, group = a.shape[1], max(1, min(GROUP, len(b) // (8 * k)))
+    spare = -len(b) % group  # columns that fill up the last group
+    left = np.concatenate([-2 * x, np.ones((len(x), 1))], axis=1)
+    right = np.concatenate([np.concatenate([y, yy[:, None]], axis=1), np.tile([0.0] * width + [np.inf], (spare, 1))]).T
+    # far above what the product can be off; single precision needs room for the squares
+    kinds = {"float64": max(1e-12, 4e-16 * (width + 8)) * lengths}
+    if width >= SINGLE_WIDTH and len(lengths) and lengths.max() < 1e30:
+        kinds = {"float32": (2.0 * np.finfo("float32").eps * (width + 8)) * lengths, **kinds}
+    cast = {kind: (left.astype(kind), np.ascontiguousarray(right, dtype=kind)) for kind in kinds}
     found = []
-    step = max(1, ENTRIES // max(1, len(b)))
+    step = max(1, TILE // max(1, right.shape[1]))
     for at in range(0, len(a), step):
-        part = a[at : at + step]
-        with np.errstate(all="ignore"):
-            x, y, xx, yy = _centred(part, b)
-            near = x @ y.T
-            near *= -2
-            near += xx[:, None]
-            near += yy[None, :]
-            near[~np.isfinite(near)] = np.inf
-        if barred is not None:
-            near[barred(at, at + len(part))] = np.inf
-        usable = yy[np.isfinite(yy)]
-        error = 1e-12 * (xx + (usable.max() if len(usable) else 0.0))  # far above what the product can be off
-        bound = np.partition(near, k - 1, axis=1)[:, k - 1] if k < len(b) else np.full(len(part), np.inf)
-        i, j = np.nonzero((near <= (bound + 2 * error)[:, None]) & np.isfinite(near))
-        d = np.sqrt(_gaps(part, b, i, j))
+        own = None if barred is None else barred(at, min(at + step, len(a)))
+        for kind in list(kinds):
+            l, r = cast[kind]
+            with np.errstate(all="ignore"):
+                i, j = _proposed(l[at : at + step], r, group, k, kinds[kind][at : at + step], own)
+            if kind == "float64" or len(i) <= 8 * k * step:
+                break
+            del kinds[kind]  # rows too close together for single precision
+        d = np.sqrt(_gaps(a[at : at + step], b, i, j))
         order = np.lexsort((j, d, i))
         i, j, d = i[order], j[order], d[order]
         place = np.arange(len(i)) - np.searchsorted(i, i)
-        keep = (place < k) & np.isfinite(d)
+        keep = (place < k) & np.isfinite(d) & ~lost[i + at]
         found.append((i[keep] + at, j[keep], d[keep]))
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
+def _own_pairs(here: np.ndarray, there: np.ndarray) -> Callable[[int, int], tuple]:
+    """Pairs of equal ids among a slice of ``here`` and all of ``there``, which is sorted."""
+
+    def numbers(low: int, high: int) -> tuple:
+        mine = here[low:high]
+        first, last = (np.searchsorted(known, mine, side) for side in ("left", "right"))
+        count = last - first
+        i = np.repeat(np.arange(len(mine)), count)
+        return i, np.arange(len(i)) - np.repeat(count.cumsum() - count, count) + np.repeat(first, count)
+
+    if here.dtype.kind == there.dtype.kind and here.dtype.kind in "iuf":
+        known = there if there.dtype.kind != "f" else there[~np.isnan(there)]  # null equals nothing here; it is sorted last
+        return numbers
+    return lambda low, high: np.nonzero(here[low:high, None] == there[None, :])
+
+
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), dtype="float64")
 
@@ -277,8 +329,7 @@ class Index:
                 return pd.DataFrame(columns=["test_id", "train_id", "distance", "label"])
             b = b.sort_values("id", kind="stable")
             here, there = a["id"].to_numpy(), b["id"].to_numpy()
-            itself = lambda low, high: here[low:high, None] == there[None, :]
-            i, j, d = nearest_few(_matrix(a["point"]), _matrix(b["point"]), k, itself if same else None)
+            i, j, d = nearest_few(_matrix(a["point"]), _matrix(b["point"]), k, _own_pairs(here, there) if same else None)
             return pd.DataFrame({"test_id": here[i], "train_id": there[j], "distance": d, "label": b["label"].to_numpy()[j]})
 
         keys = ["_cell", "_block", "_slice"]

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
-from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans, PowerIterationClustering
+from pyspark import StorageLevel
+from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, GaussianMixtureModel, KMeans, PowerIterationClustering
+from pyspark.ml.common import _py2java
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import DenseMatrix, DenseVector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -24,7 +30,125 @@ from tablewright.plans.types import quoted
 CLUSTER_LIMIT = 1000
 # Cluster numbers tried
 CLUSTER_NUMBERS = [2, 3, 4, 5, 6, 7, 8]
-MODELS = {"kmeans": KMeans, "gmm": GaussianMixture, "hierarchical": BisectingKMeans}
+MODELS = {"kmeans": KMeans, "hierarchical": BisectingKMeans}
+# MLlib's settings of a mixture
+_MIXTURE_STEPS, _MIXTURE_TOLERANCE, _EPSILON = 100, 0.01, float(np.finfo("float64").eps)
+#: Rows of a matrix product.
+_MIXTURE_ROWS = 2000
+
+
+@dataclass
+class Mixture:
+    """Weights, means and covariances of Gaussian components, and the last two log likelihoods."""
+
+    weights: np.ndarray
+    means: np.ndarray
+    covariances: np.ndarray
+    likelihood: float = -np.finfo("float64").max
+    previous: float = 0.0
+
+    def scaled(self) -> list[tuple[float, np.ndarray, np.ndarray, float]]:
+        """(weight, mean, root of the pseudo-inverse of the covariance, log of the factor) of every component, as MLlib takes them."""
+        out = []
+        for w, mean, covariance in zip(self.weights, self.means, self.covariances):
+            if not np.isfinite(covariance).all():
+                raise np.linalg.LinAlgError("not finite")
+            values, vectors = np.linalg.eigh(covariance)
+            real = values > _EPSILON * values.max() * len(values)
+            if not real.any():
+                raise np.linalg.LinAlgError("covariance without non-zero singular values")
+            root = vectors[:, real] / np.sqrt(values[real])
+            out.append((w, mean, root, -0.5 * (len(values) * np.log(2 * np.pi) + np.log(values[real]).sum())))
+        return out
+
+
+def _expected(x: np.ndarray, scaled: list) -> list[np.ndarray]:
+    """Log likelihood, and weights, weighted sums and weighted products by component, of some rows."""
+    k, width = len(scaled), x.shape[1]
+    p, products = np.empty((len(x), k)), np.empty((k, width, width))
+    for c, (w, mean, root, factor) in enumerate(scaled):
+        z = (x - mean) @ root
+        p[:, c] = _EPSILON + w * np.exp(factor - 0.5 * np.einsum("ij,ij->i", z, z))
+    total = p.sum(axis=1)
+    p /= total[:, None]
+    for c in range(k):
+        products[c] = (x * p[:, c : c + 1]).T @ x
+    return [np.array([np.log(total).sum()]), p.sum(axis=0), p.T @ x, products]
+
+
+def _added(a: dict, b: dict) -> dict:
+    return {k: [x + y for x, y in zip(a[k], b[k])] for k in a}
+
+
+def fit_mixtures(vectors: DataFrame, numbers: Sequence[int], seed: int = 42) -> dict[int, GaussianMixtureModel | None]:
+    """MLlib's Gaussian mixtures of (features) for several numbers of components, fitted together; None where the points do not determine them.
+
+    MLlib draws the starting components. Its steps of expectation and maximisation, its tolerance and its limit of steps are kept; a step is one
+    scan for all numbers, with matrix products over blocks of rows, of which only sums by component reach the driver.
+    """
+    found: dict[int, GaussianMixtureModel | None] = dict.fromkeys(numbers)
+    open_: dict[int, Mixture] = {}
+    for k in numbers:
+        try:
+            start = GaussianMixture(k=k, seed=seed, maxIter=0).fit(vectors)
+        except Py4JJavaError:
+            continue
+        parts = [(g.mean.toArray(), g.cov.toArray()) for g in start.gaussiansDF.collect()]  # k rows
+        open_[k] = Mixture(np.array(start.weights), np.array([m for m, _ in parts]), np.array([c for _, c in parts]))
+    if not open_:
+        return found
+    width = next(iter(open_.values())).means.shape[1]
+
+    def packed(batches):
+        for batch in batches:
+            if batch.num_rows:
+                rows = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(batch.num_rows, -1)
+                parts = [rows[at : at + _MIXTURE_ROWS].tobytes() for at in range(0, len(rows), _MIXTURE_ROWS)]
+                yield pa.RecordBatch.from_arrays([pa.array(parts, type=pa.binary())], names=["rows"])
+
+    sc = vectors.sparkSession.sparkContext
+    blocks = vectors.select(vector_to_array("features").alias("x")).mapInArrow(packed, "rows binary")
+    blocks = blocks.repartition(2 * sc.defaultParallelism)  # a file may be a single task
+    blocks = blocks.rdd.map(lambda r: bytes(r[0])).persist(StorageLevel.MEMORY_AND_DISK)
+    done: dict[int, Mixture] = {}
+    for _ in range(_MIXTURE_STEPS):
+        scaled = {}
+        for k, m in list(open_.items()):
+            try:
+                if abs(m.likelihood - m.previous) > _MIXTURE_TOLERANCE:
+                    scaled[k] = m.scaled()
+                else:
+                    done[k] = open_.pop(k)
+            except np.linalg.LinAlgError:
+                del open_[k]
+        if not open_:
+            break
+        sent = sc.broadcast(scaled)
+        sums = blocks.map(lambda b: {k: _expected(np.frombuffer(b).reshape(-1, width), s) for k, s in sent.value.items()}).treeReduce(_added)  # noqa: B023
+        sent.destroy()
+        for k, (likelihood, weights, means, products) in sums.items():
+            means = means / weights[:, None]
+            covariances = products / weights[:, None, None] - means[:, :, None] * means[:, None, :]
+            open_[k] = Mixture(weights / weights.sum(), means, covariances, float(likelihood[0]), open_[k].likelihood)
+    blocks.unpersist()
+    for k, m in {**done, **open_}.items():
+        try:
+            m.scaled()
+            found[k] = _mixture_model(sc, m)
+        except (np.linalg.LinAlgError, Py4JJavaError):
+            pass
+    return found
+
+
+def _mixture_model(sc, m: Mixture) -> GaussianMixtureModel:
+    jvm, gateway = sc._jvm, sc._gateway
+    normal = jvm.org.apache.spark.ml.stat.distribution.MultivariateGaussian
+    weights, normals = gateway.new_array(jvm.double, len(m.weights)), gateway.new_array(normal, len(m.weights))
+    for i, (w, mean, c) in enumerate(zip(m.weights, m.means, m.covariances)):
+        weights[i] = float(w)
+        normals[i] = normal(_py2java(sc, DenseVector(mean)), _py2java(sc, DenseMatrix(*c.shape, c.ravel(order="F").tolist())))
+    made = jvm.org.apache.spark.ml.clustering.GaussianMixtureModel(f"GaussianMixture_{uuid.uuid4().hex[:12]}", weights, normals)
+    return GaussianMixtureModel(made)
 
 
 def fit_best(df: DataFrame, kind: str, numbers: Sequence[int] = CLUSTER_NUMBERS, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -36,14 +160,13 @@ def fit_best(df: DataFrame, kind: str, numbers: Sequence[int] = CLUSTER_NUMBERS,
     vectors = df.select("id", array_to_vector("point").alias("features")).persist()
     judge = ClusteringEvaluator()
     best, rows = None, []
+    mixtures = fit_mixtures(vectors, numbers, seed) if kind == "gmm" else {}
     for k in numbers:
-        try:
-            found = MODELS[kind](k=k, seed=seed).fit(vectors).transform(vectors)
-        except Py4JJavaError:  # a mixture with more components than the points can tell apart
-            if kind != "gmm":
-                raise
+        model = mixtures[k] if kind == "gmm" else MODELS[kind](k=k, seed=seed).fit(vectors)
+        if model is None:  # a mixture with more components than the points can tell apart
             rows.append((k, None))
             continue
+        found = model.transform(vectors)
         if found.select("prediction").distinct().count() < 2:
             rows.append((k, None))
             continue

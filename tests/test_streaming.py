@@ -1,6 +1,7 @@
 """A stream of very many batches with an early late row."""
 
 import datetime as dt
+import os
 import re
 
 import pyarrow as pa
@@ -20,7 +21,9 @@ def write_log(folder, batches, late_at=None):
         if k == late_at:
             ts.append(start)
             kinds.append("late")
-        pq.write_table(pa.table({"ts": pa.array(ts, pa.timestamp("us")), "kind": kinds}), f"{folder}/part-{k:04d}.parquet")
+        path = f"{folder}/part-{k:04d}.parquet"
+        pq.write_table(pa.table({"ts": pa.array(ts, pa.timestamp("us")), "kind": kinds}), path)
+        os.utime(path, (1_700_000_000 + k, 1_700_000_000 + k))  # a stream takes files by their times, which are not to tie
 
 
 def stream(spark, folder):

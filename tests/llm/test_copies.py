@@ -105,6 +105,29 @@ def test_bytes_of_a_repeated_string_go(spark, docs, tiny_chunks, length, plane):
     assert suffix.query(cases.nothing(spark)).count() == 0
 
 
+def test_planted_passages_are_read_by_n_removed(spark, tiny_chunks):
+    """At the production length: the removal shows in n_removed, n_spans and the digest; n_bytes is the length of the input."""
+    rng = random.Random(7)
+
+    def words(n, letters):
+        return " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(letters)) for _ in range(n))
+
+    long, short, exact, under = words(60, 7), words(55, 6), words(50, 7) + "x", words(50, 7)
+    assert [len(p) for p in (long, short, exact, under)] == [479, 384, 400, 399]
+    frames = {k: (f"{words(40 + k, 6)} {chr(65 + k)}", f"{chr(65 + k)} {words(90 - k, 6)}") for k in range(24)}
+    planted = {0: long, 7: long, 3: short, 11: short, 5: exact, 13: exact, 9: under, 20: under}
+    expected = []
+    for k, (before, after) in frames.items():
+        gone = planted.get(k, "")
+        lost = len(gone) if len(gone) >= 400 else 0
+        kept = before + (gone if not lost else "") + after
+        expected.append((k, len(before + gone + after), lost, int(lost > 0), hashlib.sha256(kept.encode()).hexdigest()))
+    table = spark.createDataFrame([(k, a + planted.get(k, "") + b) for k, (a, b) in frames.items()], "doc_id long, text string")
+    got = suffix.query(table).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == expected
+    assert {r.doc_id for r in got if r.n_removed} == {0, 7, 5, 13}
+
+
 @pytest.mark.parametrize("q", [2, 3, 5, 7, 11, 13])
 def test_cover_meets_every_difference(q):
     v, found = suffix.difference_cover(q)

@@ -1,14 +1,17 @@
 """Boosting of several classes by softmax: one ensemble, a tree for every class in every round.
 
-Features are cut into bins once. Rows keep their bins and the scores of all classes; a scan per level of the trees adds up
-rows, residuals and curvature by class, node, feature and bin, so all trees of a round grow together. The driver sees these
-sums, whose number is bounded by the trees and not by the rows, and picks the splits. Scores are written anew every ``REFRESH``
-rounds; between, tasks add the trees since then.
+Features are cut into bins once. Rows of one class whose bins are equal get the same scores in every round, so they are folded
+into one with a weight, unless every round draws rows of its own. Rows keep their bins and the scores of all classes; a scan per
+level of the trees adds up rows, residuals and curvature by class, node, feature and bin, so all trees of a round grow together.
+The driver sees these sums, whose number is bounded by the trees and not by the rows, and picks the splits. Scores are written
+anew every ``REFRESH`` rounds; between, tasks add the trees since then.
 """
 
 from __future__ import annotations
 
 import json
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -27,6 +30,13 @@ BORDER_ROWS = 20_000
 REFRESH = 10
 #: Sums of one scan; more are taken in several, feature by feature.
 SUMS_AT_ONCE = 4_000_000
+#: Rows that a task folds before it passes them on.
+FOLD_ROWS = 100_000
+#: Rows of a piece of the folded table while there are fewer pieces than cores, and beyond.
+PIECE_ROWS, MOST_PIECE_ROWS = 20_000, 250_000
+#: Cells of the borders whose scores a task remembers.
+CELLS_KEPT = 200_000
+STATE = "label int, draw double, weight double, bins binary, scores binary"
 
 
 @dataclass
@@ -68,6 +78,20 @@ def softmax(scores: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def _binary(rows: np.ndarray) -> pa.Array:
+    """The bytes of every row of a matrix."""
+    rows = np.ascontiguousarray(rows)
+    size = rows.shape[1] * rows.itemsize
+    ends = np.arange(len(rows) + 1, dtype="int32") * np.int32(size)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(rows)])
+
+
+def _folded(parts: list[pa.Table]) -> pa.Table:
+    """Rows (label, bins, weight) with equal label and bins as one."""
+    found = pa.concat_tables(parts).group_by(["label", "bins"]).aggregate([("weight", "sum")])
+    return found.rename_columns({"weight_sum": "weight"}).select(["label", "bins", "weight"])
+
+
 def _bytes_matrix(column: pa.Array, kind: str, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(-1, width)
 
@@ -102,34 +126,70 @@ class SoftmaxBoosting(Estimator):
         start = np.log(np.maximum([counts.get(c, 0) / total for c in range(k)], 1e-12))
         model = SoftmaxBoostingModel(start.tolist(), self.rate, [], [], len(borders))
 
-        def begin(batches):
-            for batch in batches:
-                x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
-                bins = np.stack([np.searchsorted(b, x[:, j], side="left") for j, b in enumerate(borders)], axis=1).astype(np.uint8)
-                scores = np.tile(start, (batch.num_rows, 1))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(2), pa.array([r.tobytes() for r in bins], pa.binary()), pa.array([r.tobytes() for r in scores], pa.binary())],
-                    names=["label", "draw", "bins", "scores"],
-                )
-
-        rows = df.select(F.col("label").cast("int").alias("label"), vector_to_array("features").alias("x"), F.rand(self.seed).alias("draw"))
-        schema = "label int, draw double, bins binary, scores binary"
-        state = durable(rows.mapInArrow(begin, schema))
+        state = self._started(df, borders, start)
         for r in range(self.rounds):
             model.rounds.append(self._round(state, model.rounds[r - r % REFRESH :], r, borders, model))
             if (r + 1) % REFRESH == 0 and r + 1 < self.rounds:
-                state = durable(self._advanced(state, model.rounds[-REFRESH:], len(borders), schema))
+                state = self._kept(self._advanced(state, model.rounds[-REFRESH:], len(borders)))
         return model
 
-    def _advanced(self, state: DataFrame, recent: list[list[Tree]], width: int, schema: str) -> DataFrame:
+    def _started(self, df: DataFrame, borders: list[np.ndarray], start: np.ndarray) -> DataFrame:
+        """Rows (:data:`STATE`) with the scores of the start; folded where all rounds take all rows."""
+
+        def binned(batch: pa.RecordBatch) -> pa.Array:
+            x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
+            return _binary(np.stack([np.searchsorted(b, x[:, j], side="left") for j, b in enumerate(borders)], axis=1).astype(np.uint8))
+
+        def fold(batches):
+            parts, held = [], 0
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                ones = pa.array(np.ones(batch.num_rows, dtype="int64"))
+                parts.append(_folded([pa.table([batch.column(0), binned(batch), ones], names=["label", "bins", "weight"])]))
+                held += parts[-1].num_rows
+                if held > FOLD_ROWS:
+                    parts = [_folded(parts)]
+                    held = parts[0].num_rows
+                    if held > FOLD_ROWS // 2:  # too many to keep: Spark folds the rest
+                        yield from parts[0].to_batches()
+                        parts, held = [], 0
+            if parts:
+                yield from _folded(parts).to_batches()
+
+        def begin(batches):
+            for batch in batches:
+                n = batch.num_rows
+                if not n:
+                    continue
+                weight, bins = (batch.column(3).cast(pa.float64()), batch.column(1)) if folding else (pa.array(np.ones(n)), binned(batch))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), weight, bins, _binary(np.tile(start, (n, 1)))], names=["label", "draw", "weight", "bins", "scores"])
+
+        folding = self.subsample >= 1
+        rows = df.select(F.col("label").cast("int").alias("label"), vector_to_array("features").alias("x"))
+        if not folding:
+            return self._kept(rows.withColumn("draw", F.rand(self.seed)).mapInArrow(begin, STATE))
+        parts = rows.mapInArrow(fold, "label int, bins binary, weight bigint")
+        few = durable(parts.groupBy("label", "bins").agg(F.sum("weight").alias("weight")))
+        n, cores = few.count(), df.sparkSession.sparkContext.defaultParallelism
+        pieces = max(1, min(cores, math.ceil(n / PIECE_ROWS)), math.ceil(n / MOST_PIECE_ROWS))
+        return self._kept(few.repartition(pieces).select("label", "bins", F.lit(0.0).alias("draw"), "weight").mapInArrow(begin, STATE))
+
+    def _kept(self, state: DataFrame) -> DataFrame:
+        """The rows written; notes in how many pieces they are read."""
+        state = durable(state)
+        self.pieces = state.rdd.getNumPartitions()
+        return state
+
+    def _advanced(self, state: DataFrame, recent: list[list[Tree]], width: int) -> DataFrame:
         k, rate = self.classes, self.rate
 
         def add(batches):
             for batch in batches:
                 scores = _scored(batch, recent, width, k, rate)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([r.tobytes() for r in scores], pa.binary())], names=batch.schema.names)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], _binary(scores)], names=batch.schema.names)
 
-        return state.mapInArrow(add, schema)
+        return state.mapInArrow(add, STATE)
 
     def _round(self, state: DataFrame, recent: list[list[Tree]], number: int, borders: list[np.ndarray], model: SoftmaxBoostingModel) -> list[Tree]:
         """One tree per class, grown level by level."""
@@ -180,7 +240,7 @@ class SoftmaxBoosting(Estimator):
                 for batch in batches:
                     if not batch.num_rows:
                         continue
-                    bins = _bytes_matrix(batch.column(2), "uint8", width)
+                    bins, weight = _bytes_matrix(batch.column(3), "uint8", width), batch.column(2).to_numpy()
                     p = softmax(_scored(batch, recent, width, k, rate))
                     label = batch.column(0).to_numpy()
                     taken = np.ones(len(label), dtype=bool)
@@ -192,24 +252,26 @@ class SoftmaxBoosting(Estimator):
                         node = trees[c].places(bins) - first
                         mine = np.flatnonzero(taken & (node >= 0))
                         slot = ((c * many + node[mine])[:, None] * len(chosen) + np.arange(len(chosen))) * BINS + bins[mine][:, chosen.start : chosen.stop]
-                        for i, v in enumerate((None, residual[mine], curve[mine])):
-                            weights = None if v is None else np.repeat(v, len(chosen))
-                            total[i] += np.bincount(slot.ravel(), weights=weights, minlength=total.shape[1])
+                        for i, v in enumerate((weight[mine], (weight * residual)[mine], (weight * curve)[mine])):
+                            total[i] += np.bincount(slot.ravel(), weights=np.repeat(v, len(chosen)), minlength=total.shape[1])
                 held = np.flatnonzero(total[0])
                 yield pa.RecordBatch.from_arrays([pa.array(held), *[pa.array(t[held]) for t in total]], names=["i", "n", "r", "h"])
 
             partial = state.mapInArrow(add, "i bigint, n double, r double, h double")
-            found = partial.groupBy("i").agg(*[F.sum(x).alias(x) for x in ("n", "r", "h")]).toArrow()
-            flat = np.zeros((k * many * len(chosen) * BINS, 3))
-            flat[found.column("i").to_numpy()] = np.stack([found.column(x).to_numpy() for x in ("n", "r", "h")], axis=1)
+            slots = k * many * len(chosen) * BINS
+            if self.pieces * slots > SUMS_AT_ONCE // 10:  # few sums of few pieces are added on the driver, others by a shuffle
+                partial = partial.groupBy("i").agg(*[F.sum(x).alias(x) for x in ("n", "r", "h")])
+            found = partial.toArrow()
+            at = found.column("i").to_numpy()
+            flat = np.stack([np.bincount(at, weights=found.column(x).to_numpy(), minlength=slots) for x in ("n", "r", "h")], axis=1)
             out[:, :, low : low + len(chosen)] = flat.reshape(k, many, len(chosen), BINS, 3)
         return out
 
 
 def _scored(batch: pa.RecordBatch, recent: list[list[Tree]], width: int, k: int, rate: float) -> np.ndarray:
-    scores = _bytes_matrix(batch.column(3), "float64", k).copy()
+    scores = _bytes_matrix(batch.column(4), "float64", k).copy()
     if recent:
-        bins = _bytes_matrix(batch.column(2), "uint8", width)
+        bins = _bytes_matrix(batch.column(3), "uint8", width)
         for trees in recent:
             for c, tree in enumerate(trees):
                 scores[:, c] += rate * np.array(tree.value)[tree.places(bins)]
@@ -224,6 +286,45 @@ class _Shape:
     width: int
     gains: dict[int, float] = field(default_factory=dict)
 
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        """Scores of all classes for every row of features."""
+        scores = np.tile(np.array(self.start), (len(x), 1))
+        for trees in self.rounds:
+            for c, tree in enumerate(trees):
+                scores[:, c] += self.rate * tree.scores(x)
+        return scores
+
+    def borders(self) -> list[tuple[int, np.ndarray]]:
+        """The features that the trees look at and all their borders; rows between the same ones score alike."""
+        used: dict[int, set[float]] = {}
+        for tree in (t for trees in self.rounds for t in trees):
+            for j, b in zip(tree.feature, tree.border):
+                if j >= 0:
+                    used.setdefault(j, set()).add(b)
+        return [(j, np.array(sorted(used[j]))) for j in sorted(used)]
+
+    def scored(self, batches: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
+        """:meth:`scores` of batch after batch; the trees are walked once for all rows of a cell of the borders, as long as it is remembered."""
+        borders = self.borders()
+        if math.prod(len(b) + 1 for _, b in borders) >= 2**62:
+            yield from map(self.scores, batches)
+            return
+        known, answers = np.empty(0, dtype="int64"), np.empty((0, len(self.start)))
+        for x in batches:
+            cell = np.zeros(len(x), dtype="int64")
+            for j, b in borders:
+                cell = cell * (len(b) + 1) + np.searchsorted(b, x[:, j], side="left")
+            cells, first, back = np.unique(cell, return_index=True, return_inverse=True)
+            new = ~np.isin(cells, known, assume_unique=True)
+            if len(known) + new.sum() > CELLS_KEPT:
+                known, answers, new = known[:0], answers[:0], np.ones(len(cells), dtype=bool)
+            if new.any():
+                known = np.concatenate([known, cells[new]])
+                answers = np.concatenate([answers, self.scores(x[first[new]])])
+                order = known.argsort()
+                known, answers = known[order], answers[order]
+            yield answers[np.searchsorted(known, cells)][back]
+
 
 class SoftmaxBoostingModel(Transformer):
     """Adds rawPrediction, probability and prediction."""
@@ -242,13 +343,10 @@ class SoftmaxBoostingModel(Transformer):
         shape = _Shape(self.start, self.rate, self.rounds, self.width)
 
         @F.pandas_udf(T.ArrayType(T.DoubleType()))
-        def raw(x: pd.Series) -> pd.Series:
-            values = np.array(x.tolist(), dtype="float64").reshape(len(x), shape.width)
-            scores = np.tile(np.array(shape.start), (len(values), 1))
-            for trees in shape.rounds:
-                for c, tree in enumerate(trees):
-                    scores[:, c] += shape.rate * tree.scores(values)
-            return pd.Series(list(scores))
+        def raw(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            values = (np.array(x.tolist(), dtype="float64").reshape(len(x), shape.width) for x in batches)
+            for scores in shape.scored(values):
+                yield pd.Series(list(scores))
 
         out = df.withColumn("_raw", raw(vector_to_array("features")))
         top = F.array_max("_raw")

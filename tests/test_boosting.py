@@ -95,3 +95,29 @@ def test_search_and_saving(spark, tmp_path):
     model, prep, meta = learn.load(spark, str(tmp_path / "m"))
     scored = learn.batch_score(spark.createDataFrame(rows, "id bigint, a double, b double, label string"), ["id"], model, prep, meta["classes"])
     assert scored.count() == 150 and {r.prediction for r in scored.collect()} <= set("xyz")
+
+
+def test_rounds_scan_equal_rows_once(spark, monkeypatch):
+    x, y, df = table(spark, 1200, 7)  # 343 different points
+    written, plain_durable = [], boosting.durable
+    monkeypatch.setattr(boosting, "durable", lambda frame: written.append(plain_durable(frame)) or written[-1])
+    monkeypatch.setattr(boosting, "FOLD_ROWS", 50)
+    model = boosting.SoftmaxBoosting(12, 0.3, 2, classes=3).fit(df)
+    scanned, kinds = [w.count() for w in written if "scores" in w.columns], {(*p, c) for p, c in zip(x.tolist(), y.tolist())}
+    assert len(kinds) < 700 and scanned == [len(kinds)] * 2
+    want, _ = plain(x, y, 3, 12, 0.3, 2, 1)
+    assert np.allclose([r.probability.toArray() for r in model.transform(df).orderBy("id").collect()], want, atol=1e-9)
+
+
+def test_remembered_cells_score_as_the_trees_do(spark, monkeypatch):
+    x, y, df = table(spark, 500, 100)
+    model = boosting.SoftmaxBoosting(6, 0.3, 3, classes=3).fit(df)
+    shape = boosting._Shape(model.start, model.rate, model.rounds, model.width)
+    assert {j for j, _ in shape.borders()} == set(model.gains)
+    rng = np.random.default_rng(1)
+    batches = [rng.uniform(-5, 110, size=(n, 3)).round(rng.integers(0, 2)) for n in (40, 1, 200, 0, 90)]
+    batches[0][3, 1], batches[2][5, 0] = np.nan, np.inf
+    for kept in (10, 100, 10**6):
+        monkeypatch.setattr(boosting, "CELLS_KEPT", kept)
+        for batch, got in zip(batches, shape.scored(iter(batches))):
+            assert (got == shape.scores(batch)).all()

@@ -88,6 +88,64 @@ def distances(a: np.ndarray, b: np.ndarray, edges: Sequence[float] = ()) -> np.n
     return out
 
 
+def within(a: np.ndarray, b: np.ndarray, radii: Sequence[float], entries: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(from, to, row of a, row of b, level) for slice after slice of a: the pairs at most the largest of the ascending radii apart.
+
+    ``level`` counts the radii that a pair exceeds. A product tells it, in single precision for wide points; pairs too near to a radius
+    for that are decided by the plain formula. No more than ``entries`` pairs are looked at at once.
+    """
+    a, b = np.ascontiguousarray(a, dtype="float64"), np.ascontiguousarray(b, dtype="float64")
+    with np.errstate(all="ignore"):
+        x, y, xx, yy = _centred(a, b)
+    # rows whose square has no number are left to the plain formula
+    wild_a, wild_b = ~np.isfinite(xx), ~np.isfinite(yy)
+    tame = ~wild_b
+    x[wild_a], xx[wild_a] = 0.0, 0.0
+    there, others = np.flatnonzero(tame), np.flatnonzero(wild_b)
+    lengths = xx + (yy[tame].max() if len(there) else 0.0)
+    width, edges = a.shape[1], [float(e) for e in radii]
+    left = np.concatenate([-2 * x, np.ones((len(x), 1)), xx[:, None]], axis=1)
+    right = np.concatenate([y[tame], yy[tame, None], np.ones((len(there), 1))], axis=1).T
+    # far above what the product can be off; single precision needs room for the squares
+    kinds = {"float64": max(1e-12, 4e-16 * (width + 10)) * lengths}
+    if width >= SINGLE_WIDTH and len(lengths) and 1e-20 < lengths.max() < 1e30 and edges[-1] < 1e15:
+        kinds = {"float32": 2.0 * np.finfo("float32").eps * (width + 10) * lengths, **kinds}
+    cast = {kind: (left.astype(kind), np.ascontiguousarray(right, dtype=kind)) for kind in kinds}
+    step = max(1, (entries or ENTRIES) // max(1, len(b)))
+    for at in range(0, len(a), step):
+        low, high = at, min(at + step, len(a))
+        for kind in list(kinds):
+            l, r = cast[kind]
+            error = kinds[kind][low:high]
+            near = l[low:high] @ r
+            found = np.flatnonzero(near <= (edges[-1] ** 2 + error)[:, None].astype(kind) * (1 + 4 * np.finfo(kind).eps))
+            i, k = np.divmod(found, max(1, len(there)))
+            square, error = near.ravel()[found].astype("float64"), error[i]
+            level, unsure = np.zeros(len(found), dtype="int64"), np.zeros(len(found), dtype=bool)
+            for e in edges:
+                level += square > e * e
+                unsure |= np.abs(square - e * e) <= error + 1e-9 * e * e
+            if kind == "float64" or unsure.sum() <= max(1000, len(found) // 8):
+                break
+            del kinds[kind]  # too many rows next to a radius for single precision
+        i, k = i + low, there[k]
+        own = np.flatnonzero(wild_a[low:high]) + low
+        if len(own) or len(others):
+            sure = ~wild_a[i]
+            whole = np.arange(low, high)
+            more = [(np.repeat(own, len(b)), np.tile(np.arange(len(b)), len(own)))]
+            more.append((np.repeat(whole[~wild_a[low:high]], len(others)), np.tile(others, int((~wild_a[low:high]).sum()))))
+            i, k = np.concatenate([i[sure], *[m[0] for m in more]]), np.concatenate([k[sure], *[m[1] for m in more]])
+            fresh = len(i) - int(sure.sum())
+            level, unsure = np.concatenate([level[sure], np.zeros(fresh, dtype="int64")]), np.concatenate([unsure[sure], np.ones(fresh, dtype=bool)])
+        if unsure.any():
+            with np.errstate(all="ignore"):
+                gap = np.sqrt(_gaps(a, b, i[unsure], k[unsure]))
+            level[unsure] = sum((~(gap <= e)).astype("int64") for e in edges)
+        keep = level < len(edges)
+        yield low, high, i[keep], k[keep], level[keep]
+
+
 def _proposed(left: np.ndarray, right: np.ndarray, group: int, k: int, error: np.ndarray, own: tuple | None) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) of the entries of a product that can be among the ``k`` least of their row, when entries are off by ``error`` at most.
 

@@ -143,3 +143,60 @@ def test_sharp_distances_at_a_radius(spark, monkeypatch):
     want = brute(points, 0.1, 3)
     got = {r.id: r.cluster for r in metric.dbscan_any(frame(spark, points), 0.1, 3).collect()}
     assert [got[i] for i in range(60)] == want.tolist()
+
+
+@pytest.mark.parametrize("block, width, first", [(1000, 24, 4), (30, 24, 2), (25, 6, 3)])
+def test_close_radii_of_even_points_equal_brute_force(spark, monkeypatch, block, width, first):
+    monkeypatch.setattr(metric, "BLOCK_ROWS", block)
+    monkeypatch.setattr(metric, "FIRST_BLOCKS", first)
+    monkeypatch.setattr(metric, "FEW_MORE", 1)
+    monkeypatch.setattr(metric, "ENTRIES", 700)
+    rng = np.random.default_rng(9)
+    points = rng.normal(size=(420, width))
+    points /= np.linalg.norm(points, axis=1)[:, None]
+    gaps = np.sqrt(((points[:, None] - points[None]) ** 2).sum(axis=2))
+    eps = [float(np.quantile(gaps, q)) for q in (0.006, 0.008, 0.011, 0.02)]
+    got = {r.id: r.labels for r in metric.density_labels(frame(spark, points), eps, [2, 5, 3]).collect()}
+    for j, e in enumerate(eps):
+        for i, m in enumerate([2, 5, 3]):
+            want = brute(points, e, m)
+            assert [got[k][j * 3 + i] for k in range(len(points))] == want.tolist(), (e, m)
+
+
+def test_pairs_within_radii_are_those_of_the_plain_formula():
+    from tablewright.operators.blocks import _gaps, within
+
+    rng = np.random.default_rng(4)
+    for width, scale, middle in ((2, 1.0, 0.0), (40, 1.0, 0.0), (40, 0.1, 1e4), (40, 1e-9, 0.0), (20, 1e200, 0.0)):
+        a, b = (np.round(rng.normal(size=(n, width)), 1) * scale + middle for n in (90, 70))
+        if scale > 1e100:
+            a[30:] /= scale
+            b[20:] /= scale
+        i, k = (x.ravel() for x in np.indices((90, 70)))
+        with np.errstate(all="ignore"):
+            gaps = np.sqrt(_gaps(a, b, i, k))
+        edges = sorted({float(x) for x in np.quantile(gaps[np.isfinite(gaps)], (0.01, 0.2, 0.5), method="lower")})  # some pairs lie on an edge
+        got = np.full((90, 70), len(edges))
+        for low, high, x, y, level in within(a, b, edges, 1000):
+            assert len(x) == len({*zip(x.tolist(), y.tolist())}) and ((low <= x) & (x < high)).all()
+            got[x, y] = level
+        assert (got.ravel() == sum((~(gaps <= e)).astype(int) for e in edges)).all()
+
+
+def test_dense_points_do_not_meet_everybody(spark, monkeypatch):
+    monkeypatch.setattr(metric, "BLOCK_ROWS", 50)
+    rng = np.random.default_rng(6)
+    points = np.round(rng.normal(size=(1500, 6)) * 0.2, 6)
+    seen, plain = [], metric.Neighbourhoods.meet
+
+    def meet(self, visitors, residents, span, compare, schema):
+        copies = self._with(visitors).agg(F.sum(F.size(F.slice("visits", span[0] + 1, span[1] - span[0])))).first()[0]
+        seen.append(copies or 0)
+        return plain(self, visitors, residents, span, compare, schema)
+
+    monkeypatch.setattr(metric.Neighbourhoods, "meet", meet)
+    got = {r.id: r.labels for r in metric.density_labels(frame(spark, points), [0.9, 1.1], [2, 4]).collect()}
+    blocks = 1500 / 50
+    assert sum(seen) < 0.3 * 3 * 1500 * blocks  # of three steps that compare all blocks
+    for c, (e, m) in enumerate([(0.9, 2), (0.9, 4), (1.1, 2), (1.1, 4)]):
+        assert [got[k][c] for k in range(1500)] == brute(points, e, m).tolist()

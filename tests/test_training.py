@@ -242,3 +242,20 @@ def test_fits_walk_pieces_of_bounded_size(spark, monkeypatch, tmp_path):
     hollow = spark.range(30_000).repartition(2 * cores, F.col("id") * 0)  # one piece holds all
     assert hollow.rdd.getNumPartitions() > cores and max(sizes(learn.spread(hollow))) < 30_000
     assert learn.spread(spark.range(0)).count() == 0
+
+
+def test_ranked_training_tries_every_algorithm_and_its_whole_grid(spark, monkeypatch, tmp_path):
+    from tablewright.workload.registry import QUERIES
+
+    rows = [(i, i % 7, ["click", "view", "purchase"][i % 3], float(i * 37 % 150), f'{{"k": {i * 11 % 100}}}') for i in range(400)]
+    spark.createDataFrame(rows, "event_id bigint, user_id bigint, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    tried = {}
+
+    def search(data, name, candidates, parallelism=4):
+        tried[name] = list(candidates)
+        return learn.Found(name, dict(candidates[0]), 0.0, learn.fit(data, "DecisionTree", {"max_depth": 2}), [])
+
+    monkeypatch.setattr(learn, "search", search)
+    board = QUERIES["train_ranked"](spark, str(tmp_path)).collect()
+    assert {r["model"] for r in board} == set(learn.CLASSIFIERS) and not any(r["error"] for r in board)
+    assert tried == {name: learn.combinations(learn.GRIDS[name]) for name in learn.CLASSIFIERS}

@@ -260,9 +260,11 @@ def _with_cell(df: DataFrame, point: str, pivots: np.ndarray) -> DataFrame:
 def _homes(k: int, pivots: np.ndarray, radius: np.ndarray, size: np.ndarray, extra: int):
     """The nearest cell with rows of every point, and a distance that its k-th nearest row does not exceed.
 
-    The k-th distance is at most that of the cell at which the far ends (distance to the pivot plus radius),
-    taken in order, have gathered k rows.
+    It is at most the least far end (distance to the pivot plus radius) of a cell with k rows. Where no cell has so many, it is at
+    most the far end of the cell at which the far ends, taken in order, have gathered k rows.
     """
+    need = k + extra
+    whole = size >= need
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -270,11 +272,15 @@ def _homes(k: int, pivots: np.ndarray, radius: np.ndarray, size: np.ndarray, ext
                 continue
             d = distances(_matrix(batch["point"]), pivots)
             far = d + radius
-            order = far.argsort(axis=1)
-            gathered = size[order].cumsum(axis=1) >= k + extra
-            bound = np.take_along_axis(far, np.take_along_axis(order, gathered.argmax(axis=1)[:, None], 1), 1)[:, 0]
+            if whole.any():
+                bound = far[:, whole].min(axis=1)
+            else:
+                order = far.argsort(axis=1)
+                gathered = size[order].cumsum(axis=1) >= need
+                bound = np.take_along_axis(far, np.take_along_axis(order, gathered.argmax(axis=1)[:, None], 1), 1)[:, 0]
+                bound = np.where(gathered[:, -1], bound, np.inf)
             home = np.where(size > 0, d, np.inf).argmin(axis=1)
-            yield batch.assign(_cell=home.astype("int32"), _bound=np.where(gathered[:, -1], bound, np.inf))
+            yield batch.assign(_cell=home.astype("int32"), _bound=bound)
 
     return run
 

@@ -244,20 +244,35 @@ def _voted_all(found: DataFrame, candidates: Sequence[Mapping], task: str) -> Da
 
 
 def neighbour_scores(train: DataFrame, candidates: Sequence[Mapping], task: str, classes: int) -> list[float]:
-    """Mean over the folds of accuracy or R2 of every setting: one search for the most neighbours per fold serves all."""
+    """Mean over the folds of accuracy or R2 of every setting: one search for the most neighbours per fold serves all.
+
+    Equal points have equal neighbours and are searched once. Of the equal training points of a fold only those stored first can
+    be among the nearest, as many as there are neighbours; the others are left out of the index.
+    """
     most = max(int(c.get("n_neighbors", NEIGHBOURS)) for c in candidates)
+    columns = ["fold", F.monotonically_increasing_id().alias("id"), vector_to_array("features").alias("point"), F.col("label").cast("double").alias("label")]
+    rows = durable(train.select(*columns))  # the ids have to stay
+    stored = Window.partitionBy("fold", "point").orderBy("id")
+    kept = durable(rows.withColumn("_place", F.row_number().over(stored)).where(F.col("_place") <= most).drop("_place"))
+    asked = rows.groupBy("fold", "point", "label").agg(F.count("*").alias("n"), F.min("id").alias("id"))
+    asked = durable(asked.withColumn("probe", F.min("id").over(Window.partitionBy("fold", "point"))))
     totals = [0.0] * len(candidates)
-    folds = sorted(r["fold"] for r in train.select("fold").distinct().collect())
-    y = F.col("truth")
+    folds = sorted(r["fold"] for r in rows.select("fold").distinct().collect())
+    y, n = F.col("truth"), F.col("n")
     for f in folds:
-        model = NearestNeighbours(most, task=task, classes=classes).fit(train.where(F.col("fold") != f))
-        rows, found = model.neighbours(train.where(F.col("fold") == f).select("features", F.col("label").alias("truth")), most)
-        truth = rows.select(F.col("_probe").alias("test_id"), "truth")
+        mine = asked.where(F.col("fold") == f)
+        index = Index.build(kept.where(F.col("fold") != f), keep=True)
+        found = index.nearest(mine.where(F.col("id") == F.col("probe")).select("id", "point"), most)
+        truth = mine.select(F.col("probe").alias("test_id"), F.col("label").alias("truth"), "n")
         answers = truth.join(_voted_all(found, candidates, task), "test_id")
-        scores = []
-        for i in range(len(candidates)):
-            p = F.col(f"p{i}").cast("double")
-            scores.append(F.avg((y == p).cast("double")) if task == "classification" else 1 - F.avg((y - p) * (y - p)) / F.var_pop(y))
+        mean = lambda value: F.sum(n * value) / F.sum(F.when(value.isNotNull(), n))
+        guesses = [F.col(f"p{i}").cast("double") for i in range(len(candidates))]
+        if task == "classification":
+            scores = [mean((y == p).cast("double")) for p in guesses]
+        else:
+            answers = durable(answers)
+            spread = mean((y - F.lit(answers.agg(mean(y)).first()[0])) ** 2)
+            scores = [1 - mean((y - p) * (y - p)) / spread for p in guesses]
         for i, score in enumerate(answers.agg(*[s.alias(f"s{i}") for i, s in enumerate(scores)]).first()):
             totals[i] += float(score)
     return [t / len(folds) for t in totals]

@@ -146,3 +146,25 @@ def test_wide_and_empty_classes(spark):
     near = models.NearestNeighbours(1, classes=3).fit(df)
     assert [r.prediction for r in near.transform(df).orderBy("label").collect()] == [0.0, 0.0, 2.0, 2.0]
     assert near.transform(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("task", ["classification", "regression"])
+def test_equal_points_are_searched_once_and_score_as_before(spark, monkeypatch, task):
+    rng = np.random.default_rng(11)
+    rows = [(i % 3, float(rng.integers(0, 3)) if task == "classification" else float(rng.normal()), Vectors.dense(rng.integers(0, 5, 2).astype(float))) for i in range(900)]
+    train = spark.createDataFrame(rows, ["fold", "label", "features"]).repartition(3).persist()
+    train.count()
+    candidates = [{"n_neighbors": 4, "weights": "uniform"}, {"n_neighbors": 7, "weights": "distance"}, {"n_neighbors": 1}]
+    want = []
+    for c in candidates:  # every setting as a fitted model
+        scores = []
+        for f in range(3):
+            model = models.NearestNeighbours(c["n_neighbors"], c.get("weights", "uniform"), task, 3).fit(train.where(F.col("fold") != f))
+            scores.append(learn._score(model, train.where(F.col("fold") == f), task))
+        want.append(np.mean(scores))
+    built, asked = [], []
+    build, nearest = models.Index.build, models.Index.nearest
+    monkeypatch.setattr(models.Index, "build", staticmethod(lambda df, keep=False: built.append(df.count()) or build(df, keep)))
+    monkeypatch.setattr(models.Index, "nearest", lambda self, test, k, same=False: asked.append(test.count()) or nearest(self, test, k, same))
+    assert models.neighbour_scores(train, candidates, task, 3) == pytest.approx(want, abs=1e-12)
+    assert len(built) == 3 and max(built) <= 25 * 2 * 7 and max(asked) <= 25
